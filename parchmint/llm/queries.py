@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm import near_dup
+from parchmint.llm import near_dup, repeated_lines, split_overlap, survivors
 from parchmint.session import prepare
 from parchmint.tables import table
 
@@ -26,11 +26,118 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.groups(found).withColumnRenamed("id", "capture_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The first, the most recent trusted and the best tagged row of each page that docs holds more than once."""
+    return survivors.ranked_pages(table(prepare(spark), folder, "docs")).select("first_id", "recent_id", "tags_id")
+
+
+def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """One record a page, built field by field."""
+    return survivors.survivors(table(prepare(spark), folder, "docs"))
+
+
+def _overlap(spark: SparkSession, folder: str) -> split_overlap.Overlap:
+    prepare(spark)
+    return split_overlap.split_overlap(table(spark, folder, "labeled"), table(spark, folder, "holdout"), "row_id", "body", threshold=0.6, size=3, min_words=20)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of labeled and holdout whose bodies, of at least 20 words, have a likeness of 0.6 or more."""
+    return _overlap(spark, folder).pairs().select(F.col("train_id").alias("labeled_row_id"), F.col("eval_id").alias("holdout_row_id"))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping rows of each split and source of holdout."""
+    return split_overlap.report(_overlap(spark, folder), table(spark, folder, "holdout"), "row_id", "split", "source")
+
+
+def _site_lines(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return repeated_lines.site_lines(table(spark, folder, "captured_content"), table(spark, folder, "docs"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line that occurs in at least 10 captures of its site."""
+    return repeated_lines.frequent_occurrences(_site_lines(spark, folder)).select(F.col("id").alias("capture_id"), "line_no")
+
+
+def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Each capture without the lines its site repeats."""
+    return repeated_lines.without_lines(table(prepare(spark), folder, "captured_content"), p6_found(spark, folder))
+
+
+def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of up to three lines that at least 10 captures of one site carry."""
+    found = repeated_lines.frequent_sequences(_site_lines(spark, folder), max_length=3)
+    return found.select("site_key", F.array_join(F.col("pattern").cast("array<string>"), " ").alias("pattern"), "n_docs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+RUNS = "unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])"
+
+P1_FOUND = f"""
+WITH words AS (SELECT DISTINCT capture_id AS id, {WORDS.format("content_markdown")} AS w FROM captured_content),
+runs AS (SELECT DISTINCT id, {RUNS} AS run FROM words WHERE len(w) >= 60),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
+SELECT a AS capture_id_a, b AS capture_id_b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b
+WHERE k >= 0.6 * (x.n + y.n - k)
+"""
+
+P2_FOUND = r"""
+WITH parts AS (
+    SELECT id, updated_at, tags, source, lower(regexp_extract(source, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+        regexp_replace(regexp_replace(source, '^[^:]*://', ''), '#.*$', '', 's') AS rest
+    FROM docs WHERE source IS NOT NULL AND id IS NOT NULL),
+split AS (
+    SELECT *, lower(regexp_extract(rest, '^([^/?]*)', 1)) AS host, regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        [p for p in string_split(regexp_extract(rest, '[?](.*)$', 1), '&') if p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^(utm_.*|fbclid|gclid|mc_cid|mc_eid)$')] AS args
+    FROM parts),
+pages AS (
+    SELECT id, updated_at, CASE WHEN scheme IN ('http', 'https') THEN 'web:' || regexp_replace(CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END, '^www[.]', '')
+            || path || '?' || array_to_string(list_sort(args), '&') ELSE 'raw:' || source END AS page,
+        len(list_distinct([lower(trim(t)) for t in coalesce(tags, []) if t IS NOT NULL AND trim(t) <> ''])) AS n_tags,
+        CASE WHEN updated_at IS NULL THEN 0 WHEN updated_at >= TIMESTAMPTZ '2027-01-01 00:00:00+00' THEN 1 ELSE 2 END AS trust
+    FROM split),
+ranked AS (
+    SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY trust DESC, updated_at DESC NULLS LAST, id DESC) AS recent,
+        row_number() OVER (PARTITION BY page ORDER BY n_tags DESC, trust DESC, updated_at DESC NULLS LAST, id DESC) AS tagged FROM pages)
+SELECT min(id) AS first_id, max(CASE WHEN recent = 1 THEN id END) AS recent_id, max(CASE WHEN tagged = 1 THEN id END) AS tags_id
+FROM ranked GROUP BY page HAVING count(*) > 1
+"""
+
+P4_FOUND = f"""
+WITH words AS (
+    SELECT DISTINCT 't' AS side, row_id AS id, {WORDS.format("body")} AS w FROM labeled
+    UNION ALL SELECT DISTINCT 'e', row_id, {WORDS.format("body")} FROM holdout),
+runs AS (SELECT DISTINCT side, id, {RUNS} AS run FROM words WHERE len(w) >= 20),
+sizes AS (SELECT side, id, count(*) AS n FROM runs GROUP BY 1, 2),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM runs a JOIN runs b ON a.run = b.run AND a.side = 't' AND b.side = 'e' GROUP BY 1, 2)
+SELECT a AS labeled_row_id, b AS holdout_row_id FROM shared JOIN sizes x ON x.side = 't' AND x.id = a JOIN sizes y ON y.side = 'e' AND y.id = b
+WHERE k >= 0.6 * (x.n + y.n - k)
+"""
+
+P6_FOUND = r"""
+WITH sites AS (
+    SELECT id AS doc_id, CASE WHEN lower(source) LIKE 'email:%' THEN lower(split_part(source, '@', -1))
+        ELSE regexp_replace(regexp_replace(regexp_extract(lower(source), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), ':[0-9]*$', ''), '^www[.]', '') END AS site
+    FROM docs WHERE source IS NOT NULL),
+lines AS (
+    SELECT DISTINCT capture_id, doc_id, unnest(range(1, len(string_split(content_markdown, chr(10))) + 1)) AS line_no, unnest(string_split(content_markdown, chr(10))) AS line FROM captured_content),
+normal AS (
+    SELECT capture_id, site, line_no, trim(regexp_replace(lower(line), '[^\p{L}]+', ' ', 'g')) AS line
+    FROM lines JOIN sites USING (doc_id) WHERE site <> '' AND NOT starts_with(line, '#')),
+counted AS (SELECT * FROM normal WHERE length(replace(line, ' ', '')) >= 12),
+frequent AS (SELECT site, line FROM counted GROUP BY site, line HAVING count(DISTINCT capture_id) >= 10)
+SELECT capture_id, line_no FROM counted JOIN frequent USING (site, line)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL that gives the same rows, for those queries that SQL can answer over whole tables."""
-    return {}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
