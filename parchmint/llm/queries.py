@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm import near_dup, repeated_lines, split_overlap, survivors
+from parchmint.llm import lookalikes, near_dup, packing, repeated_lines, split_overlap, survivors, tokens
 from parchmint.session import prepare
 from parchmint.tables import table
 
@@ -72,6 +72,44 @@ def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("site_key", F.array_join(F.col("pattern").cast("array<string>"), " ").alias("pattern"), "n_docs")
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of each text of documents by byte_bpe_50k."""
+    return tokens.encode(table(prepare(spark), folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[int, int]]:
+    prepare(spark)
+    rows = table(spark, folder, "pack_targets").select("target_id", "tokenizer", "capacity_tokens").collect()  # a small table of parameters
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    whole = None
+    for tokenizer in sorted({r["tokenizer"] for r in rows}):
+        sizes = tokens.encode(texts, "doc_id", "text", tokenizer).select("id", F.size("ids").alias("n")).where("n >= 0")
+        packed = packing.pack(sizes, {r["target_id"]: r["capacity_tokens"] for r in rows if r["tokenizer"] == tokenizer})
+        whole = packed if whole is None else whole.unionByName(packed)
+    return whole, {r["target_id"]: r["capacity_tokens"] for r in rows}
+
+
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each text, or of each piece of a text beyond the capacity, for each target."""
+    return _packed(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and unused space of each target."""
+    return packing.summary(*_packed(spark, folder))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose texts differ as strings but look the same."""
+    found = lookalikes.look_alikes(table(prepare(spark), folder, "documents"), "doc_id", "text")
+    return found.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of each text."""
+    return lookalikes.normalised(table(prepare(spark), folder, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by its name."""
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
