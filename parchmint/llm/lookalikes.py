@@ -47,6 +47,9 @@ _JOINS = "؀-෿"  # scripts in which a joiner changes the shape of letters
 JOINER = re.compile(f"(?<![{_EMOJI}️{_JOINS}])[‌‍]|[‌‍](?![{_EMOJI}{_JOINS}])")
 SELECTOR = re.compile(f"(?<![{_EMOJI}])[︀-️]")
 TOKEN = re.compile(r"[^\W\d_]+")
+_LATIN, _GREEK, _CYRILLIC = "A-Za-zÀ-ɏḀ-ỿ", "Ͱ-Ͽἀ-῿", "Ѐ-ԯ"
+OTHER_SCRIPT = re.compile(f"[{_GREEK}{_CYRILLIC}]")
+MIXED = re.compile(f"[{_LATIN}][{_GREEK}{_CYRILLIC}]|[{_GREEK}][{_LATIN}{_CYRILLIC}]|[{_CYRILLIC}][{_LATIN}{_GREEK}]")
 
 
 @cache
@@ -68,6 +71,12 @@ def clean_table() -> dict[int, str]:
     return table
 
 
+@cache
+def changing():
+    """Finds the characters that :func:`clean_table` changes, joiners and selectors."""
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(clean_table())) + "\u200c\u200d\ufe00-\ufe0f]")
+
+
 @cache
 def fold_table() -> dict[int, str]:
     return {ord(c): latin for c, latin in (CYRILLIC | GREEK).items()}
@@ -87,6 +96,12 @@ def script_tables() -> dict[str, dict[str, str]]:
     return {"L": CYRILLIC | GREEK, "C": to_cyrillic, "G": to_greek}
 
 
+@cache
+def shared_letters() -> frozenset[str]:
+    """Letters that are drawn like one of another script."""
+    return frozenset(c for t in script_tables().values() for pair in t.items() for c in pair)
+
+
 def script(char: str) -> str:
     """L, C or G for a Latin, Cyrillic or Greek letter, else nothing."""
     code = ord(char)
@@ -99,17 +114,17 @@ def script(char: str) -> str:
 
 def clean(text: str) -> str:
     """The text with widths, spaces, hyphens, ligatures, signs, invisible characters and accents in one form."""
-    if text.isascii():
-        return text
-    if "‌" in text or "‍" in text:
-        text = JOINER.sub("", text)
-    text = unicodedata.normalize("NFC", text.translate(clean_table()))
-    return SELECTOR.sub("", text)
+    if text.isascii() or not changing().search(text):
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    table = clean_table()
+    text = JOINER.sub("", text)
+    text = changing().sub(lambda m: table.get(ord(m.group()), m.group()), text)
+    return SELECTOR.sub("", unicodedata.normalize("NFC", text))
 
 
 def fold(text: str) -> str:
     """A cleaned text with one representative for letters of different scripts that are drawn alike."""
-    if text.isascii():
+    if text.isascii() or not OTHER_SCRIPT.search(text):
         return text
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(fold_table()))
 
@@ -123,8 +138,7 @@ def repair(token: str) -> str | None:
     tables = script_tables()
     parts = unicodedata.normalize("NFD", token)
     # Letters that no other script has decide; the majority only if there are none.
-    alike = set().union(*(set(t) | set(t.values()) for t in tables.values()))
-    own = Counter(script(c) for c in parts if c not in alike and script(c) and unicodedata.category(c)[0] == "L")
+    own = Counter(script(c) for c in parts if c not in shared_letters() and script(c) and unicodedata.category(c)[0] == "L")
     for dominant, _ in (own or Counter(s for s in scripts if s)).most_common():
         table = tables[dominant]
         done = "".join(c if unicodedata.category(c)[0] == "M" or script(c) in ("", dominant) else table.get(c, "\0") for c in parts)
@@ -143,7 +157,7 @@ def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             keys.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63)
             texts.append(tidy := clean(text))
             found = {}
-            if not tidy.isascii():
+            if not tidy.isascii() and MIXED.search(tidy):
                 for token in set(TOKEN.findall(tidy)):
                     if not token.isascii() and (better := repair(token)):
                         found[token] = better
