@@ -170,7 +170,8 @@ def _apply_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         texts = []
         for text, repairs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             accepted = dict((r["token"], r["better"]) for r in repairs)
-            texts.append(TOKEN.sub(lambda m: accepted.get(m.group(), m.group()), text))
+            text = TOKEN.sub(lambda m: accepted.get(m.group(), m.group()), text)
+            texts.append(unicodedata.normalize("NFC", text))  # an accent may compose with its new letter
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "raw", "text"])
 
 
