@@ -1,0 +1,280 @@
+"""The labelled table that the classifier of page lines is trained on, and pages composed from it by rule.
+
+Slots: {n} a name, {N} a site's name, {w} a common word, {i} a number, {d} a date, {t} a title,
+{p} a path, {m} a mail address. Content and furniture are told apart by the section they stand in.
+"""
+
+from __future__ import annotations
+
+import random
+
+# The labelled table, by language. Menu entries, then lines by their kind.
+MENUS = {
+    "en": "Home|News|Culture|Opinion|Weather|Topics|Events|Jobs|Shop|Search|Archive|Letters|Reports|Podcasts|Contact|About us|Subscribe|Sign in",
+    "de": "Startseite|Nachrichten|Kultur|Meinung|Wetter|Themen|Termine|Stellen|Suche|Archiv|Leserbriefe|Kontakt|Über uns|Abo|Anmelden",
+    "fr": "Accueil|Actualités|Culture|Opinions|Météo|Agenda|Emplois|Recherche|Archives|Dossiers|Contact|À propos|Abonnement|Connexion",
+    "es": "Inicio|Noticias|Cultura|Opinión|El tiempo|Temas|Agenda|Empleo|Buscar|Archivo|Contacto|Quiénes somos|Suscripción|Acceder",
+}
+BUTTONS = {
+    "en": ["OK, got it", "Accept all", "Reject all | Manage choices", "[Accept](#) [Settings](#)"],
+    "de": ["Alle akzeptieren", "Ablehnen | Einstellungen", "[Zustimmen](#)"],
+    "fr": ["Tout accepter", "Refuser | Personnaliser", "[J'accepte](#)"],
+    "es": ["Aceptar todo", "Rechazar | Configurar", "[Aceptar](#)"],
+}
+NOTICES = {
+    "en": ["{N} uses cookies to measure visits and remember your settings.", "By continuing to browse {N} you agree to our use of cookies.", "This site needs a few cookies to work. Choose which ones {N} may set.", "We value your privacy. {N} and its partners store information on your device."],
+    "de": ["{N} verwendet Cookies, um Besuche zu zählen und Einstellungen zu speichern.", "Mit der weiteren Nutzung von {N} stimmen Sie der Verwendung von Cookies zu.", "Ihre Privatsphäre ist uns wichtig: {N} speichert Daten auf Ihrem Gerät."],
+    "fr": ["{N} utilise des cookies pour mesurer l'audience et retenir vos réglages.", "En poursuivant votre visite sur {N}, vous acceptez l'usage de traceurs.", "Le respect de votre vie privée compte pour {N} et ses partenaires."],
+    "es": ["{N} usa cookies para medir las visitas y recordar sus ajustes.", "Si sigue navegando por {N}, acepta el uso de cookies.", "Su privacidad nos importa: {N} guarda datos en su dispositivo."],
+}
+BYLINES = {
+    "en": ["By {n} {n} | {N}", "Written by {n} {n}, {N} staff, {d}", "{n} {n} for {N} · {i} min read"],
+    "de": ["Von {n} {n}, {N}, {d}", "Text: {n} {n} | {N} · {i} Min. Lesezeit"],
+    "fr": ["Par {n} {n} pour {N}, le {d}", "{n} {n} | {N} · {i} min de lecture"],
+    "es": ["Por {n} {n} para {N}, {d}", "Texto: {n} {n} | {N} · {i} min"],
+}
+PROMPTS = {
+    "en": ["Enjoyed this? Share {N} with a friend", "Send this {N} story to someone who would like it", "Copy the link and tell {i} people about {N}", "Share this article from {N}: [mail](#) [copy link](#)", "Follow {N} on every channel you like", "Sign up for {N} Weekly – free, no spam", "Get the {N} letter in your inbox every {i} days", "Support independent work: become a member of {N}"],
+    "de": ["Hat es Ihnen gefallen? Empfehlen Sie {N} weiter", "Diesen Artikel von {N} teilen: [Mail](#) [Link kopieren](#)", "Der {N}-Brief: jede Woche in Ihrem Postfach", "Unterstützen Sie {N} mit einem Abo"],
+    "fr": ["Cet article vous a plu ? Partagez {N}", "Partager cette page de {N} : [courriel](#) [lien](#)", "Soutenez {N} : abonnez-vous", "Recevez la lettre de {N} chaque semaine"],
+    "es": ["¿Le ha gustado? Comparta {N} con un amigo", "Compartir esta página de {N}: [correo](#) [enlace](#)", "Reciba la carta de {N} cada semana", "Apoye a {N}: suscríbase"],
+}
+LEGAL = {
+    "en": ["Nothing on {N} is financial or legal advice.", "{N} may earn a commission when you buy through links on this page.", "Reproduction of {N} articles without written permission of {n} is prohibited.", "Views expressed here are those of the author and not of {N}.", "This piece first ran in the print edition of {N}, page {i}."],
+    "de": ["Die Beiträge auf {N} ersetzen keine Rechtsberatung.", "Einige Links auf {N} sind Werbelinks, Stand {i}.", "Nachdruck von Texten aus {N} nur mit Zustimmung von {n}."],
+    "fr": ["Les articles de {N} ne constituent pas un conseil juridique.", "Certains liens de {N} sont sponsorisés ({i}).", "Toute reproduction des textes de {N} sans accord de {n} est interdite."],
+    "es": ["Los textos de {N} no constituyen asesoría legal.", "Algunos enlaces de {N} son de pago ({i}).", "Prohibida la reproducción de {N} sin permiso de {n}."],
+}
+ADS = {"en": ["Ad", "Advertisement", "Sponsored", "Story continues below"], "de": ["Anzeige", "Werbung"], "fr": ["Publicité"], "es": ["Publicidad"]}
+POINTERS = {
+    "en": ["Read also: {t}", "See also → {t}", "Related: [{t}]({p})", "← Previous: {t} | Next: {t} →"],
+    "de": ["Lesen Sie auch: {t}", "Mehr dazu: [{t}]({p})", "« Vorheriger Beitrag: {t} | Nächster: {t} »"],
+    "fr": ["À lire : {t}", "Voir aussi : [{t}]({p})", "← Précédent : {t} | Suivant : {t} →"],
+    "es": ["Lea también: {t}", "Ver también: [{t}]({p})", "← Anterior: {t} | Siguiente: {t} →"],
+}
+SIDEBARS = {
+    "en": ["You may also like", "Related articles", "Most read", "Trending now", "More from this section"],
+    "de": ["Meistgelesen", "Mehr zum Thema", "Das könnte Sie auch interessieren"],
+    "fr": ["À lire aussi", "Les plus lus", "Sur le même sujet"],
+    "es": ["Lo más leído", "Más sobre este tema", "También le puede interesar"],
+}
+COMMENTS = {
+    "en": ["Filed under: {n}, {w}, {n}", "{i} comments", "Leave a reply", "Log in to comment", "Comments on {N} need JavaScript to be switched on."],
+    "de": ["Schlagwörter: {n}, {w}, {n}", "{i} Kommentare", "Für Kommentare auf {N} muss JavaScript aktiv sein."],
+    "fr": ["Mots-clés : {n}, {w}, {n}", "{i} avis", "Les commentaires de {N} exigent JavaScript."],
+    "es": ["Etiquetas: {n}, {w}, {n}", "{i} ecos", "Los comentarios de {N} requieren JavaScript."],
+}
+FOOTERS = {
+    "en": ["© {i} {N}. All rights reserved.", "Terms of use | Privacy policy | Cookie settings | {N}", "{N} is published by {n} Media, {i} {n} Street, {n}", "Powered by {n} Pages for {N}", "Questions? Write to {m}", "Back to the top of {N}", "Your choices about tracking on {N} can be changed at any time."],
+    "de": ["© {i} {N}. Alle Rechte vorbehalten.", "Impressum | Datenschutz | AGB | {N}", "{N} erscheint im Verlag {n}, {n} {i}, {n}", "Fragen an die Redaktion: {m}", "Nach oben auf {N}"],
+    "fr": ["© {i} {N}. Tous droits réservés.", "Mentions légales | Confidentialité | Plan du site {N}", "{N} est édité par {n}, {i} rue de {n}, {n}", "Écrire à la rédaction : {m}", "Haut de page de {N}"],
+    "es": ["© {i} {N}. Todos los derechos reservados.", "Aviso legal | Privacidad | Mapa de {N}", "{N} es una publicación de {n}, calle {n} {i}, {n}", "Escriba a la redacción: {m}", "Volver arriba en {N}"],
+}
+TITLES = {
+    "en": ["How {n} {n} rebuilt {n}", "Inside the {n} {w}", "Notes on {n}: {w}s, {w}s and {w}s", "The {w} problem of {n}", "What {n} learned from a {w}", "Why {n} gave up its {w}", "{n} and the {w} problem", "A {w} for {n}"],
+    "de": ["Was in {n} wirklich geschah", "Wie {n} seine Archive neu ordnet", "Das {n}-Verfahren im Alltag", "{n} {n}: ein Gespräch über {n}"],
+    "fr": ["Ce qui s'est passé à {n}", "La méthode {n} au quotidien", "{n} {n} : entretien sur {n}", "Comment {n} range ses archives"],
+    "es": ["Lo que pasó en {n}", "El método {n} a diario", "{n} {n}: una charla sobre {n}", "Cómo {n} ordena sus archivos"],
+}
+HEADINGS = {
+    "en": ["What changed at {n}", "Where {n} stands", "A note on {n} {n}", "Numbers from {n}", "The {w} question"],
+    "de": ["Was sich in {n} änderte", "Zahlen aus {n}", "Zum Schluss: {n}"],
+    "fr": ["Le cas {n}", "Les chiffres de {n}", "Ce qui change à {n}"],
+    "es": ["El caso {n}", "Qué cambia en {n}", "Las cifras de {n}"],
+}
+SENTENCES = {
+    "en": ["The {w} of {n} opened the old {w} in front of a full hall.", "According to {n} {n}, the small {w} tested {i} {w}s after two failed attempts.", "In {i}, the council sold the {w} because the method was too slow.", "Nobody at {n} wanted to subscribe to another newsletter, so {n} printed one on paper.", "The privacy policy of {n} runs to {i} pages, and {n} read every one of them aloud.", "Readers of {n} asked whether the cookie banner could be dropped; {n} said the site would rather set no cookies at all.", "Share prices mattered less at {n} than the menu of the canteen, {n} wrote.", "In the footer of the first draft, {n} had copied the address of {n} by mistake.", "“We [the council of {n}] never closed it,” {n} said [{i}].", "The sign on the door of {n} reads “{i} – room not found”, a joke {n} has never explained."],
+    "de": ["Die Schule am Fluss prüfte die Sammlung in {n} vor vollem Saal.", "Nach Angaben von {n} {n} verkaufte der Verein {i} Akten.", "Das Impressum von {n} war {i} Zeilen lang und enthielt drei Fehler.", "Die Cookie-Abfrage von {n} sei überflüssig, schrieb {n} in einem Brief an die Redaktion.", "In {n} wollte niemand einen weiteren Newsletter abonnieren, also druckte {n} einen auf Papier."],
+    "fr": ["La mairie de {n} a mesuré {i} dossiers sans consulter le bureau.", "Selon {n} {n}, le petit atelier a ouvert la collection après deux échecs.", "Les mentions légales de {n} tenaient sur {i} lignes, note {n}.", "Personne à {n} ne voulait s'abonner à une autre lettre, alors {n} en a imprimé une."],
+    "es": ["El museo de {n} abrió {i} expedientes tras dos intentos fallidos.", "Según {n} {n}, la escuela vendió la colección ante una sala llena.", "El aviso de cookies de {n} ocupaba {i} líneas, según {n}.", "Nadie en {n} quería suscribirse a otro boletín, así que {n} imprimió uno."],
+}
+# Plain sentences are put together from these: who | did | what | how.
+CLAUSES = {
+    "en": (
+        "The {w} of {n}|{n}'s {w}|The local {w}|{i} old {w}s|In {i}, the {w} of {n}|According to {n} {n}, the late {w}|Since then, a rural {w}|By the end of May, the plain {w}",
+        "measured|moved|copied|questioned|repaired|painted|described|tested|funded|sorted|delayed|rejected|opened|closed|translated|rebuilt|mapped|split",
+        "the {w}|the wet {w}|{i} slow {w}s|{n}'s {w}|the {w} of {n}|the honest {w}, and the thin {w} replaced the {w}",
+        "|as the first figures arrived|with fewer people than expected|because the old method was too slow|for the third year in a row|on a single afternoon|using nothing but pencil and paper|which surprised even the authors|without asking the board|until the supplier changed the part|at half the planned cost|despite a cold spring",
+    ),
+    "de": (
+        "Der Stadtrat|Die Bibliothek|Das Museum|Die Schule am Fluss|Der alte Hafen|Eine Gruppe aus {n}|Der Verein {n}|Die Genossenschaft {n}|Das Team um {n} {n}|Die Leitung von {n}|Das kleine Archiv|Ein Labor in {n}|Die neue Werkstatt|Der Betreiber|Die Redaktion",
+        "verschob|prüfte|kürzte|verglich|übersetzte|reparierte|beschrieb|finanzierte|ersetzte|öffnete|sammelte|verkaufte|erneuerte|vermaß|übernahm",
+        "die Sammlung|den Fahrplan|das Verzeichnis von {n} {n}|die Straße nach {n}|die Brücke über den Kanal|die Messwerte aus {n}|den Haushalt für {i}|die größte Turbine|{i} Geräte|{i} Akten|einen Teil der Vorräte|ein gutes Dutzend Entwürfe|den Garten hinter dem Depot|die Übersetzung",
+        "|vor vollem Saal|nach zwei gescheiterten Versuchen|für die Hälfte der Kosten|an einem einzigen Nachmittag|weil das alte Verfahren zu langsam war|bis der Lieferant wechselte|ohne Rücksprache mit dem Vorstand|mit weniger Leuten als geplant|mit geliehenem Werkzeug|trotz des kalten Frühlings|zum dritten Mal in Folge|und schrieb darüber einen langen Bericht",
+    ),
+    "fr": (
+        "La mairie|Le conseil|La chorale de {n}|L'école du quartier|Le service des archives|Le vieux port|Un laboratoire|Une coopérative de {n}|L'équipe de {n} {n}|Le musée de {n}|La bibliothèque|Un groupe de lecteurs|Le petit atelier|La rédaction|Depuis {i}, la mairie|Près de {n}, le conseil|D'après les notes de {n} {n}, la bibliothèque|Comme le raconte {n}, le musée",
+        "a vendu|a comparé|a retardé|a décrit|a mesuré|a contesté|a remplacé|a ouvert|a copié|a traduit|a financé|a déplacé|a raccourci|a réparé",
+        "{i} dossiers|{i} appareils|les relevés de {n}|le catalogue général|une partie des réserves|la plus grande turbine|la collection d'été|le registre de {n} {n}|le jardin derrière le dépôt|le budget de {i}|la route vers {n}|une dizaine de brouillons|le pont du canal",
+        "|sans consulter le bureau|après deux échecs|malgré un printemps très froid|jusqu'au changement de fournisseur|pour la moitié du prix prévu|avec du matériel prêté|avec moins de monde que prévu|devant une salle pleine|en un seul après-midi|parce que l'ancienne méthode était trop lente|pour la troisième année de suite|et a rédigé un long rapport",
+    ),
+    "es": (
+        "El ayuntamiento|El museo de {n}|La biblioteca|Un grupo de lectores|El coro de {n}|Una cooperativa de {n}|El pequeño taller|La redacción|El viejo puerto|La escuela del barrio|El servicio de archivos|Un laboratorio|Desde {i}, el consejo|Cerca de {n}, el museo|Según {n} {n}, la redacción|Como cuenta {n}, el coro|Antes del verano, el ayuntamiento",
+        "acortó|describió|sustituyó|trasladó|abrió|cuestionó|tradujo|comparó|reparó|vendió|financió|retrasó|midió|copió",
+        "{i} expedientes|{i} aparatos|el registro de {n} {n}|el catálogo general|una parte de las reservas|la mayor turbina|la colección de otoño|el presupuesto de {i}|la carretera a {n}|una docena de borradores|el puente del canal|las mediciones de {n}|el jardín detrás del depósito",
+        "|sin consultar a la junta|tras dos intentos fallidos|pese a una primavera fría|hasta que cambió el proveedor|por la mitad del precio|con material prestado|con menos gente de lo previsto|ante una sala llena|en una sola tarde|porque el método antiguo era demasiado lento|por tercer año consecutivo|y redactó un informe largo",
+    ),
+}
+CAPTIONS = ["*{n}, {M} {i}. {n} {n}*", "*{n} – {n} {n}, {i}*"]
+MONTHS = "January February March April May June July August September October November December".split()
+# Stand-ins for a page's content where there is none: error and filler text counts as content.
+STAND_INS = ["Request id: {n}", "Retry in {i} s", "Contact {n} if this keeps happening.", "© {n}", "[Back to {p}]({p})", "{i} Bad Gateway", "Nothing here. The link that brought you to {n} seems to be dead.", "You need to enable JavaScript to run this app.", "Sample text. Replace this paragraph with the story of {n}."]
+WORDS = "archive bakery battery bridge canal choir council ferry filter garden glacier harbour kiln lens library market meadow mill notebook orchard parser pump queue recipe roof school signal survey token tram tunnel window".split()
+
+
+class Composer:
+    """Pages with a label for each line: True for furniture, False for content, None for blank lines."""
+
+    def __init__(self, seed: int = 11):
+        self.random = random.Random(seed)
+
+    def name(self) -> str:
+        r = self.random
+        return "".join(r.choice("bcdfgklmnprstvz") + r.choice(["a", "e", "i", "o", "u", "ae", "ou"]) for _ in range(r.randint(2, 4))).capitalize() + r.choice(["", "x", "n", "th", "lt"])
+
+    def fill(self, template: str, site: str, titles: list[str]) -> str:
+        r, text = self.random, template
+        while "{" in text:
+            slot = text[text.index("{") : text.index("}") + 1]
+            value = {
+                "{n}": self.name, "{N}": lambda: site, "{w}": lambda: r.choice(WORDS), "{i}": lambda: str(r.randint(2, 2026)), "{d}": lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}",
+                "{t}": lambda: self.fill(r.choice(titles), site, titles), "{p}": lambda: f"https://{self.name().lower()}.example/{self.name().lower()}" if r.random() < 0.5 else f"/{self.name().lower()}",
+                "{m}": lambda: f"desk@{self.name().lower()}.example", "{M}": lambda: r.choice(MONTHS),
+            }[slot]()
+            text = text.replace(slot, value, 1)
+        return text
+
+    def worn(self, line: str) -> str:
+        """A furniture line as a converter may leave it."""
+        r = self.random
+        kind = r.random()
+        if kind < 0.5:
+            return line
+        if kind < 0.6 and "](" not in line:
+            return line.upper()
+        if kind < 0.65:
+            return line.replace(" ", "  ", 1)
+        return r.choice(["*{}*", "**{}**", "> {}", "- {}", "{}  "]).format(line)
+
+    def page(self) -> list[tuple[str, bool | None]]:
+        r = self.random
+        lang = r.choice(["en", "en", "en", "de", "fr", "es"])
+        site, out = f"{self.name()} {self.name()}", []
+        if r.random() < 0.5:
+            site = f"{self.name()} {r.choice(['Notes', 'Gazette', 'Courier', 'Journal', 'Post', 'Review', 'Almanac', 'Dispatch'])}"
+        if r.random() < 0.2:
+            site = site.replace(" ", "")
+        titles = TITLES[lang]
+        fill = lambda t: self.fill(t, site, titles)
+        blank = lambda: out.append(("", None)) if out and out[-1][0] else None
+        add = lambda t, furniture: out.append((self.worn(fill(t)) if furniture else fill(t), furniture))
+        chance = lambda p: r.random() < p
+
+        def menu() -> None:
+            entries = r.sample(MENUS[lang].split("|"), r.randint(3, 9))
+            style = r.randrange(4)
+            if style == 0:
+                out.extend((e, True) for e in entries)
+            elif style == 1:
+                out.extend((f"- [{e}](https://{self.name().lower()}.example/{e.split()[0].lower()})", True) for e in entries)
+            else:
+                mark = r.choice([" | ", " · ", " / "])
+                cut = r.randint(1, len(entries))
+                out.extend((mark.join(part), True) for part in (entries[:cut], entries[cut:]) if part)
+
+        def notice() -> None:
+            add(r.choice(NOTICES[lang]), True)
+            add(r.choice(BUTTONS[lang]), True)
+
+        def sidebar() -> None:
+            lead = r.choice(SIDEBARS[lang])
+            out.append((r.choice(["## {}", "**{}**", "{}", "{}:"]).format(lead), True))
+            style = r.randrange(3)
+            for k in range(r.randint(2, 5)):
+                title = f"{fill('{t}')} – {self.name()}"
+                out.append(([f"{k + 1}. {title}", title, f"- [{title}](https://{self.name().lower()}.example/{self.name().lower()})"][style], True))
+
+        def sentence() -> str:
+            if chance(0.15):
+                return fill(r.choice(SENTENCES[lang]))
+            return fill(" ".join(r.choice(part.split("|")) for part in CLAUSES[lang]).rstrip()) + r.choice("...?")
+
+        def paragraph() -> None:
+            out.append((" ".join(sentence() for _ in range(r.choice([1, 1, 2, 3, 4]))), False))
+
+        title = fill("{t}")
+        if chance(0.2):
+            out.append((f"[{r.choice(MENUS[lang].split('|'))}](/) > {self.name()} > {title}", True))
+        if chance(0.25):
+            notice()
+            blank()
+        if chance(0.6):
+            menu()
+            blank()
+        broken = chance(0.08)
+        if chance(0.75):
+            out.append((r.choice(["# {}", "# {}", "# {}", "{}"]).format(title), False))
+            blank()
+        if chance(0.5):
+            add(r.choice(BYLINES[lang]), True)
+            blank() if chance(0.6) else None
+        if chance(0.2):
+            add(r.choice(PROMPTS[lang]), True)
+            blank()
+        for _ in range(1 if broken else r.randint(2, 9)):
+            kind = r.random()
+            if broken:
+                for t in r.sample(STAND_INS, 2):
+                    add(t, False)
+                    blank()
+                break
+            if kind < 0.55:
+                paragraph()
+            elif kind < 0.63:
+                add(r.choice(["## ", "### "]) + r.choice(HEADINGS[lang]), False)
+            elif kind < 0.70:
+                mark = r.randrange(4)
+                for k in range(r.randint(2, 4)):
+                    item = [f"- {sentence()}", f"{k + 1}. {self.name()}, {fill('{w} {w}')}", f"- [{fill('{n} {w}')}](https://{self.name().lower()}.example/{self.name().lower()}) – {sentence()}", f"{k + 1}. {sentence()}"][mark]
+                    out.append((item, False))
+            elif kind < 0.74:
+                out.extend([(f"> {sentence()}", False), (f"> — {fill('{n} {n}')}", False)])
+            elif kind < 0.78:
+                a, b = self.name().lower(), self.name().lower()
+                out.extend((x, False) for x in ("```", f'{a} = load("{b}")', f"for item in {a}.{b}():", f"    print(item.{b})", "```"))
+            elif kind < 0.82:
+                out.extend((fill(x), False) for x in ("| {n} {w} | {n} |", "|---|---|", "| {n} | {i} |", "| {n} | {i} |"))
+            elif kind < 0.87:
+                add(r.choice(CAPTIONS), False)
+            elif kind < 0.91:
+                out.append((r.choice(ADS[lang]), True))
+            elif kind < 0.96:
+                add(r.choice(POINTERS[lang]), True)
+            else:
+                add(r.choice(PROMPTS[lang]), True)
+            blank()
+        endings = [(0.35, COMMENTS[lang][:1]), (0.5, PROMPTS[lang]), (0.3, LEGAL[lang])]
+        for p, lines in endings:
+            if chance(p):
+                add(r.choice(lines), True)
+                blank() if chance(0.2) else None
+        if chance(0.5):
+            blank() if chance(0.5) else None
+            sidebar()
+            blank()
+        for p, lines in [(0.2, POINTERS[lang][-1:]), (0.3, COMMENTS[lang][1:]), (0.3, COMMENTS[lang][1:]), (0.15, NOTICES[lang])]:
+            if chance(p):
+                add(r.choice(lines), True)
+                blank() if chance(0.3) else None
+        blank()
+        for t in r.sample(FOOTERS[lang], r.randint(0, 4)):
+            add(t, True)
+        if chance(0.1):
+            notice()
+        return out
+
+
+def pages(n: int = 500, seed: int = 11) -> list[list[tuple[str, bool | None]]]:
+    """``n`` labelled pages; the same for the same arguments."""
+    composer = Composer(seed)
+    return [composer.page() for _ in range(n)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm import lookalikes, near_dup, packing, repeated_lines, split_overlap, survivors, tokens
+from parchmint.llm import lookalikes, main_content, near_dup, packing, repeated_lines, split_overlap, survivors, tokens
 from parchmint.session import prepare
 from parchmint.tables import table
 
@@ -51,6 +51,18 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.report(_overlap(spark, folder), table(spark, folder, "holdout"), "row_id", "split", "source")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Non-blank lines of articles of at least 60 words that are not main content."""
+    articles = table(prepare(spark), folder, "captured_content").where("content_type = 'article'")
+    return main_content.furniture_lines(articles, "capture_id", "content_markdown").withColumnRenamed("id", "capture_id")
+
+
+def p5_content(spark: SparkSession, folder: str) -> DataFrame:
+    """Each article's main content."""
+    articles = table(prepare(spark), folder, "captured_content").where("content_type = 'article'")
+    return main_content.main_content(articles, "capture_id", "content_markdown").withColumnRenamed("id", "capture_id")
+
+
 def _site_lines(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return repeated_lines.site_lines(table(spark, folder, "captured_content"), table(spark, folder, "docs"))
