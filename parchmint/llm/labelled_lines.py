@@ -118,7 +118,14 @@ CLAUSES = {
 CAPTIONS = ["*{n}, {M} {i}. {n} {n}*", "*{n} – {n} {n}, {i}*"]
 MONTHS = "January February March April May June July August September October November December".split()
 # Stand-ins for a page's content where there is none: error and filler text counts as content.
-STAND_INS = ["Request id: {n}", "Retry in {i} s", "Contact {n} if this keeps happening.", "© {n}", "[Back to {p}]({p})", "{i} Bad Gateway", "Nothing here. The link that brought you to {n} seems to be dead.", "You need to enable JavaScript to run this app.", "Sample text. Replace this paragraph with the story of {n}."]
+STAND_INS = [
+    "Request id: {n}", "Retry in {i} s", "Contact {n} if this keeps happening.", "© {n}", "[Back to {p}]({p})", "{i} Bad Gateway", "The {n} upstream did not respond.", "You need to enable JavaScript to run this app.",
+    "Nothing here. The link that brought you to {n} seems to be dead.", "Seite nicht gefunden. Die angeforderte Adresse existiert auf {n} nicht mehr.", "Cette page n'existe plus sur {n}. Erreur {i}.", "No encontramos la página solicitada en {n}.",
+    "Bitte aktivieren Sie JavaScript, um {n} anzuzeigen.", "Veuillez activer JavaScript pour afficher {n}.", "Active JavaScript en su navegador para ver {n}.", "JavaScript is disabled in your browser. Turn it on and reload {n}.",
+    "Verify you are human by completing the action below. {n} needs to review the security of your connection.", "Votre session a expiré. Reconnectez-vous à {n}.", "Su sesión ha caducado, inicie sesión otra vez en {n}.", "Zugriff verweigert. Vorgang {n}",
+    "Etwas ist schiefgelaufen. Bitte laden Sie {n} später erneut.", "Une erreur est survenue chez {n}. Référence {n}.", "Error inesperado en {n}. Vuelva a intentarlo. Código {n}.", "Service temporarily unavailable. {n} is down for maintenance, back soon.",
+    "Sample text. Replace this paragraph with the story of {n}.", "Blindtext für {n}: hier steht später der richtige Inhalt.", "Texte provisoire pour {n}, à remplacer avant publication.", "Texto de relleno para {n}; sustituir antes de publicar.", "Your content goes here. {n} block {i}.",
+]
 WORDS = "archive bakery battery bridge canal choir council ferry filter garden glacier harbour kiln lens library market meadow mill notebook orchard parser pump queue recipe roof school signal survey token tram tunnel window".split()
 
 
@@ -211,7 +218,7 @@ class Composer:
         if chance(0.6):
             menu()
             blank()
-        broken = chance(0.08)
+        broken = chance(0.12)
         if chance(0.75):
             out.append((r.choice(["# {}", "# {}", "# {}", "{}"]).format(title), False))
             blank()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm import lookalikes, main_content, near_dup, packing, repeated_lines, split_overlap, survivors, tokens
+from parchmint.llm import lookalikes, main_content, near_dup, packing, repeated_lines, residue, split_overlap, survivors, tokens
 from parchmint.session import prepare
 from parchmint.tables import table
 
@@ -36,6 +36,20 @@ def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.survivors(table(prepare(spark), folder, "docs"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures with unfilled fields, filler, error messages or demands for scripts instead of content."""
+    captures = table(prepare(spark), folder, "captured_content")
+    return residue.residue(captures, "capture_id", "title", "content_markdown").select(F.col("id").alias("capture_id"))
+
+
+def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases of each kind, by content type."""
+    captures = table(prepare(spark), folder, "captured_content")
+    kinds = captures.select("capture_id", "content_type").distinct()
+    found = residue.residue(captures, "capture_id", "title", "content_markdown").withColumnRenamed("id", "capture_id")
+    return found.join(kinds, "capture_id").groupBy("content_type", "why").agg(F.count("*").alias("n"))
+
+
 def _overlap(spark: SparkSession, folder: str) -> split_overlap.Overlap:
     prepare(spark)
     return split_overlap.split_overlap(table(spark, folder, "labeled"), table(spark, folder, "holdout"), "row_id", "body", threshold=0.6, size=3, min_words=20)
