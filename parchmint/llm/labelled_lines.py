@@ -1,6 +1,6 @@
 """The labelled table that the classifier of page lines is trained on, and pages composed from it by rule.
 
-Slots: {n} a name, {N} a site's name, {w} a common word, {i} a number, {d} a date, {t} a title,
+Slots: {n} a name, {N} a site's name, {w} a common noun, {a} an adjective, {i} a number, {d} a date, {t} a title,
 {p} a path, {m} a mail address. Content and furniture are told apart by the section they stand in.
 """
 
@@ -71,7 +71,7 @@ FOOTERS = {
     "es": ["© {i} {N}. Todos los derechos reservados.", "Aviso legal | Privacidad | Mapa de {N}", "{N} es una publicación de {n}, calle {n} {i}, {n}", "Escriba a la redacción: {m}", "Volver arriba en {N}"],
 }
 TITLES = {
-    "en": ["How {n} {n} rebuilt {n}", "Inside the {n} {w}", "Notes on {n}: {w}s, {w}s and {w}s", "The {w} problem of {n}", "What {n} learned from a {w}", "Why {n} gave up its {w}", "{n} and the {w} problem", "A {w} for {n}"],
+    "en": ["How {n} {n} rebuilt {n}", "Inside the {n} {w}", "Notes on {n}: {w}s, {w}s and {w}s", "The {a} {w} of {n}", "What {n} {n} learned from a {a} {w}", "Why {n} gave up its {a} {w}", "{n} and the {w} problem", "A {a} {w} for {n}"],
     "de": ["Was in {n} wirklich geschah", "Wie {n} seine Archive neu ordnet", "Das {n}-Verfahren im Alltag", "{n} {n}: ein Gespräch über {n}"],
     "fr": ["Ce qui s'est passé à {n}", "La méthode {n} au quotidien", "{n} {n} : entretien sur {n}", "Comment {n} range ses archives"],
     "es": ["Lo que pasó en {n}", "El método {n} a diario", "{n} {n}: una charla sobre {n}", "Cómo {n} ordena sus archivos"],
@@ -91,9 +91,9 @@ SENTENCES = {
 # Plain sentences are put together from these: who | did | what | how.
 CLAUSES = {
     "en": (
-        "The {w} of {n}|{n}'s {w}|The local {w}|{i} old {w}s|In {i}, the {w} of {n}|According to {n} {n}, the late {w}|Since then, a rural {w}|By the end of May, the plain {w}",
+        "The {w} of {n}|{n}'s {w}|The {a} {w}|{i} {a} {w}s|In {i}, the {w} of {n}|According to {n} {n}, the {a} {w}|Since then, the {a} {w}|By the end of May, the {a} {w}",
         "measured|moved|copied|questioned|repaired|painted|described|tested|funded|sorted|delayed|rejected|opened|closed|translated|rebuilt|mapped|split",
-        "the {w}|the wet {w}|{i} slow {w}s|{n}'s {w}|the {w} of {n}|the honest {w}, and the thin {w} replaced the {w}",
+        "the {a} {w}|{i} {a} {w}s|{n}'s {w}|the {w} of {n}|the {a} {w}, and the {a} {w} replaced {n}'s {w}",
         "|as the first figures arrived|with fewer people than expected|because the old method was too slow|for the third year in a row|on a single afternoon|using nothing but pencil and paper|which surprised even the authors|without asking the board|until the supplier changed the part|at half the planned cost|despite a cold spring",
     ),
     "de": (
@@ -128,6 +128,8 @@ STAND_INS = [
 ]
 WORDS = "archive bakery battery bridge canal choir council ferry filter garden glacier harbour kiln lens library market meadow mill notebook orchard parser pump queue recipe roof school signal survey token tram tunnel window".split()
 
+ADJECTIVES = "ancient borrowed bright broken careful cheap clever coastal dense distant dry early exact formal fragile gradual heavy hidden honest late light local loose mixed modern modest narrow noisy odd open patient plain private public quiet rapid regional remote rough rural sealed seasonal shared slow spare steady stubborn thin uneven wet wide".split()
+
 
 class Composer:
     """Pages with a label for each line: True for furniture, False for content, None for blank lines."""
@@ -144,7 +146,7 @@ class Composer:
         while "{" in text:
             slot = text[text.index("{") : text.index("}") + 1]
             value = {
-                "{n}": self.name, "{N}": lambda: site, "{w}": lambda: r.choice(WORDS), "{i}": lambda: str(r.randint(2, 2026)), "{d}": lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}",
+                "{n}": self.name, "{N}": lambda: site, "{w}": lambda: r.choice(WORDS), "{a}": lambda: r.choice(ADJECTIVES), "{i}": lambda: str(r.randint(2, 2026)), "{d}": lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}",
                 "{t}": lambda: self.fill(r.choice(titles), site, titles), "{p}": lambda: f"https://{self.name().lower()}.example/{self.name().lower()}" if r.random() < 0.5 else f"/{self.name().lower()}",
                 "{m}": lambda: f"desk@{self.name().lower()}.example", "{M}": lambda: r.choice(MONTHS),
             }[slot]()

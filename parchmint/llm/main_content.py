@@ -26,15 +26,17 @@ from pyspark.sql import functions as F
 from parchmint.llm import labelled_lines
 from parchmint.llm.shingles import WORD
 
-PART = re.compile(r"\]\([^)]*\)|\S+@\S+|https?://\S+|\d+(?:-\d+)*|[^\W\d_]+|[|·/>→←»«©?:\[]")
+PART = re.compile(r"\]\([^)]*\)|\S+@\S+|https?://\S+|\d+(?:-\d+)*|[^\W\d_]+|[|·/>→←»«©?:–\[]")
 LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 NAMED_END = re.compile(r" – [^\W\d_]+(?:\]\([^)]*\))?$")
 EDGES = re.compile(r"^[\s>*_\-]+|[\s*_]+$")
 
+#: Scores of wording beyond this say no more.
+LIMIT = 12.0
+
 FEATURES = [
     "words", "link_density", "wording", "wording_per_word", "words_before", "links_before", "wording_before", "words_after", "links_after", "wording_after",
-    "heading", "code", "table", "sentence_end", "separators", "named_end", "digits", "block_lines", "block_words", "block_wording", "block_lead", "from_start", "from_end",
-    "links", "wording_worst",
+    "heading", "code", "table", "sentence_end", "separators", "named_end", "digits", "block_lines", "block_words", "block_wording", "block_lead", "links", "wording_worst", "block_pointers",
 ]
 
 
@@ -139,7 +141,9 @@ def described(text: str, wording: Wording) -> tuple[list[int], np.ndarray]:
     if not number:
         return [], np.empty((0, len(FEATURES)))
     a = np.array(own, float)
+    pointer = (a[:, 9] > 0) | (a[:, 1] > 0.9)
     b = np.array(blocks)
+    a[:, 2] = np.clip(a[:, 2], -LIMIT, LIMIT)
     before, after = np.vstack([a[:1] * 0, a[:-1]]), np.vstack([a[1:], a[:1] * 0])
     starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     size = np.diff(np.r_[starts, len(b)])
@@ -147,8 +151,7 @@ def described(text: str, wording: Wording) -> tuple[list[int], np.ndarray]:
     mean = lambda x: (np.add.reduceat(x, starts) / size)[of]
     features = np.column_stack([
         a[:, 0], a[:, 1], a[:, 2], a[:, 3], before[:, 0], before[:, 1], before[:, 2], after[:, 0], after[:, 1], after[:, 2],
-        a[:, 4], a[:, 5], a[:, 6], a[:, 7], a[:, 8], a[:, 9], a[:, 10], size[of], mean(a[:, 0]), mean(a[:, 2]), a[starts, 2][of], of, len(starts) - 1 - of,
-        a[:, 11], np.minimum.reduceat(a[:, 2], starts)[of],
+        a[:, 4], a[:, 5], a[:, 6], a[:, 7], a[:, 8], a[:, 9], a[:, 10], size[of], mean(a[:, 0]), mean(a[:, 2]), a[starts, 2][of], a[:, 11], np.minimum.reduceat(a[:, 2], starts)[of], mean(pointer),
     ])
     return number, features
 
@@ -164,7 +167,7 @@ class Tree:
     value: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, depth: int = 9, leaf: int = 8) -> Tree:
+    def fit(cls, x: np.ndarray, y: np.ndarray, depth: int = 10, leaf: int = 15) -> Tree:
         """Splits by the Gini impurity, down to ``depth`` and leaves of ``leaf`` lines."""
         nodes: list[list] = []
 
@@ -217,7 +220,7 @@ class LineClassifier:
     tree: Tree
 
     @classmethod
-    def train(cls, pages: int = 2000, seed: int = 11) -> LineClassifier:
+    def train(cls, pages: int = 4000, seed: int = 11) -> LineClassifier:
         """Fit on ``pages`` labelled pages: the wording on one half, the tree on the other, so that it sees honest scores."""
         labelled = labelled_lines.pages(pages, seed)
         half = len(labelled) // 2
