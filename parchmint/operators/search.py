@@ -324,7 +324,7 @@ class SearchIndex:
         starts = {}
         for i, p in enumerate(phrases):
             for name in p.columns:
-                parts = [F.transform(F.col(f"p{i}_{name}_{k}"), lambda x, k=k: x - k) for k in range(len(p.tokens))]
+                parts = [F.transform(F.col(f"p{i}_{name}_{k}"), _less(k)) for k in range(len(p.tokens))]
                 at = reduce(F.array_intersect, parts) if len(parts) > 1 else parts[0]
                 starts[f"s{i}_{name}"] = F.filter(at, lambda x: x == 0) if p.first else at
         rows = rows.select("doc_id", "ord", "n_tokens", *[c.alias(n) for n, c in starts.items()])
@@ -390,22 +390,31 @@ class SearchIndex:
         return rows.orderBy("score", "doc_id", "ord").select("doc_id", F.nullif("title", F.lit("")).alias("section_title"), F.col("path").alias("section_path"), snippet(F.col("body"), asked).alias("snippet"), "score")
 
 
+# Higher-order functions count a lambda's parameters, so constants come by closure.
+
+
+def _equal_to(value: str):
+    return lambda x: x == value
+
+
+def _less(k: int):
+    return lambda x: x - k
+
+
 def _near(node: Near, own: list[int], phrases: list[Phrase], name: str) -> dict[int, Column]:
     """For each phrase of a NEAR its places that have every other phrase within reach."""
-    kept = {}
-    for i in own:
-        size = len(phrases[i].tokens)
 
-        def together(x: Column, i: int = i, size: int = size) -> Column:
-            found = F.lit(True)
-            for j in own:
-                if j != i:
-                    reach, other = node.distance, len(phrases[j].tokens)
-                    found = found & F.exists(f"s{j}_{name}", lambda y, reach=reach, other=other: F.when(y >= x, y - (x + size)).otherwise(x - (y + other)) <= reach)
-            return found
+    def gap_within(x: Column, size: int, other: int):
+        return lambda y: F.when(y >= x, y - (x + size)).otherwise(x - (y + other)) <= node.distance
 
-        kept[i] = F.filter(f"s{i}_{name}", together)
-    return kept
+    def together(i: int):
+        def test(x: Column) -> Column:
+            reached = [F.exists(f"s{j}_{name}", gap_within(x, len(phrases[i].tokens), len(phrases[j].tokens))) for j in own if j != i]
+            return reduce(lambda a, b: a & b, reached, F.lit(True))
+
+        return test
+
+    return {i: F.filter(f"s{i}_{name}", together(i)) for i in own}
 
 
 @F.pandas_udf(StringType())
@@ -438,3 +447,21 @@ def snippet(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 def index_of(spark: SparkSession, name: str = "index") -> str:
     """A place in the shared folder for an index of this session."""
     return f"{shared_dir(spark)}/{name}"
+
+
+def bm25_scan(rows: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
+    """(id, score) of the rows that hold any of ``terms`` (folded), by BM25 over the whole texts, without an index.
+
+    One pass computes lengths and counts; the statistics of the corpus are one small aggregate over
+    them. Null texts are no rows of the corpus.
+    """
+    held = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    counted = held.select("id", F.size("w").alias("n"), *[F.size(F.filter("w", _equal_to(t))).alias(f"f{i}") for i, t in enumerate(terms)])
+    totals = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n") / F.lit(totals["average"] or 1.0))
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = max(math.log((totals["rows"] - totals[f"d{i}"] + 0.5) / (totals[f"d{i}"] + 0.5)), LEAST_IDF)
+        score = score + F.lit(idf * (K1 + 1)) * F.col(f"f{i}") / (F.col(f"f{i}") + norm)
+    any_hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(terms))])
+    return counted.where(any_hit).select("id", (-score).alias("score"))
