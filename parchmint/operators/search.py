@@ -343,6 +343,8 @@ class SearchIndex:
                     walk(part)
 
         walk(tree)
+        # How rare a phrase is does not depend on its neighbours.
+        rows = rows.withColumns({f"any{i}": reduce(lambda a, b: a | b, [F.size(f"s{i}_{name}") > 0 for name in p.columns], F.lit(False)) for i, p in enumerate(phrases)})
         for node, own in near:
             for name in COLUMNS:
                 if all(f"s{i}_{name}" in starts for i in own):
@@ -352,8 +354,8 @@ class SearchIndex:
                     rows = rows.withColumns({f"s{i}_{name}": F.array().cast("array<int>") for i in own if f"s{i}_{name}" in starts})
 
         counts = [sum((F.size(f"s{i}_{name}") * (title_weight if name == "title" else body_weight) for name in p.columns), F.lit(0.0)) for i, p in enumerate(phrases)]
-        rows = staged(rows.select("doc_id", "ord", "n_tokens", *[c.alias(f"f{i}") for i, c in enumerate(counts)]), "hits")
-        frequency = rows.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()
+        rows = staged(rows.select("doc_id", "ord", "n_tokens", *[c.alias(f"f{i}") for i, c in enumerate(counts)], *[f"any{i}" for i in range(len(phrases))]), "hits")
+        frequency = rows.agg(*[F.count_if(f"any{i}").alias(f"n{i}") for i in range(len(phrases))]).first()
 
         idf = [max(math.log((n_rows - frequency[f"n{i}"] + 0.5) / (frequency[f"n{i}"] + 0.5)), LEAST_IDF) if n_rows else 0.0 for i in range(len(phrases))]
         norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.lit(average or 1.0))
@@ -402,15 +404,18 @@ def _less(k: int):
 
 
 def _near(node: Near, own: list[int], phrases: list[Phrase], name: str) -> dict[int, Column]:
-    """For each phrase of a NEAR its places that have every other phrase within reach."""
+    """For each phrase of a NEAR its places in some neighbourhood: all phrases, none too far before the last one's place."""
+    places = F.flatten(F.array(*[F.col(f"s{i}_{name}") for i in own]))
 
-    def gap_within(x: Column, size: int, other: int):
-        return lambda y: F.when(y >= x, y - (x + size)).otherwise(x - (y + other)) <= node.distance
+    def reaches(i: int, place: Column, last: Column) -> Column:
+        return (place <= last) & (last - place <= node.distance + len(phrases[i].tokens))
+
+    def reached_from(j: int, last: Column) -> Column:
+        return F.exists(f"s{j}_{name}", lambda y: reaches(j, y, last))
 
     def together(i: int):
         def test(x: Column) -> Column:
-            reached = [F.exists(f"s{j}_{name}", gap_within(x, len(phrases[i].tokens), len(phrases[j].tokens))) for j in own if j != i]
-            return reduce(lambda a, b: a & b, reached, F.lit(True))
+            return F.exists(places, lambda last: reduce(lambda a, b: a & b, [reached_from(j, last) for j in own if j != i], reaches(i, x, last)))
 
         return test
 
