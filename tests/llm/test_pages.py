@@ -152,6 +152,7 @@ BODY = "The old mill of {} opened in front of a full hall. According to Ann Lee,
         ("T", "Dear {{first_name}}, welcome to the letter.", True), ("{{title}} – Norvale", BODY, True), ("T", BODY + "\n\nPublished {DATE} in {CITY}.", True), ("T", "Dear undefined, " + BODY, True), ("T", BODY + " NaN readers agree.", True), ("T", "Hello *|FNAME|*, hi.", True),
         ("T", BODY + "\n\nTemplates look like `Dear {{ first_name }}` here.", False), ("T", BODY + "\n\n```\n<p>{{ user }}</p>\n```\n", False), ("T", BODY + "\n\nThe form asked for [First Name] in red, a field that Bo left empty.", False), ("A guide to {{ }} and other braces", BODY, False),
         ("T", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod.", True), ("T", BODY.replace("lamps.", "lamps; printers used lorem ipsum once."), False),
+        ("Insert headline here", BODY, True), ("Lorem ipsum dolor", BODY, True), ("T", BODY + "\n\nCall us at [phone number] for details.", True), ("T", "Dear {0}, " + BODY, True), ("T", "Hey {$customer_name}, " + BODY, True), ("T", BODY + "\n\n[Music]", False), ("T", BODY + "\n\nSee [the letters](https://a.example).", False),
         ("Oops", "Page not found", True), ("T", "Please enable JavaScript to view Norvale content.", True), ("T", "Bitte aktivieren Sie JavaScript, um Norvale anzuzeigen.", True), ("T", "# Norvale\n\n502 Bad Gateway\n\nRetry in 5 s", True), ("T", "Verify you are human by completing the action below.", True),
         ("T", BODY + "\n\nComments on Norvale need JavaScript to be switched on.", False), ("T", "The page said “please enable JavaScript” and nothing else; the story of Norvale begins there.", False), ("T", "The council sold 12 lamps.", False), ("T", "", False), (None, None, False),
     ],
