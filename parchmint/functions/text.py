@@ -24,7 +24,8 @@ def _folding() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Lower case without accents; final sigma is sigma."""
     source, target = _folding()
-    return F.regexp_replace(F.translate(F.lower(text), source, target), r"\p{Mn}+", "")
+    lower = F.lower(text)
+    return F.when(lower.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(lower, source, target), r"\p{Mn}+", "")).otherwise(lower)
 
 
 def tokens(text: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from parchmint.functions.text import tokens
-from parchmint.staging import shared_dir, staged
+from parchmint.staging import shared_dir, spread, staged
 
 # Words a query of mode "any" does without, and BM25's constants.
 STOPWORDS = "a an and or the of in on at to for is are be with as by from this that it i you".split()
@@ -259,7 +259,7 @@ class SearchIndex:
         Postings are written in term order, so that a search skips the files without its terms.
         """
         spark = sections.sparkSession
-        rows = sections.select("doc_id", "ord", F.coalesce("title", F.lit("")).alias("title"), "path", F.coalesce("body", F.lit("")).alias("body"))
+        rows = spread(sections).select("doc_id", "ord", F.coalesce("title", F.lit("")).alias("title"), "path", F.coalesce("body", F.lit("")).alias("body"))
         counted = rows.withColumns({"t_title": tokens(F.col("title")), "t_body": tokens(F.col("body"))})
         kept = counted.select("doc_id", "ord", "title", "path", "body", (F.size("t_title") + F.size("t_body")).alias("n_tokens"))
         both = counted.select("doc_id", "ord", (F.size("t_title") + F.size("t_body")).alias("n_tokens"), F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("t_title").alias("t")), F.struct(F.lit(1).alias("c"), F.col("t_body").alias("t")))).alias("x"))
@@ -460,7 +460,7 @@ def bm25_scan(rows: DataFrame, id_col: str, text_col: str, terms: list[str]) ->
     One pass computes lengths and counts; the statistics of the corpus are one small aggregate over
     them. Null texts are no rows of the corpus.
     """
-    held = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    held = spread(rows.where(F.col(text_col).isNotNull()).select(id_col, text_col)).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     counted = held.select("id", F.size("w").alias("n"), *[F.size(F.filter("w", _equal_to(t))).alias(f"f{i}") for i, t in enumerate(terms)])
     totals = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n") / F.lit(totals["average"] or 1.0))

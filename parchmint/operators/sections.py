@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parchmint.staging import spread
+
 UNDERLINE = {"=": 1, "-": 2}
 FENCE = re.compile(r"^\s*(```|~~~)")
 
@@ -85,4 +87,4 @@ def sections_of(docs: DataFrame, id_col: str = "id", title_col: str | None = "ti
     title = docs[title_col] if title_col else docs[id_col].cast("string").substr(1, 0)
     rows = docs.select(docs[id_col].alias("doc_id"), title.alias("title"), docs[body_col].alias("body"))
     id_type = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(_explode, f"doc_id {id_type}, ord int, level int, title string, path array<string>, body string")
+    return spread(rows).mapInArrow(_explode, f"doc_id {id_type}, ord int, level int, title string, path array<string>, body string")

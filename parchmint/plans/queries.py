@@ -13,6 +13,7 @@ from parchmint.operators.search import SearchIndex, bm25_scan, compile_query
 from parchmint.operators.sections import sections_of
 from parchmint.schemas import BODIES
 from parchmint.session import prepare
+from parchmint.staging import spread
 
 from parchmint.streaming import changes as streams
 from parchmint.tables import table
@@ -440,7 +441,7 @@ def slugify(spark: SparkSession, folder: str) -> DataFrame:
 )
 def strip_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Plain text of every capture, as its digest."""
-    return table(spark, folder, "captured_content").select("capture_id", F.md5(text.strip_markdown(F.col("content_markdown"))).alias("plain")).distinct()
+    return spread(table(spark, folder, "captured_content").select("capture_id", "content_markdown")).select("capture_id", F.md5(text.strip_markdown(F.col("content_markdown"))).alias("plain")).distinct()
 
 
 @query()
