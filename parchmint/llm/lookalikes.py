@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.staging import is_small, staged
+from parchmint.staging import is_small, spread, staged
 
 # Letters of Cyrillic and Greek with the Latin letter drawn like them.
 CYRILLIC = {
@@ -182,7 +182,7 @@ def normalised(df: DataFrame, id_col: str, text_col: str, broadcast_rows: int =
     must be unique among non-null texts with mixed tokens; exactly repeated rows count once there,
     and stay elsewhere. Rows with a null id stay, unrepaired. Other columns are ignored.
     """
-    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    texts = spread(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
     id_type = texts.schema[0].dataType.simpleString()
     tidy = staged(texts.mapInArrow(_clean_batches, f"id {id_type}, raw bigint, text string, mixed map<string,string>"), "tidy")
     has_mixed = F.col("mixed").isNotNull() & F.col("id").isNotNull()

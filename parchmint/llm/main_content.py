@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from parchmint.llm import labelled_lines
 from parchmint.llm.shingles import WORD
+from parchmint.staging import spread
 
 PART = re.compile(r"\]\([^)]*\)|\S+@\S+|https?://\S+|\d+(?:-\d+)*|[^\W\d_]+|[|·/>→←»«©?:–\[]")
 LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
@@ -267,7 +268,7 @@ def furniture_lines(df: DataFrame, id_col: str, text_col: str, min_words: int =
     """
     texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
     shared = df.sparkSession.sparkContext.broadcast(model or LineClassifier.train())
-    found = texts.mapInArrow(_classify(shared, min_words), f"id {texts.schema[0].dataType.simpleString()}, line_no int")
+    found = spread(texts).mapInArrow(_classify(shared, min_words), f"id {texts.schema[0].dataType.simpleString()}, line_no int")
     return found.distinct()
 
 

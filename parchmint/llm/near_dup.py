@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.llm import shingles as S
-from parchmint.staging import is_small, staged
+from parchmint.staging import is_small, spread, staged
 
 #: Below this estimate a meeting is dropped unverified, in standard deviations under the threshold.
 SLACK = 4.5
@@ -293,7 +293,7 @@ def near_duplicates(
     """
     texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
     bands = Bands.for_threshold(threshold, recall)
-    signed = staged(signatures(texts, bands, size, min_words), "signatures")
+    signed = staged(signatures(spread(texts), bands, size, min_words), "signatures")
     members = signed.select("id", "cls").distinct()
     sketch = [f"s{k}" for k in range(bands.longs)]
     classes = signed.groupBy("cls").agg(F.min("id").alias("rep"), *(F.max(s).alias(s) for s in sketch))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.llm.lexicon import Lexicon, compile_words, save
-from parchmint.staging import shared_dir, staged
+from parchmint.staging import shared_dir, spread, staged
 
 TOKENIZERS = "/opt/tokenizers"
 #: Tokenizers that cut texts into words by one pattern and merge bytes within words.
@@ -170,7 +170,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe
     An empty text gives an empty list and a null text null. Every row gives a row: repeated rows
     and null ids stay. Other columns are ignored. An empty table gives an empty result.
     """
-    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    texts = spread(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
     schema = f"id {texts.schema[0].dataType.simpleString()}, ids array<int>"
     if tokenizer not in BYTE_LEVEL:
         return texts.mapInArrow(_encode_texts(folder, tokenizer), schema)
