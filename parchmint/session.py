@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
+import io
 import os
-import shutil
-import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from parchmint.staging import shared_dir, write_bytes
+
 #: Options that change results, not only speed: timestamps are UTC, later map keys win.
 SEMANTIC = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,18 +30,18 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session, once, through Spark's own file server."""
+    """Send this package to the Python workers of the session, once, through the shared folder."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="parchmint-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = Path(folder, "parchmint_code.zip")
-    with zipfile.ZipFile(archive, "w") as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
         for path in sorted(package.rglob("*.py")):
             out.write(path, path.relative_to(package.parent))
-    context.addPyFile(str(archive))
+    archive = f"{shared_dir(spark)}/parchmint/code-{uuid.uuid4().hex}/parchmint_code.zip"
+    write_bytes(spark, archive, packed.getvalue())
+    context.addPyFile(archive)
     _shipped.add(context.applicationId)
 
 

@@ -36,6 +36,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/parchmint/{name}-{uuid.uuid4().hex}"
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a file of the shared folder, whatever file system that is on."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        for at in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[at : at + (1 << 20)]))
+    finally:
+        out.close()
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession
