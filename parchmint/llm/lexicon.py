@@ -8,7 +8,6 @@ order, which addresses its ids. Lookup walks many words at once, one byte of eac
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 import numpy as np
 
@@ -76,25 +75,23 @@ def compile_words(words: list[bytes], ids: list[list[int]]) -> dict[str, np.ndar
     }
 
 
-def save(arrays: dict[str, np.ndarray], path: str) -> None:
-    """Write the arrays to one file: a line that describes them, then their bytes, aligned."""
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """The arrays as one file's content: a line that describes them, then their bytes, aligned."""
     about, at = {}, 0
     for name in NAMES:
         a = arrays[name]
         about[name] = [str(a.dtype), len(a), at]
         at += -(-a.nbytes // 16) * 16
     head = json.dumps(about).encode()
-    head += b" " * (-(len(head) + 1) % 16) + b"\n"
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "wb") as out:
-        out.write(head)
-        for name in NAMES:
-            data = arrays[name].tobytes()
-            out.write(data + b"\0" * (-len(data) % 16))
+    parts = [head + b" " * (-(len(head) + 1) % 16) + b"\n"]
+    for name in NAMES:
+        data = arrays[name].tobytes()
+        parts.append(data + b"\0" * (-len(data) % 16))
+    return b"".join(parts)
 
 
 class Lexicon:
-    """The file that :func:`save` wrote, mapped into memory and shared by all processes of a machine."""
+    """A file of :func:`packed` arrays, mapped into memory and shared by all processes of a machine."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:

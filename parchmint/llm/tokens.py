@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import os
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,8 +24,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.lexicon import Lexicon, compile_words, save
-from parchmint.staging import shared_dir, spread, staged
+from parchmint.llm.lexicon import Lexicon, compile_words, packed
+from parchmint.staging import new_path, spread, staged, write_bytes
 
 TOKENIZERS = "/opt/tokenizers"
 #: Tokenizers that cut texts into words by one pattern and merge bytes within words.
@@ -96,15 +95,13 @@ def build_lexicon(spark: SparkSession, words: list[str], folder: str, name: str)
     encoding = byte_encoding(folder, name)
     encoded = sorted({w.encode() for w in words})
     arrays = compile_words(encoded, [list(encoding._core_bpe.encode_single_piece(w)) for w in encoded])
-    shared, file = shared_dir(spark), f"lexicon-{uuid.uuid4().hex}.bin"
-    if shared.startswith("file:") or "://" not in shared:
-        path = f"{shared.removeprefix('file://').removeprefix('file:')}/parchmint/{file}"
-        save(arrays, path)
-        return path
+    path = f"{new_path(spark, 'lexicon')}.bin"
+    write_bytes(spark, path, packed(arrays))
+    if path.startswith("file:") or "://" not in path:
+        return path.removeprefix("file://").removeprefix("file:")
     # A shared folder that cannot be mapped: Spark's own file server brings the file to each executor.
-    save(arrays, file)
-    spark.sparkContext.addFile(file)
-    return f"spark-file:{file}"
+    spark.sparkContext.addFile(path)
+    return f"spark-file:{path.rsplit('/', 1)[-1]}"
 
 
 def _cut(word_lists: pa.ListArray, lexicon: Lexicon, encoding, merged: dict[bytes, list[int]]) -> pa.ListArray:

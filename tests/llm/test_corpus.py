@@ -38,7 +38,8 @@ def test_round_trip_and_empty_table(spark):
 def test_lexicon(tmp_path_factory, words, others):
     words = sorted(words)
     path = str(tmp_path_factory.mktemp("lexicon") / "l.bin")
-    lexicon.save(lexicon.compile_words(words, [[k, len(w)] for k, w in enumerate(words)]), path)
+    with open(path, "wb") as f:
+        f.write(lexicon.packed(lexicon.compile_words(words, [[k, len(w)] for k, w in enumerate(words)])))
     own = lexicon.Lexicon(path)
     asked = words + others
     for w, rank in zip(asked, own.ranks(asked).tolist()):
