@@ -457,14 +457,14 @@ def index_of(spark: SparkSession, name: str = "index") -> str:
 def bm25_scan(rows: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
     """(id, score) of the rows that hold any of ``terms`` (folded), by BM25 over the whole texts, without an index.
 
-    One pass computes lengths and counts; the statistics of the corpus are one small aggregate over
-    them. Null texts are no rows of the corpus.
+    One pass computes lengths and counts, which are staged; the statistics of the corpus are one small
+    aggregate over them. Null texts are no rows of the corpus.
     """
     held = spread(rows.where(F.col(text_col).isNotNull()).select(id_col, text_col)).select(F.col(id_col).alias("id"), fold(F.col(text_col)).alias("t"))
     # Counts by patterns stay in generated code, where the folded text is computed once for all of them.
     token = r"\p{L}\p{N}\p{Co}"
     count = lambda pattern: F.regexp_count("t", F.lit(pattern))
-    counted = held.select("id", count(f"[{token}]+").alias("n"), *[count(f"(?<![{token}]){re.escape(t)}(?![{token}])").alias(f"f{i}") for i, t in enumerate(terms)])
+    counted = staged(held.select("id", count(f"[{token}]+").alias("n"), *[count(f"(?<![{token}]){re.escape(t)}(?![{token}])").alias(f"f{i}") for i, t in enumerate(terms)]), "counts")
     totals = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n") / F.lit(totals["average"] or 1.0))
     score = F.lit(0.0)
