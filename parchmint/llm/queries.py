@@ -93,8 +93,8 @@ def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """Sequences of up to three lines that at least 10 captures of one site carry."""
-    found = repeated_lines.frequent_sequences(_site_lines(spark, folder), max_length=3)
+    """Sequences of lines that at least 10 captures of one site carry in this order, whatever stands between."""
+    found = repeated_lines.frequent_sequences(_site_lines(spark, folder))
     return found.select("site_key", F.array_join(F.col("pattern").cast("array<string>"), " ").alias("pattern"), "n_docs")
 
 

@@ -2,8 +2,8 @@
 
 Each document is a sequence of line identifiers (hashes of the lines' normal forms). Patterns grow
 from the left as in PrefixSpan: the frequent single lines of a site, then each frequent pattern
-extended by a frequent line that follows it. Support counts distinct documents of the site. Only
-positions are kept as projections, never the suffixes themselves.
+extended by a frequent line that follows it. Support counts distinct documents of the site. A
+projection is what follows the pattern's first end; equal ones are kept once, with their number.
 
 A line of a frequent sequence is frequent by itself, so what is to be removed is known after the
 first level; longer patterns (:func:`frequent_sequences`) tell which lines come as one block.
@@ -15,6 +15,8 @@ sent to all tasks only if they are few, else joined with skew splitting by Spark
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,20 +79,50 @@ def frequent_occurrences(lines: DataFrame, min_docs: int = 10) -> DataFrame:
     return occurrences.join(side, ["site_key", "line"]).select("id", "site_key", "line_no", "line", "n_docs")
 
 
-def frequent_sequences(lines: DataFrame, min_docs: int = 10, max_length: int = 4, max_gap: int = 1) -> DataFrame:
-    """(site_key, pattern, n_docs): PrefixSpan's frequent sequences of up to ``max_length`` lines a site.
+def frequent_sequences(lines: DataFrame, min_docs: int = 10, max_length: int | None = None, max_gap: int | None = None) -> DataFrame:
+    """(site_key, pattern, n_docs): PrefixSpan's frequent sequences of lines a site, of any length and with any gaps.
 
-    A line extends a pattern if it comes at most ``max_gap`` frequent lines after the pattern's end
-    (1: the next one). The projection of a pattern is the set of its end positions in a document.
+    ``max_length`` ends the growth early; with ``max_gap`` a line extends a pattern only if it comes at
+    most so many frequent lines after the pattern's end (1: the next one).
     """
     occurrences = staged(frequent_occurrences(lines, min_docs), "occurrences")
     order = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     ranked = occurrences.groupBy("site_key", "id").agg(F.transform(order, lambda s: s["line"]).alias("found"))
+    levels = _grown(ranked, min_docs, max_length) if max_gap is None else _grown_within(ranked, min_docs, max_length, max_gap)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _grown(ranked: DataFrame, min_docs: int, max_length: int | None) -> list[DataFrame]:
+    """The frequent patterns of each length, whatever stands between their lines.
+
+    The projection of a pattern is what follows its first end in a document: every later line that
+    follows any end follows the first. Documents with the same rest are one row with their number.
+    """
+    rests = staged(ranked.groupBy("site_key", F.array().cast("array<bigint>").alias("pattern"), F.col("found").alias("rest")).agg(F.count("*").alias("n")), "projections")
+    levels: list[DataFrame] = []
+    while max_length is None or len(levels) < max_length:
+        longer = rests.select("site_key", "pattern", "rest", "n", F.explode(F.array_distinct("rest")).alias("line"))
+        support = longer.groupBy("site_key", "pattern", "line").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+        support = staged(support, "patterns")
+        if levels and support.isEmpty():
+            break
+        levels.append(support.select("site_key", F.concat("pattern", F.array("line")).alias("pattern"), "n_docs"))
+        after = longer.withColumn("rest", F.expr("slice(rest, cast(array_position(rest, line) as int) + 1, size(rest))")).where(F.size("rest") > 0)
+        kept = after.join(support.select("site_key", "pattern", "line"), ["site_key", "pattern", "line"], "left_semi")
+        rests = staged(kept.groupBy("site_key", F.concat("pattern", F.array("line")).alias("pattern"), "rest").agg(F.sum("n").alias("n")), "projections")
+    return levels
+
+
+def _grown_within(ranked: DataFrame, min_docs: int, max_length: int | None, max_gap: int) -> list[DataFrame]:
+    """The frequent patterns of each length whose lines are at most ``max_gap`` frequent lines apart.
+
+    Here a later end may reach what the first does not, so the projection is all end positions.
+    """
     ranked = staged(ranked.select("site_key", "id", F.posexplode("found").alias("at", "line")), "ranked_lines")
     ends = ranked.select("site_key", "id", F.array("line").alias("pattern"), F.col("at").alias("end"))
     levels = [ranked.groupBy("site_key", F.array("line").alias("pattern")).agg(F.count_distinct("id").alias("n_docs"))]
     following = ranked.select("site_key", "id", F.col("at").alias("next"), "line")
-    for _ in range(max_length - 1):
+    while max_length is None or len(levels) < max_length:
         longer = ends.join(following, ["site_key", "id"]).where((F.col("next") > F.col("end")) & (F.col("next") <= F.col("end") + max_gap))
         longer = longer.select("site_key", "id", F.concat("pattern", F.array("line")).alias("pattern"), F.col("next").alias("end")).distinct()
         support = longer.groupBy("site_key", "pattern", "id").agg(F.lit(1).alias("one")).groupBy("site_key", "pattern").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
@@ -99,10 +131,7 @@ def frequent_sequences(lines: DataFrame, min_docs: int = 10, max_length: int = 4
             break
         levels.append(support)
         ends = staged(longer.join(support.select("site_key", "pattern"), ["site_key", "pattern"]), "projections")
-    result = levels[0]
-    for level in levels[1:]:
-        result = result.unionByName(level)
-    return result
+    return levels
 
 
 def without_lines(captures: DataFrame, found: DataFrame, id_col: str = "capture_id", text_col: str = "content_markdown") -> DataFrame:

@@ -1,5 +1,8 @@
 import datetime as dt
+import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +88,27 @@ def test_frequent_sequences(spark):
     assert sorted((len(r["pattern"]), r["n_docs"]) for r in sparse.collect()) == [(1, 11), (1, 15), (1, 15), (2, 11), (2, 11), (2, 14)]
 
 
+def test_frequent_sequences_are_whole(spark):
+    docs = spark.createDataFrame([("a", "https://s.example"), ("b", "https://t.example")], "id string, source string")
+    r = random.Random(5)
+    kinds = [f"line of the kind {x * 4}" for x in "abcdefg"]
+    texts = [r.choices(kinds, k=r.randint(0, 5)) for _ in range(60)] + [kinds] * 3
+    rows = [(k, "ab"[k % 3 == 0], "\n".join(t), "", "") for k, t in enumerate(texts)]
+    want = Counter()
+    for k, t in enumerate(texts):
+        want.update({("ab"[k % 3 == 0], s) for n in range(1, len(t) + 1) for s in itertools.combinations(t, n)})
+    lines = repeated_lines.site_lines(lines_table(spark, rows), docs)
+    got = Counter((len(x["pattern"]), x["n_docs"]) for x in repeated_lines.frequent_sequences(lines, min_docs=3).collect())
+    assert got == Counter((len(s), n) for (_, s), n in want.items() if n >= 3)
+    got = Counter((len(x["pattern"]), x["n_docs"]) for x in repeated_lines.frequent_sequences(lines_of_one_block(spark, docs)).collect())
+    assert got == Counter({(n, 12): math.comb(6, n) for n in range(1, 7)})
+
+
+def lines_of_one_block(spark, docs):
+    block = "\n".join(f"line of the kind {x * 4}" for x in "abcdef")
+    return repeated_lines.site_lines(lines_table(spark, [(k, "a", block, "", "") for k in range(12)]), docs)
+
+
 # Main content
 
 
