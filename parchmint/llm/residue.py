@@ -165,7 +165,7 @@ def fields_of(text: str) -> list[dict]:
 
 
 def uses_of(text: str) -> list[int]:
-    """Hashes of the distinct templates of a long page's sentences."""
+    """Hashes of the distinct templates of an article's sentences."""
     found = {x.strip() for x in skeletons(prose(text)).split("\n")} - {"", "_"}
     return [number_of(t) for t in found]
 
@@ -176,10 +176,10 @@ def default_title(title: str) -> bool:
     return bool(DEFAULT_TITLE.match(title)) or len(w) > 1 and all(x in LATIN for x in w)
 
 
-def sentences_of(text: str, title: str | None, gone: set[int]) -> list[dict]:
+def sentences_of(text: str, title: str | None, gone: set[int]) -> list[dict] | None:
     """The content sentences of a page: hash of the template, hash of the slots, and whether a seed names it.
 
-    Headings, the title's repetition, lines in ``gone``, lines beside a message and sentences of
+    None for an article: more than :data:`BARE_PAGE` of them, one of which no seed names. Headings, the title's repetition, lines in ``gone``, lines beside a message and sentences of
     slots alone say nothing.
     """
     name = (title or "").strip().lower()
@@ -187,7 +187,7 @@ def sentences_of(text: str, title: str | None, gone: set[int]) -> list[dict]:
     lines = text.split("\n")
     left = [x for k, x in enumerate(lines, 1) if k not in gone or seeded(x)]
     kept = "\n".join(left) if any(x.strip() and x.lstrip()[:1] != "#" for x in left) else text
-    out = []
+    out, strange = [], False
     for raw in prose(kept).split("\n"):
         line = EDGES.sub("", raw)
         if not line or BESIDE.search(line) or line.lower() == name:
@@ -199,46 +199,44 @@ def sentences_of(text: str, title: str | None, gone: set[int]) -> list[dict]:
             template, fixed, slots = skeleton(sentence)
             if named or fixed:
                 out.append({"h": number_of(template), "slots": number_of(slots), "seeded": named or latin(sentence)})
+                strange |= not out[-1]["seeded"]
+                if strange and len(out) > BARE_PAGE:
+                    return None
     return out
 
 
-SCHEMA = "long boolean, fields array<struct<template:bigint,slots:bigint,fixed:int,marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,seeded:boolean>>, uses array<bigint>"
+SCHEMA = "article boolean, fields array<struct<template:bigint,slots:bigint,fixed:int,marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,seeded:boolean>>, uses array<bigint>"
 _FIELD_TYPE = pa.list_(pa.struct([("template", pa.int64()), ("slots", pa.int64()), ("fixed", pa.int32()), ("marked", pa.bool_()), ("plain", pa.bool_())]))
 _SENTENCE_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("slots", pa.int64()), ("seeded", pa.bool_())]))
 
 
-def _parse(model, short_words: int):
+def _parse(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: LineClassifier = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                longs, fields, sentences, uses = [], [], [], []
+                articles, fields, sentences, uses = [], [], [], []
                 for title, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     text = text or ""
-                    long = len(text.split()) >= short_words
-                    filler = long and ("ipsum" in text or "dolor" in text)
-                    longs.append(long and not filler)
                     fields.append((fields_of(prose(text)) if HINT.search(text) else []) + fields_of(prose(title or "")))
                     if title and default_title(title):
                         fields[-1].append({"template": number_of(title), "slots": 0, "fixed": 0, "marked": True, "plain": True})
-                    if longs[-1]:
-                        sentences.append([])
-                        uses.append(uses_of(text))
-                    else:
-                        sentences.append(sentences_of(text, title, set(own.furniture(text))))
-                        uses.append([])
-                columns = [pa.array(longs), pa.array(fields, _FIELD_TYPE), pa.array(sentences, _SENTENCE_TYPE), pa.array(uses, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "long", "fields", "sentences", "uses"])
+                    content = sentences_of(text, title, set(own.furniture(text)))
+                    articles.append(content is None)
+                    sentences.append(content or [])
+                    uses.append(uses_of(text) if content is None else [])
+                columns = [pa.array(articles), pa.array(fields, _FIELD_TYPE), pa.array(sentences, _SENTENCE_TYPE), pa.array(uses, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "article", "fields", "sentences", "uses"])
 
     return run
 
 
-def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_records: int = 5, share: float = 0.9, short_words: int = 160, model: LineClassifier | None = None) -> DataFrame:
+def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_records: int = 5, share: float = 0.9, model: LineClassifier | None = None) -> DataFrame:
     """(id, why): captures without real content; ``why`` is "field" or "page", "field" first.
 
     A template needs ``min_records`` different fillings. A page template's captures are pages of at
-    most :data:`BARE_PAGE` content sentences (furniture apart) for at least ``share`` of its uses.
+    most :data:`BARE_PAGE` content sentences (furniture apart), or seeded throughout, for at least ``share`` of its uses.
     Rows with a null id are left out; a null title or text is an empty one, and an empty page is no
     case. Rows that repeat an id count once, and an id is a case if any of its texts is. Other
     columns are ignored; an empty table gives an empty result.
@@ -246,7 +244,7 @@ def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_recor
     spark = df.sparkSession
     rows = df.select(df[id_col].alias("id"), df[title_col].alias("title"), df[text_col].alias("text")).where("id is not null")
     shared = spark.sparkContext.broadcast(model or LineClassifier.train())
-    parsed = spread(rows).mapInArrow(_parse(shared, short_words), f"id {rows.schema[0].dataType.simpleString()}, {SCHEMA}")
+    parsed = spread(rows).mapInArrow(_parse(shared), f"id {rows.schema[0].dataType.simpleString()}, {SCHEMA}")
     parsed = staged(parsed, "parsed")
 
     # Fields: written about if aligned sentences fill their other places differently.
@@ -256,14 +254,13 @@ def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_recor
     unfilled = fields.where("marked or plain").join(about, "template", "left_anti").select("id", F.lit("field").alias("why"))
 
     # Pages: skeletons with many fillings on bare pages and hardly any use elsewhere.
-    latin_page = F.forall("sentences", lambda s: s["seeded"])
-    bare = ~F.col("long") & ((F.size("sentences") <= BARE_PAGE) | latin_page)
+    bare = ~F.col("article")
     pages = parsed.where(bare & (F.size("sentences") > 0)).select("id", "sentences")
     lines = pages.select("id", F.explode("sentences").alias("s")).select("id", "s.h", "s.slots").distinct()
     fillings = lines.groupBy("h", "slots").agg(F.count_distinct("id").alias("n")).groupBy("h").agg(F.count("*").alias("fillings"), F.sum("n").alias("n_bare"))
     wanted = staged(fillings.where(F.col("fillings") >= min_records), "page_templates")
     few = F.broadcast(wanted.select("h")) if is_small(wanted, 200_000) else wanted.select("h")
-    others = parsed.where(~bare).select(F.explode(F.array_distinct(F.concat("uses", "sentences.h"))).alias("h")).join(few, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n_other"))
+    others = parsed.where(~bare).select(F.explode("uses").alias("h")).join(few, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n_other"))
     templates = wanted.join(others, "h", "left").where(F.col("n_bare") >= share * (F.col("n_bare") + F.coalesce("n_other", F.lit(0)))).select("h", F.lit(True).alias("known"))
     templates = F.broadcast(templates) if is_small(templates, 200_000) else templates
     read = pages.withColumn("page", F.xxhash64("sentences.h")).select("id", "page", F.explode("sentences").alias("s")).select("id", "page", "s.h", "s.seeded").join(templates, "h", "left")

@@ -198,3 +198,13 @@ def test_residue_from_alignment_alone(spark, model):
     got = {row["id"] for row in residue.residue(table, "capture_id", "title", "content_markdown", model=model).collect()}
     assert got == {b[0] for b in broken}
     assert residue.residue(table.where("false"), "capture_id", "title", "content_markdown", model=model).count() == 0
+
+
+LONG = PAGE[: PAGE.index("# A field")] + "{}" + PAGE[PAGE.index("\nEnjoyed this?") :].replace("Most read", "\n".join(["Most read"] + [f"{k}. How Bo Dru rebuilt Sumi and the archive of Lemna – Karta" for k in range(1, 21)]))
+
+
+@pytest.mark.parametrize("text, case", [(LONG.format("Page not found\n"), True), (LONG.format("Please enable JavaScript to view Norvale content.\n"), True), ("\n\n".join(["Sample text. Replace this paragraph."] * 40), True), (LONG.format("\n\n".join([BODY] * 4) + "\n\nPage not found\n"), False)])
+def test_residue_of_long_pages(spark, model, text, case):
+    assert len(text.split()) >= 160
+    rows = spark.createDataFrame([(1, "T", text)], "capture_id bigint, title string, content_markdown string")
+    assert bool(residue.residue(rows, "capture_id", "title", "content_markdown", model=model).collect()) is case
