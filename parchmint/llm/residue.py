@@ -2,12 +2,12 @@
 
 Records made from one template are aligned by their sentences' skeletons: capitalised words, numbers
 and host names are slots, the other words are the template. From the corpus, not from a list, come
+the whole-page templates: skeletons that many captures share, whose captures have little else,
+and that articles do not use.
 
-* the whole-page templates: skeletons that many captures share, whose captures have little else,
-  and that articles do not use;
-* the slots: a field's text (a variable's name, a default, a blank) is residue where records fill
-  that place or where the sentence has nothing else to fill; where the aligned records fill other
-  places of the sentence and repeat the field's text as part of its wording, it is written about.
+A field's text (a variable's name, a default, a blank) is judged by its own sentence, so that other
+rows change nothing: one written as a field is residue unless the sentence speaks about fields or says
+that something reads so; an empty value is residue where its clause has nothing else to fill.
 
 Lists of fixed phrases only seed this, so that a small table without repetitions is judged alike.
 Code, inline code and quotations are content and are not looked at.
@@ -49,6 +49,9 @@ DEFAULT_TITLE = re.compile(r"(?i)^\W*(?:insert|enter|add|type|replace)\b.{0,40}\
 # Words by which a sentence speaks about fields.
 ABOUT = re.compile(r"\b(?:fields?|templates?|placeholders?|braces?|syntax|variables?|Feld(?:er)?|Platzhalter|Vorlagen?|Klammern|champs?|gabarits?|accolades|campos?|plantillas?|llaves|marcadores?)\b", re.I)
 
+# What, by a sentence, reads as the field after it.
+READS = re.compile(r"\b(?:sheet|form|letter|page|sign|label|note|line|screen|mail|e-?mail|message|header|heading|title|card) (?:said|says|reads?|showed|shows) (?=⟦)|\b(?:Blatt|Formular|Brief|Seite|Schild|Zeile|Bildschirm) (?:zeigte?|lautete?) (?=⟦)|\b(?:feuille|formulaire|lettre|page|ligne|écran) (?:disait|affichait|indiquait|affiche|indique) (?=⟦)|\b(?:hoja|formulario|carta|página|línea|pantalla) (?:decía|mostraba|dice|muestra) (?=⟦)", re.I)
+
 # Seeds of the messages that stand for a missing page, a check, a demand for scripts, or a text to come.
 SEEDS = re.compile(
     r"(?i)(?:page|seite|página|article)\b.{0,60}\b(?:not found|nicht gefunden|introuvable|no encontrada|n'existe plus|no longer|never existed|was removed|has been removed)|no encontramos la página|can'?t find (?:that|the) page|seems to be dead|requested url\b.{0,40}not found"
@@ -138,10 +141,10 @@ def _plain(clause: str) -> bool:
 
 
 def fields_of(text: str) -> list[dict]:
-    """The sentences with a field: template, slots, fixed words, whether the field is marked, whether its clause is plain.
+    """The sentences with a field: whether the field is marked, whether its clause is plain.
 
     A field is marked if it is written as one, not merely as an empty value. Sentences that speak
-    about fields are left out.
+    about fields, or say that something reads so, are left out.
     """
     found = []
     if not HINT.search(text):
@@ -158,9 +161,10 @@ def fields_of(text: str) -> list[dict]:
                 filled = BARE.sub(lambda m: f"⟦{m.group()}⟧", sentence)
             if "⟦" not in filled:
                 continue
-            template, fixed, slots = skeleton(filled)
+            if READS.search(filled):
+                continue
             plain = any(_plain(c) for c in re.split(r"[,;:–—|]\s", filled) if "⟦" in c)
-            found.append({"template": number_of(template), "slots": number_of(slots), "fixed": fixed, "marked": marked, "plain": plain})
+            found.append({"marked": marked, "plain": plain})
     return found
 
 
@@ -205,8 +209,8 @@ def sentences_of(text: str, title: str | None, gone: set[int]) -> list[dict] | N
     return out
 
 
-SCHEMA = "article boolean, fields array<struct<template:bigint,slots:bigint,fixed:int,marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,seeded:boolean>>, uses array<bigint>"
-_FIELD_TYPE = pa.list_(pa.struct([("template", pa.int64()), ("slots", pa.int64()), ("fixed", pa.int32()), ("marked", pa.bool_()), ("plain", pa.bool_())]))
+SCHEMA = "article boolean, fields array<struct<marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,seeded:boolean>>, uses array<bigint>"
+_FIELD_TYPE = pa.list_(pa.struct([("marked", pa.bool_()), ("plain", pa.bool_())]))
 _SENTENCE_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("slots", pa.int64()), ("seeded", pa.bool_())]))
 
 
@@ -221,7 +225,7 @@ def _parse(model):
                     text = text or ""
                     fields.append((fields_of(prose(text)) if HINT.search(text) else []) + fields_of(prose(title or "")))
                     if title and default_title(title):
-                        fields[-1].append({"template": number_of(title), "slots": 0, "fixed": 0, "marked": True, "plain": True})
+                        fields[-1].append({"marked": True, "plain": True})
                     content = sentences_of(text, title, set(own.furniture(text)))
                     articles.append(content is None)
                     sentences.append(content or [])
@@ -235,7 +239,7 @@ def _parse(model):
 def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_records: int = 5, share: float = 0.9, model: LineClassifier | None = None) -> DataFrame:
     """(id, why): captures without real content; ``why`` is "field" or "page", "field" first.
 
-    A template needs ``min_records`` different fillings. A page template's captures are pages of at
+    A page template needs ``min_records`` different fillings. Its captures are pages of at
     most :data:`BARE_PAGE` content sentences (furniture apart), or seeded throughout, for at least ``share`` of its uses.
     Rows with a null id are left out; a null title or text is an empty one, and an empty page is no
     case. Rows that repeat an id count once, and an id is a case if any of its texts is. Other
@@ -247,11 +251,7 @@ def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_recor
     parsed = spread(rows).mapInArrow(_parse(shared), f"id {rows.schema[0].dataType.simpleString()}, {SCHEMA}")
     parsed = staged(parsed, "parsed")
 
-    # Fields: written about if aligned sentences fill their other places differently.
-    fields = parsed.where(F.size("fields") > 0).select("id", F.inline("fields"))
-    uses = fields.where("fixed >= 4").groupBy("template", "slots").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("fillings"))
-    about = uses.where(F.col("fillings") >= min_records).select("template")
-    unfilled = fields.where("marked or plain").join(about, "template", "left_anti").select("id", F.lit("field").alias("why"))
+    unfilled = parsed.where(F.exists("fields", lambda f: f["marked"] | f["plain"])).select("id", F.lit("field").alias("why"))
 
     # Pages: skeletons with many fillings on bare pages and hardly any use elsewhere.
     bare = ~F.col("article")

@@ -208,3 +208,10 @@ def test_residue_of_long_pages(spark, model, text, case):
     assert len(text.split()) >= 160
     rows = spark.createDataFrame([(1, "T", text)], "capture_id bigint, title string, content_markdown string")
     assert bool(residue.residue(rows, "capture_id", "title", "content_markdown", model=model).collect()) is case
+
+
+def test_fields_however_many_fillings(spark, model):
+    rows = [(k, "T", BODY + f"\n\nHello {{{{first_name}}}}, here is issue {k + 41} of the Harbour letter.") for k in range(8)]
+    rows += [(100 + k, "T", BODY + f"\n\nHere is what the {x} of {{{{town}}}} have sold in spring.") for k, x in enumerate(("Mills", "Boats", "Lamps", "Kings", "Bells", "Halls"))]
+    table = spark.createDataFrame(rows, "capture_id bigint, title string, content_markdown string")
+    assert {r["id"] for r in residue.residue(table, "capture_id", "title", "content_markdown", model=model).collect()} == {r[0] for r in rows}
