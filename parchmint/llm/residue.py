@@ -41,7 +41,7 @@ FIELDS = [
 EMPTY = [r"(?<![!\]\w])\[(?!(?i:sic|music|applause|laughter|citation needed|note|edit)\b)[A-Za-z][a-z]+(?: [A-Za-z]+){0,3}\](?![(\[])", r"\bundefined\b", r"\bnull\b", r"\bNaN\b", r"\bInvalid Date\b", r"(?<!\w)None(?= (?:items|readers))", r"^(?:Dear|Hello|Hi|Hallo|Bonjour|Hola|Guten Tag)\s*,"]
 FIELD = re.compile("|".join(FIELDS))
 BARE = re.compile("|".join(EMPTY))
-HINT = re.compile(r"\{[{%A-Za-z\d$]|[$#]\{|<[%A-Z]|\*\||%%|%[A-Z]|@@|~~|\[\[|__[A-Za-z]|\[[\w ]*\](?!\()|TODO|FIXME|\[object|undefined|null|NaN|Invalid Date|None|(?m:^(?:Dear|Hello|Hi|Hallo|Bonjour|Hola|Guten Tag)\s*,)")
+HINT = re.compile(r"\{[{%A-Za-z\d$]|[$#]\{|<[%A-Z]|\*\||%%|%[A-Z]|@@|~~|\[\[|__[A-Za-z]|\[[^\[\]\n]+\](?!\()|TODO|FIXME|\[object|undefined|null|NaN|Invalid Date|None|\b(?:Dear|Hello|Hi|Hallo|Bonjour|Hola|Guten Tag)\s*,")
 
 # A title that a form suggests.
 DEFAULT_TITLE = re.compile(r"(?i)^\W*(?:insert|enter|add|type|replace)\b.{0,40}\b(?:here|headline|title|text)\W*$")

@@ -215,3 +215,12 @@ def test_fields_however_many_fillings(spark, model):
     rows += [(100 + k, "T", BODY + f"\n\nHere is what the {x} of {{{{town}}}} have sold in spring.") for k, x in enumerate(("Mills", "Boats", "Lamps", "Kings", "Bells", "Halls"))]
     table = spark.createDataFrame(rows, "capture_id bigint, title string, content_markdown string")
     assert {r["id"] for r in residue.residue(table, "capture_id", "title", "content_markdown", model=model).collect()} == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("field", ["[insert e-mail address]", "[Add photo/caption here]", "[your name, title]", "[your-name]"])
+def test_fields_with_signs(field):
+    assert residue.fields_of(f"Write to {field} for details.")
+
+
+def test_greeting_within_a_line():
+    assert residue.fields_of("Good news. Dear , welcome to the letter.")
