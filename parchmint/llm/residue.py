@@ -202,7 +202,7 @@ def sentences_of(text: str, title: str | None, gone: set[int]) -> list[dict] | N
         for sentence in SENTENCE.split(line):
             template, fixed, slots = skeleton(sentence)
             if named or fixed:
-                out.append({"h": number_of(template), "slots": number_of(slots), "seeded": named or latin(sentence)})
+                out.append({"h": number_of(template), "slots": number_of(slots), "seeded": named or seeded(sentence)})
                 strange |= not out[-1]["seeded"]
                 if strange and len(out) > BARE_PAGE:
                     return None

@@ -224,3 +224,8 @@ def test_fields_with_signs(field):
 
 def test_greeting_within_a_line():
     assert residue.fields_of("Good news. Dear , welcome to the letter.")
+
+
+def test_residue_in_one_long_line(spark, model):
+    rows = spark.createDataFrame([(1, "T", "Sample text. Replace this paragraph. " * 15), (2, "T", " ".join(["The council sold 12 lamps."] * 15) + " Page not found.")], "capture_id bigint, title string, content_markdown string")
+    assert [r["id"] for r in residue.residue(rows, "capture_id", "title", "content_markdown", model=model).collect()] == [1]
