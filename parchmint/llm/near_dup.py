@@ -7,9 +7,10 @@ which classes meet; a bit sketch of the same signature drops most chance meeting
 likeness is computed exactly.
 
 At scale: classes, not texts, are banded, and a class is banded once per task however many copies
-it has. A key's classes are streamed in key order; a key with more than ``chunk`` classes is cut
-into chunks whose combinations are separate tasks' work, so no task holds an unbounded group.
-Nothing is capped: every pair of classes under one key is verified.
+it has. A key's classes are streamed in key order. Classes that meet more than ``crowd`` others under
+one key are not paired there: they go, whole, to an exact prefix-filter join among themselves
+(:mod:`parchmint.llm.prefixes`), which finds every pair without pairing all. Keys so crowded that
+a sample of classes shows it are taken out before the shuffle, so no task gets a large group.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchmint.llm import prefixes
 from parchmint.llm import shingles as S
 from parchmint.staging import is_small, spread, staged
 
 #: Below this estimate a meeting is dropped unverified, in standard deviations under the threshold.
 SLACK = 4.5
-#: Up to so many rows of ids are sent to all executors (8 bytes each, or a ULID).
+#: Up to so many rows of ids are sent to all executors, if they are no longer than 64 MB together.
 SMALL_IDS = 1_000_000
+#: Crowded keys are looked for among one class of so many.
+SAMPLE = 64
+#: Band keys of one task of the shuffle.
+KEYS_A_TASK = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -67,22 +73,22 @@ class Signer:
         rng = np.random.default_rng(seed)
         k = bands.functions
         self.bands = bands
-        self.mul = (rng.integers(0, 2**32, k, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-        self.add = rng.integers(0, 2**32, k, dtype=np.uint64).astype(np.uint32)[:, None]
+        self.mul = (rng.integers(0, 2**32, k, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+        self.add = rng.integers(0, 2**32, k, dtype=np.uint64).astype(np.uint32)
         self.fold = rng.integers(0, 2**63, (bands.count, bands.rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.band_no = np.arange(bands.count, dtype=np.uint64) << np.uint64(44)
 
-    def values(self, shingles: np.ndarray) -> np.ndarray:
-        """Minimum and maximum under each function, side by side: 2k numbers of 32 bits."""
-        x = (shingles >> np.uint64(32)).astype(np.uint32)
-        low = np.full(len(self.mul), 2**32 - 1, np.uint32)
-        high = np.zeros(len(self.mul), np.uint32)
-        for at in range(0, len(x), 1024):
-            v = x[None, at : at + 1024] * self.mul
-            v += self.add
-            np.minimum(low, v.min(1), out=low)
-            np.maximum(high, v.max(1), out=high)
-        return np.stack([low, high], 1).ravel()
+    def values(self, sets: list[np.ndarray]) -> np.ndarray:
+        """For each set (none empty), minimum and maximum under each function, side by side: 2k numbers of 32 bits."""
+        x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum([0, *map(len, sets[:-1])])
+        out = np.empty((2 * len(self.mul), len(sets)), np.uint32)
+        for k in range(len(self.mul)):
+            v = x * self.mul[k]
+            v += self.add[k]
+            np.minimum.reduceat(v, starts, out=out[2 * k])
+            np.maximum.reduceat(v, starts, out=out[2 * k + 1])
+        return out.T.copy()
 
     def keys(self, values: np.ndarray) -> np.ndarray:
         """One key a band: its number above 44 bits of a hash of its values."""
@@ -100,109 +106,89 @@ class Signer:
 def _sign(bands: Bands, size: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, hashes, done = Signer(bands), S.WordHashes(), set()
+        names = ["id", "cls", "keys", *(f"s{k}" for k in range(bands.longs))]
         for batch in batches:
-            kept, ids, keys, offsets, sketches = [], [], [], [0], []
-            total = 0
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                tokens = S.words(text)
-                if len(tokens) < max(min_words, size):
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                kept, ids, fresh, sets = [], [], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    tokens = S.words(text)
+                    if len(tokens) < max(min_words, size):
+                        continue
+                    runs = S.shingle_set(tokens, hashes, size)
+                    kept.append(row)
+                    ids.append(own := S.set_id(runs))
+                    fresh.append(own not in done)  # else a copy; its class was banded by this task
+                    if fresh[-1]:
+                        if len(done) > 1_000_000:
+                            done.clear()
+                        done.add(own)
+                        sets.append(runs)
+                if not kept:
                     continue
-                runs = S.shingle_set(tokens, hashes, size)
-                kept.append(row)
-                ids.append(own := S.set_id(runs))
-                if own in done:  # a copy; its class was banded by this task
-                    sketches.append(None)
-                else:
-                    if len(done) > 1_000_000:
-                        done.clear()
-                    done.add(own)
-                    values = signer.values(runs)
-                    keys.append(signer.keys(values))
-                    total += bands.count
-                    sketches.append(signer.sketch(values))
-                offsets.append(total)
-            none = np.array([s is None for s in sketches], bool)
-            parts = np.array([np.zeros(bands.longs, np.int64) if s is None else s for s in sketches], np.int64).reshape(-1, bands.longs)
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(none)) if kept else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(ids, pa.int64()), listed, *(pa.array(parts[:, k], mask=none) for k in range(bands.longs))],
-                ["id", "cls", "keys", *(f"s{k}" for k in range(bands.longs))],
-            )
+                new = np.array(fresh, bool)
+                values = signer.values(sets) if sets else np.empty((0, 2 * bands.functions), np.uint32)
+                flat = np.concatenate([signer.keys(v) for v in values]) if sets else np.empty(0, np.int64)
+                parts = np.zeros((len(kept), bands.longs), np.int64)
+                if sets and bands.longs:
+                    parts[new] = np.array([signer.sketch(v) for v in values])
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(new * bands.count)].astype(np.int32)), pa.array(flat), mask=pa.array(~new))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.array(ids, pa.int64()), listed, *(pa.array(parts[:, k], mask=~new) for k in range(bands.longs))], names)
 
     return run
 
 
-def _meet(chunk: int):
-    """Rows (key, cls) in key order to pairs of classes, or to chunks of a key with more than ``chunk`` classes."""
-
-    def pairs_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = np.triu_indices(len(members), 1)
-        return members[i], members[j]
+def _meet(crowd: int):
+    """Rows (key, cls) in key order to pairs (a, b) of a key's classes, or (a, null) for each class of a key with more than ``crowd``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "key", "part", "members"]
-
-        def as_pairs(left: list, right: list) -> Iterator[pa.RecordBatch]:
-            if not left:
-                return
-            a, b = np.concatenate(left), np.concatenate(right)
-            for at in range(0, len(a), 100_000):
-                x, y = pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])
-                n = len(x)
-                yield pa.RecordBatch.from_arrays([x, y, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names)
+        key, held, full = None, np.empty(0, np.int64), False
 
-        def as_chunk(key: int, part: int, members: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([members.tolist()], pa.list_(pa.int64()))], names)
+        def rows(left: list, right: list, alone: list) -> Iterator[pa.RecordBatch]:
+            for x, y in ((left, right), (alone, None)):
+                if x:
+                    a = np.concatenate(x)
+                    b = pa.array(np.concatenate(y)) if y else pa.nulls(len(a), pa.int64())
+                    for at in range(0, len(a), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), b.slice(at, 100_000)], ["a", "b"])
 
-        key, held, part = None, np.empty(0, np.int64), 0
         for batch in batches:
             keys, classes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(keys):
                 continue
-            left, right = [], []
+            left, right, alone, size = [], [], [], 0
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             ends = np.r_[starts[1:], len(keys)]
-            # Whole groups of one row inside the batch meet nobody.
             for s, e in zip(starts.tolist(), ends.tolist()):
                 if keys[s] == key:
                     held = np.unique(np.r_[held, classes[s:e]])
                 else:
                     if e - s == 1 and e != len(keys) and s != 0:
-                        continue
-                    if key is not None:
-                        if part:
-                            yield as_chunk(key, part, held)
-                        elif len(held) > 1:
-                            x, y = pairs_of(held)
-                            left.append(x)
-                            right.append(y)
-                    key, held, part = keys[s], np.unique(classes[s:e]), 0
-                while len(held) > chunk:
-                    yield as_chunk(key, part, held[:chunk])
-                    held, part = held[chunk:], part + 1
-            yield from as_pairs(left, right)
-        if key is not None:
-            if part:
-                yield as_chunk(key, part, held)
-            elif len(held) > 1:
-                x, y = pairs_of(held)
-                yield from as_pairs([x], [y])
+                        continue  # a whole group of one row meets nobody
+                    if full:
+                        alone.append(held)
+                    elif len(held) > 1:
+                        i, j = np.triu_indices(len(held), 1)
+                        left.append(held[i])
+                        right.append(held[j])
+                        size += len(i)
+                    key, held, full = keys[s], np.unique(classes[s:e]), False
+                if len(held) > crowd:
+                    alone.append(held)
+                    held, full = np.empty(0, np.int64), True
+                if size > 1_000_000:
+                    yield from rows(left, right, [])
+                    left, right, size = [], [], 0
+            yield from rows(left, right, alone)
+        if full:
+            yield from rows([], [], [held])
+        elif len(held) > 1:
+            i, j = np.triu_indices(len(held), 1)
+            yield from rows([held[i]], [held[j]], [])
 
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs within one chunk, or between two, in slices of bounded size."""
-    for batch in batches:
-        for same, left, right in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            x, y = np.array(left, np.int64), np.array(right, np.int64)
-            for k in range(len(x)):
-                other = y[k + 1 :] if same else y[y != x[k]]
-                a, b = np.minimum(x[k], other), np.maximum(x[k], other)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
 def signatures(texts: DataFrame, bands: Bands, size: int, min_words: int) -> DataFrame:
     """(id, cls, keys, s0, s1, ...) of each text with enough words; keys and sketch are null for a copy met before."""
     id_type = texts.schema[0].dataType.simpleString()
@@ -210,43 +196,52 @@ def signatures(texts: DataFrame, bands: Bands, size: int, min_words: int) -> Dat
     return texts.mapInArrow(_sign(bands, size, min_words), ", ".join(fields))
 
 
-def meetings(signed: DataFrame, chunk: int = 2048) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes that share a band key."""
-    rows = signed.where("keys is not null").select(F.explode("keys").alias("key"), "cls")
-    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = staged(
-        rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(chunk), "a bigint, b bigint, key bigint, part int, members array<bigint>"),
-        "meetings",
-    )
-    parts = found.where("key is not null").select("key", "part", "members")
-    near = found.where("a is not null").select("a", "b")
-    if parts.take(1):
-        other = parts.select("key", F.col("part").alias("part2"), F.col("members").alias("members2"))
-        blocks = parts.join(other, "key").where("part <= part2").select((F.col("part") == F.col("part2")).alias("same"), "members", "members2")
-        near = near.unionByName(blocks.repartition(n).mapInArrow(_blocks, "a bigint, b bigint"))
-    return near.distinct()
+def meetings(signed: DataFrame, crowd: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of classes that share a band key, and the classes (cls) of crowded keys."""
+    banded = signed.where("keys is not null").select("keys", "cls")
+    rows = banded.select(F.explode("keys").alias("key"), "cls")
+    n_keys = banded.agg(F.sum(F.size("keys").cast("bigint"))).first()[0] or 0
+    n = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // KEYS_A_TASK))
+    sampled = rows.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count_distinct("cls").alias("n")).where(F.col("n") * SAMPLE > 16 * crowd)
+    hot = staged(sampled.select("key"), "crowded_keys")
+    some = not hot.isEmpty()
+    side = F.broadcast(hot) if some and is_small(hot, SMALL_IDS) else hot
+    calm = rows.join(side, "key", "left_anti") if some else rows
+    found = staged(calm.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(crowd), "a bigint, b bigint"), "meetings")
+    crowded = found.where("b is null").select(F.col("a").alias("cls"))
+    if some:
+        crowded = crowded.unionByName(rows.join(side, "key", "left_semi").select("cls"))
+    return found.where("b is not null").distinct(), staged(crowded.distinct(), "crowded")
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = S.WordHashes()
         for batch in batches:
-            sets = [S.shingle_set(S.words(t), hashes, size).view(np.int64) for t in batch.column(1).to_pylist()]
-            offsets = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["id", "runs"])
+            for at in range(0, batch.num_rows, 500):
+                sets = [S.shingle_set(S.words(t), hashes, size) for t in batch.column(1).slice(at, 500).to_pylist()]
+                offsets = np.cumsum([0, *map(len, sets)])
+                ids = pa.array([S.set_id(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["cls", "runs"])
 
     return run
 
 
 def sets_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, runs) of the texts whose id is in ``ids``: one row an id, whatever its redeliveries."""
+    """(cls, runs): the sets, one row a class, of all texts whose id is in ``ids``."""
     wanted = ids.select("id").distinct()
     if is_small(wanted, SMALL_IDS):
         wanted = F.broadcast(wanted)
-    few = texts.join(wanted, "id", "left_semi")
-    id_type = texts.schema[0].dataType.simpleString()
-    return few.mapInArrow(_sets(size), f"id {id_type}, runs array<bigint>").groupBy("id").agg(F.first("runs").alias("runs"))
+    few = texts.select("id", "text").join(wanted, "id", "left_semi")
+    return few.mapInArrow(_sets(size), "cls bigint, runs array<bigint>").groupBy("cls").agg(F.first("runs").alias("runs"))
+
+
+def alike_in_crowd(sets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that an exact prefix-filter join of the sets (cls, runs) with themselves lets through."""
+    counts = sets.sparkSession.sparkContext.broadcast(prefixes.cell_counts(sets))
+    rows = staged(sets.mapInArrow(prefixes.prefix_rows(counts, threshold), prefixes.PREFIX_SCHEMA), "crowd_prefixes")
+    other = rows.select("run", F.col("cls").alias("b"), F.col("place").alias("place_e"), F.col("n").alias("n_e"))
+    return rows.withColumnRenamed("cls", "a").join(other, "run").where(F.col("a") < F.col("b")).where(prefixes.may_reach(threshold)).select("a", "b").distinct()
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -279,12 +274,15 @@ def near_duplicates(
     size: int = 5,
     min_words: int = 0,
     recall: float = 0.99,
-    chunk: int = 2048,
+    crowd: int = 2048,
+    slack: float | None = SLACK,
 ) -> NearDuplicates:
     """Texts whose sets of ``size``-word runs have a likeness of at least ``threshold``.
 
     Candidates come from min-max hashing (:class:`Bands`), so a pair at the threshold is found
     with probability ``recall`` and a closer one with more; what is returned is verified exactly.
+    The sketch drops candidates whose estimate is ``slack`` standard deviations under the threshold;
+    with ``slack=None`` all of them are verified.
 
     Rows with a null id or text, and texts of fewer than ``min_words`` or ``size`` words (empty
     ones among them), belong to no class. Rows that repeat an id with one text count once; rows of
@@ -302,19 +300,26 @@ def near_duplicates(
         return classes.select(F.col("cls").alias(name), F.col("rep").alias(f"rep_{name}"), *(F.col(s).alias(f"{name}_{s}") for s in sketch))
 
     n_bits = 64 * bands.longs
-    near = meetings(signed, chunk).join(side("a"), "a").join(side("b"), "b")
-    if n_bits:
+    met, crowded = meetings(signed, crowd)
+    near = met.join(side("a"), "a").join(side("b"), "b")
+    if n_bits and slack is not None:
         # Bits agree with probability (1 + likeness) / 2.
         agree = (1 + threshold) / 2
-        least = n_bits * agree - SLACK * math.sqrt(n_bits * agree * (1 - agree))
+        least = n_bits * agree - slack * math.sqrt(n_bits * agree * (1 - agree))
         differing = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
         near = near.where(F.lit(n_bits) - differing >= least)
     near = staged(near.select("a", "b", "rep_a", "rep_b"), "candidates")
     ids = near.select(F.explode(F.array("rep_a", "rep_b")).alias("id"))
+    near = near.select("a", "b")
     sets = sets_of(texts, ids, size)
+    if not crowded.isEmpty():
+        reps = classes.join(crowded, "cls", "left_semi").select(F.col("rep").alias("id"))
+        crowd_sets = staged(sets_of(texts, reps, size).join(crowded, "cls", "left_semi"), "crowd_sets")
+        near = near.unionByName(alike_in_crowd(crowd_sets, threshold)).distinct()
+        sets = sets.unionByName(crowd_sets).dropDuplicates(["cls"])
     links = (
-        near.join(sets.select(F.col("id").alias("rep_a"), F.col("runs").alias("runs_a")), "rep_a")
-        .join(sets.select(F.col("id").alias("rep_b"), F.col("runs").alias("runs_b")), "rep_b")
+        near.join(sets.select(F.col("cls").alias("a"), F.col("runs").alias("runs_a")), "a")
+        .join(sets.select(F.col("cls").alias("b"), F.col("runs").alias("runs_b")), "b")
         .select("a", "b", likeness(F.col("runs_a"), F.col("runs_b")).alias("likeness"))
         .where(F.col("likeness") >= threshold)
     )
@@ -348,13 +353,30 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(roots)
 
 
+def with_labels(rows: DataFrame, labels: DataFrame, key: str, share: int = 2000) -> DataFrame:
+    """``rows`` joined with ``labels`` (one row a key, ``n`` its number of rows), however many rows a key has.
+
+    Keys with more than one row of ``share`` are at most ``share``, so their labels go to all tasks;
+    the rows of the others are shuffled.
+    """
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(labels.where(F.col("n") > total / share))
+    columns = [c for c in rows.columns if c != key] + [c for c in labels.columns if c not in (key, "n")]
+    few = rows.join(hot, key).select(key, *columns)
+    rest = rows.join(hot.select(key), key, "left_anti").join(labels, key).select(key, *columns)
+    return few.unionByName(rest)
+
+
 def groups(found: NearDuplicates) -> DataFrame:
     """(id, group_id, n_links): one row a text; a text without likeness to another is its own group.
 
     ``group_id`` is the smallest id of the group, ``n_links`` the number of other classes its class is alike to.
+    An id that carries texts of several classes has a row for each.
     """
+    classes = found.members.groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     ends = found.links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    named = found.members.join(components(found.links), "cls", "left").join(ends, "cls", "left")
-    named = named.select("id", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("group_id"))
-    return named.join(smallest, "root").select("id", "group_id", "n_links")
+    rooted = components(found.links).join(classes, "cls")
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("group_id"))
+    linked = rooted.join(smallest, "root").join(ends, "cls").select("cls", "group_id", "n_links")
+    labels = staged(classes.join(linked, "cls", "left").select("cls", "n", F.coalesce("group_id", "low").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    return with_labels(found.members, labels, "cls").select("id", "group_id", "n_links")

@@ -153,6 +153,17 @@ SELECT a AS capture_id_a, b AS capture_id_b FROM shared JOIN sizes x ON x.id = a
 WHERE k >= 0.6 * (x.n + y.n - k)
 """
 
+P1_GROUPS = f"""
+WITH RECURSIVE pairs AS ({P1_FOUND.strip()}),
+words AS (SELECT DISTINCT capture_id AS id, {WORDS.format("content_markdown")} AS w FROM captured_content),
+class_runs AS (SELECT DISTINCT id, {RUNS} AS run FROM words WHERE len(w) >= 60),
+classes AS (SELECT id, md5(string_agg(run, '|' ORDER BY run)) AS cls FROM class_runs GROUP BY id),
+both AS (SELECT capture_id_a AS a, capture_id_b AS b FROM pairs UNION ALL SELECT capture_id_b, capture_id_a FROM pairs),
+reached AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, p.b FROM reached r JOIN both p ON r.b = p.a),
+links AS (SELECT x.a AS id, count(DISTINCT d.cls) AS n FROM both x JOIN classes c ON c.id = x.a JOIN classes d ON d.id = x.b WHERE c.cls <> d.cls GROUP BY 1)
+SELECT r.a AS capture_id, min(r.b) AS group_id, coalesce(any_value(l.n), 0) AS n_links FROM reached r LEFT JOIN links l ON l.id = r.a GROUP BY r.a
+"""
+
 P2_FOUND = r"""
 WITH parts AS (
     SELECT id, updated_at, tags, source, lower(regexp_extract(source, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
@@ -186,6 +197,13 @@ SELECT a AS labeled_row_id, b AS holdout_row_id FROM shared JOIN sizes x ON x.si
 WHERE k >= 0.6 * (x.n + y.n - k)
 """
 
+P4_REPORT = f"""
+WITH found AS ({P4_FOUND.strip()}),
+n AS (SELECT holdout_row_id AS row_id, count(*) AS k FROM found GROUP BY 1),
+held AS (SELECT DISTINCT row_id, split, source FROM holdout WHERE row_id IS NOT NULL)
+SELECT split, source, count(*) AS n_rows, count(k) AS n_overlapping, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_pairs FROM held LEFT JOIN n USING (row_id) GROUP BY split, source
+"""
+
 P6_FOUND = r"""
 WITH sites AS (
     SELECT id AS doc_id, CASE WHEN lower(source) LIKE 'email:%' THEN lower(split_part(source, '@', -1))
@@ -204,4 +222,4 @@ SELECT capture_id, line_no FROM counted JOIN frequent USING (site, line)
 
 def oracle_sql() -> dict[str, str]:
     """SQL that gives the same rows, for those queries that SQL can answer over whole tables."""
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p6_found": P6_FOUND}

@@ -5,8 +5,13 @@ likeness reaches the threshold share a run among the first few of each (their pr
 of the evaluation side are indexed, those of the training side probe them, the lengths and the
 positions of the shared run bound the overlap that is still possible, and what passes is verified.
 
-Rarity comes from a count array of fixed size over all rows of both sides: runs that fall into one
-cell share a count, which may cost candidates but never a pair, since any total order is exact.
+Only runs of the evaluation side can be shared, so rarity is theirs: it is counted over all rows of
+that side, the small one, and sent to the workers as an array of cells of a fixed bound
+(:mod:`parchmint.llm.prefixes`). A run of the training side whose cell is empty is rarer than any
+and meets nobody: it takes a place in the prefix and is not sent anywhere. So the training side, which
+may be any size, is read once, and nothing of it is shuffled but the few runs that may meet.
+The texts of candidates alone are read again to verify them.
+
 Copies are collapsed into classes first, so a text that fills a third of a side is one class.
 """
 
@@ -17,98 +22,78 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchmint.llm import prefixes
 from parchmint.llm import shingles as S
-from parchmint.llm.near_dup import likeness
-from parchmint.staging import staged
+from parchmint.llm.near_dup import SMALL_IDS, likeness, sets_of
+from parchmint.staging import is_small, spread, staged
 
 
-def _classes(size: int, min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = S.WordHashes(), set()
-        for batch in batches:
+def _sets(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list]]:
+    """Slices of the rows, which of them have enough words, their classes, and their runs (none for a copy within the task)."""
+    hashes, done = S.WordHashes(), set()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
             kept, ids, sets = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, text in enumerate(part.column(1).to_pylist()):
                 tokens = S.words(text)
                 if len(tokens) < max(min_words, size):
                     continue
                 runs = S.shingle_set(tokens, hashes, size)
                 kept.append(row)
                 ids.append(own := S.set_id(runs))
-                if own in done:  # a copy within the task
-                    sets.append(None)
-                else:
+                sets.append(None if own in done else runs.view(np.int64))
+                if sets[-1] is not None:
                     if len(done) > 1_000_000:
                         done.clear()
                     done.add(own)
-                    sets.append(runs.view(np.int64))
-            none = np.array([s is None for s in sets], bool)
-            whole = [np.empty(0, np.int64) if s is None else s for s in sets]
-            offsets = np.cumsum([0, *map(len, whole)])
-            flat = pa.array(np.concatenate(whole) if whole else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(none)) if kept else pa.array([], pa.list_(pa.int64()))
-            at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(ids, pa.int64()), lists], ["id", "side", "cls", "runs"])
+            if kept:
+                yield part, kept, ids, sets
 
-    return run
 
+def _lists(sets: list, none: np.ndarray, kind) -> pa.ListArray:
+    offsets = np.cumsum([0, *(0 if x is None else len(x) for x in sets)])
+    whole = [x for x in sets if x is not None]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(whole) if whole else np.empty(0, kind)), mask=pa.array(none))
 
-def _cell(runs: np.ndarray, bits: int) -> np.ndarray:
-    return (runs.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
+def _held(size: int, min_words: int):
+    """Evaluation rows to (id, cls, runs)."""
 
-def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            counts += np.bincount(_cell(batch.column(0).flatten().to_numpy(), bits), minlength=1 << bits)
-        used = np.flatnonzero(counts)
-        for at in range(0, len(used), 50_000):
-            some = used[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["cell", "n"])
+        for part, kept, ids, sets in _sets(batches, size, min_words):
+            none = np.array([x is None for x in sets], bool)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.array(ids, pa.int64()), _lists(sets, none, np.int64)], ["id", "cls", "runs"])
 
     return run
 
 
-def run_counts(spark: SparkSession, classes: DataFrame, bits: int) -> np.ndarray:
-    """How often runs fall into each of 2**bits cells, over all classes; at most 2**bits numbers reach the driver."""
-    rows = classes.select("runs").mapInArrow(_count(bits), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros(1 << bits, np.int64)
-    held = rows.toArrow()
-    counts[held["cell"].to_numpy()] = held["n"].to_numpy()
-    return counts
-
+def _probe(counts, threshold: float, size: int, min_words: int):
+    """Training rows to (id, cls, n, runs, places): the members of the prefix that the evaluation side may have."""
 
-def _prefixes(counts, bits: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
-        for batch in batches:
-            runs, classes, places, sizes = [], [], [], []
-            for cls, held in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = held.values.to_numpy()
-                rare = np.lexsort((x, order[_cell(x, bits)]))
-                n = len(x)
-                length = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                runs.append(x[rare[:length]])
-                classes.append(np.full(length, cls, np.int64))
-                places.append(np.arange(length, dtype=np.int32))
-                sizes.append(np.full(length, n, np.int32))
-            join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
-            yield pa.RecordBatch.from_arrays([join(runs, np.int64), join(classes, np.int64), join(places, np.int32), join(sizes, np.int32)], ["run", "cls", "place", "n"])
+        cells = counts.value
+        bits = len(cells).bit_length() - 1
+        for part, kept, ids, sets in _sets(batches, size, min_words):
+            none = np.array([x is None for x in sets], bool)
+            runs, places = [], []
+            for x in sets:
+                if x is None:
+                    runs.append(None), places.append(None)
+                    continue
+                first = prefixes.prefix(x, cells, threshold)
+                some = np.flatnonzero(cells[prefixes.cell_of(first, bits)])
+                runs.append(first[some]), places.append(some.astype(np.int32))
+            n = pa.array([0 if x is None else len(x) for x in sets], pa.int32())
+            columns = [part.column(0).take(pa.array(kept, pa.int64())), pa.array(ids, pa.int64()), n, _lists(runs, none, np.int64), _lists(places, none, np.int32)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "cls", "n", "runs", "places"])
 
     return run
 
 
-def _may_reach(threshold: float) -> Column:
-    """Whether a run at ``place`` of ``n`` and one at ``place_e`` of ``n_e`` leave room for the needed overlap."""
-    n, m = F.col("n"), F.col("n_e")
-    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
-    lengths = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9)
-    return lengths & (F.lit(1) + F.least(n - F.col("place") - 1, m - F.col("place_e") - 1) >= needed)
-
-
 @dataclass(frozen=True)
 class Overlap:
     """``members`` (id, side, cls) of both sides; ``links`` (train_cls, eval_cls, likeness), equal classes included."""
@@ -131,30 +116,33 @@ def split_overlap(
     threshold: float = 0.8,
     size: int = 5,
     min_words: int = 0,
-    bits: int = 18,
 ) -> Overlap:
     """Pairs of a training and an evaluation row whose sets of ``size``-word runs are alike by ``threshold`` or more.
 
     Exact: every such pair is found. Rows with a null id or text, and texts of fewer than
-    ``min_words`` or ``size`` words, are in no pair. A repeated row counts once. Other columns are
-    ignored; an empty side gives an empty result. ``bits`` sets the size of the count array.
+    ``min_words`` or ``size`` words, are in no pair. A repeated row counts once; an id with several
+    texts counts with each. Other columns are ignored; an empty side gives an empty result.
     """
     spark = train.sparkSession
-    sides = [df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.lit(side).alias("side")) for df, side in ((train, "t"), (evaluation, "e"))]
-    texts = sides[0].unionByName(sides[1]).where("id is not null and text is not null")
+    texts, held = (spread(df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")) for df in (train, evaluation))
     id_type = texts.schema["id"].dataType.simpleString()
-    signed = staged(texts.mapInArrow(_classes(size, min_words), f"id {id_type}, side string, cls bigint, runs array<bigint>"), "classes")
-    members = signed.select("id", "side", "cls").distinct()
-    classes = staged(signed.where("runs is not null").groupBy("side", "cls").agg(F.first("runs").alias("runs")), "sets")
-    counts = spark.sparkContext.broadcast(run_counts(spark, classes, bits))
-
-    def prefixes(side: str) -> DataFrame:
-        return classes.where(F.col("side") == side).select("cls", "runs").mapInArrow(_prefixes(counts, bits, threshold), "run bigint, cls bigint, place int, n int")
-
-    index = prefixes("e").select("run", F.col("cls").alias("eval_cls"), F.col("place").alias("place_e"), F.col("n").alias("n_e"))
-    met = prefixes("t").join(index, "run").where(_may_reach(threshold)).select(F.col("cls").alias("train_cls"), "eval_cls").distinct()
-    runs = {s: classes.where(F.col("side") == s).select(F.col("cls").alias(f"{name}_cls"), F.col("runs").alias(f"runs_{s}")) for s, name in (("t", "train"), ("e", "eval"))}
-    links = met.join(runs["t"], "train_cls").join(runs["e"], "eval_cls").select("train_cls", "eval_cls", likeness(F.col("runs_t"), F.col("runs_e")).alias("likeness"))
+    held_type = held.schema["id"].dataType.simpleString()
+    held = staged(held.mapInArrow(_held(size, min_words), f"id {held_type}, cls bigint, runs array<bigint>"), "held")
+    held_sets = held.where("runs is not null").select("cls", "runs")
+    counts = spark.sparkContext.broadcast(prefixes.cell_counts(held_sets))
+    probes = staged(texts.mapInArrow(_probe(counts, threshold, size, min_words), f"id {id_type}, cls bigint, n int, runs array<bigint>, places array<int>"), "probes")
+    members = held.select("id", F.lit("e").alias("side"), "cls").distinct().unionByName(probes.select("id", F.lit("t").alias("side"), "cls").distinct())
+
+    index = held_sets.mapInArrow(prefixes.prefix_rows(counts, threshold), prefixes.PREFIX_SCHEMA)
+    index = index.select("run", F.col("cls").alias("eval_cls"), F.col("place").alias("place_e"), F.col("n").alias("n_e"))
+    sent = probes.where(F.size("runs") > 0).select("id", F.col("cls").alias("train_cls"), "n", F.inline(F.arrays_zip("runs", "places"))).withColumnsRenamed({"runs": "run", "places": "place"})
+    met = sent.join(index, "run").where(prefixes.may_reach(threshold)).groupBy("train_cls", "eval_cls").agg(F.min("id").alias("id"))
+    met = staged(met, "met")
+    met_sets = sets_of(texts, met, size).withColumnsRenamed({"cls": "train_cls", "runs": "runs_t"})
+    some = met.select(F.col("eval_cls").alias("cls")).distinct()
+    some = F.broadcast(some) if is_small(some, SMALL_IDS) else some
+    eval_sets = held_sets.join(some, "cls", "left_semi").dropDuplicates(["cls"]).withColumnsRenamed({"cls": "eval_cls", "runs": "runs_e"})
+    links = met.join(met_sets, "train_cls").join(eval_sets, "eval_cls").select("train_cls", "eval_cls", likeness(F.col("runs_t"), F.col("runs_e")).alias("likeness"))
     return Overlap(members, staged(links.where(F.col("likeness") >= threshold), "overlap"))
 
 

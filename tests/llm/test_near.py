@@ -37,10 +37,10 @@ def rows():
     return out + [(500, None), (501, ""), (502, "too short"), (None, out[0][1]), out[0], out[1], (503, out[0][1].upper() + " ..."), (504, text_of(r, 30_000))]
 
 
-@pytest.mark.parametrize("size, least, chunk", [(3, 0.6, 2048), (3, 0.6, 3), (5, 0.8, 2048)])
-def test_pairs_as_brute_force(spark, rows, size, least, chunk):
+@pytest.mark.parametrize("size, least, crowd", [(3, 0.6, 2048), (3, 0.6, 2), (5, 0.8, 2048), (5, 0.8, 1)])
+def test_pairs_as_brute_force(spark, rows, size, least, crowd):
     table = spark.createDataFrame([(t, i, 1, "x") for i, t in rows], "text string, key bigint, a int, cls string").repartition(3)
-    found = near_dup.near_duplicates(table, "key", "text", least, size, 20, recall=0.9999, chunk=chunk)
+    found = near_dup.near_duplicates(table, "key", "text", least, size, 20, recall=0.9999, crowd=crowd, slack=None if crowd == 1 else near_dup.SLACK)
     got = [tuple(r) for r in found.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, size, least, 20)
 
@@ -87,7 +87,7 @@ def test_signatures_estimate_likeness():
     for share in (0.0, 0.02, 0.1):
         a = text_of(r, 200)
         b = edited(r, a, share)
-        va, vb = [signer.values(shingles.shingle_set(shingles.words(t), hashes)) for t in (a, b)]
+        va, vb = signer.values([shingles.shingle_set(shingles.words(t), hashes) for t in (a, b)])
         assert abs((va == vb).mean() - likeness(a, b, 3)) < 0.12
 
 
@@ -113,3 +113,37 @@ def test_hot_text_is_banded_once_a_task(spark):
     table = spark.createDataFrame([(k, t) for k in range(300)], "key bigint, text string").coalesce(2)
     signed = near_dup.signatures(table.select(F.col("key").alias("id"), "text"), near_dup.Bands.for_threshold(0.8), 5, 0)
     assert signed.count() == 300 and signed.where("keys is not null").count() <= 2
+
+
+def test_an_id_with_two_texts_keeps_its_links(spark):
+    r = random.Random(4)
+    a, b = text_of(r, 90), text_of(r, 90)
+    rows = [(1, a), (1, b), (2, edited(r, a, 0.02)), (3, edited(r, b, 0.02))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "key bigint, text string"), "key", "text", 0.6, 3, recall=0.9999)
+    assert sorted(tuple(x) for x in found.pairs().collect()) == [(1, 2), (1, 3)]
+
+
+def test_one_band_key_of_many_classes(spark):
+    n = 50_000
+    signed = spark.range(n).select(F.array(F.lit(5), F.col("id") + 10).alias("keys"), F.col("id").alias("cls"))
+    met, crowded = near_dup.meetings(signed.unionByName(spark.createDataFrame([([8, 9], n), ([9], n + 1)], "keys array<bigint>, cls bigint")))
+    assert [tuple(x) for x in met.collect()] == [(n, n + 1)]
+    assert crowded.count() == crowded.distinct().count() == n
+
+
+def test_crowd_is_joined_exactly(spark):
+    r = random.Random(9)
+    head = text_of(r, 60)  # all share it, so that they meet, but few are alike
+    rows = [(k, head + " " + text_of(r, 60)) for k in range(150)]
+    rows += [(1000 + k, edited(r, rows[k][1], 0.02)) for k in range(20)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "key bigint, text string"), "key", "text", 0.6, 3, recall=0.9999, crowd=20)
+    assert {tuple(x) for x in found.pairs().collect()} == brute(rows, 3, 0.6, 0)
+
+
+def test_groups_of_a_hot_class(spark):
+    r = random.Random(6)
+    t, other = text_of(r, 80), text_of(r, 80)
+    rows = [(k, t) for k in range(3000)] + [(5000, t + " more"), (5001, other)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "key bigint, text string"), "key", "text", 0.6, 3)
+    got = {x["id"]: (x["group_id"], x["n_links"]) for x in near_dup.groups(found).collect()}
+    assert len(got) == 3002 and got[2999] == got[5000] == (0, 1) and got[5001] == (5001, 0)
