@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -104,6 +105,13 @@ def test_pack(spark):
 
 # Look-alikes
 
+def form(text):
+    """A text with all the repairs it wishes, as where each result is a token of the corpus."""
+    text = lookalikes.clean(text)
+    wishes = lookalikes.Repairs().wished(text)
+    return unicodedata.normalize("NFC", lookalikes.TOKEN.sub(lambda m: wishes.get(m.group(), m.group()), text))
+
+
 CLEAN = "The open school of Kanto reached 12 kelvin - fine, naïve ÅK"
 
 
@@ -116,7 +124,7 @@ CLEAN = "The open school of Kanto reached 12 kelvin - fine, naïve ÅK"
     ],
 )
 def test_looks(other, same):
-    assert other != CLEAN and (lookalikes.fold(lookalikes.clean(other)) == lookalikes.fold(lookalikes.clean(CLEAN))) is same
+    assert other != CLEAN and (form(other) == form(CLEAN)) is same
 
 
 def test_joined_emoji_differs_from_its_parts():
@@ -126,7 +134,33 @@ def test_joined_emoji_differs_from_its_parts():
 
 def test_repair_follows_the_dominant_script():
     assert lookalikes.repair("schооl") == "school" and lookalikes.repair("шкoла") == "школа" and lookalikes.repair("school") is None
-    assert lookalikes.repair("λoγoς") == "λογος" and lookalikes.repair("жabc") is None
+    assert lookalikes.repair("λoγoς") == "λογος" and lookalikes.repair("жаbc") == "жabc" and lookalikes.repair("жabc") is None
+    assert lookalikes.repair("ΓДΠ") == "ГДП" and lookalikes.repair("сор") == "cop" and lookalikes.repair("cop", "C") == "сор" and lookalikes.repair("сор", "C") is None
+    assert lookalikes.repair("шva", "C") == "шvа" and lookalikes.repair("шνа", "C") == "шvа"
+
+
+def test_look_alikes_alone_take_the_script_of_their_text(spark):
+    rows = [(1, "Der alte HET steht"), (2, "Der alte НЕТ steht"), (3, "Он сказал НЕТ школе"), (4, "Он сказал HET школе"), (5, "ма́ма"), (6, "мáма"), (7, "Он сказал ВОР школе")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(x) for x in lookalikes.look_alikes(table, "doc_id", "text").collect()) == [(1, 2), (3, 4), (5, 6)]
+    texts = {r["id"]: r["text"] for r in lookalikes.normalised(table, "doc_id", "text").collect()}
+    assert texts[2] == rows[0][1] and texts[4] == rows[2][1] and texts[5] == texts[6] and texts[7] == rows[6][1]
+
+
+def test_two_spellings_of_no_word_have_one_form(spark):
+    table = spark.createDataFrame([(1, "xylofрhone"), (2, "xylоfphone")], "doc_id bigint, text string")
+    assert {r["text"] for r in lookalikes.normalised(table, "doc_id", "text").collect()} == {"xylofphone"}
+
+
+def test_words_with_combining_accents_are_vocabulary(spark):
+    table = spark.createDataFrame([(1, "cafe\u0301"), (2, "саfé")], "doc_id bigint, text string")
+    assert [tuple(x) for x in lookalikes.look_alikes(table, "doc_id", "text").collect()] == [(1, 2)]
+
+
+def test_hot_text_with_one_variant(spark):
+    table = spark.range(4000).select("id", F.when(F.col("id") == 7, "the schооl").otherwise("the school").alias("text"))
+    got = lookalikes.look_alikes(table, "id", "text").collect()
+    assert len(got) == 3999 and all(7 in tuple(x) for x in got)
 
 
 def test_tables_of_look_alikes(spark):
@@ -150,7 +184,7 @@ def test_brute_force_on_pairs(spark):
         for c, d in r.sample([("o", "о"), (" ", " "), ("e", "е"), ("x", "X"), ("h", "h⁠")], 2):
             t = t.replace(c, d)
         rows.append((k, t))
-    keys = {k: lookalikes.fold(lookalikes.clean(t)) for k, t in rows}
+    keys = {k: form(t) for k, t in rows}
     want = {(a, b) for a, x in rows for b, y in rows if a < b and x != y and keys[a] == keys[b]}
     got = [tuple(x) for x in lookalikes.look_alikes(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()]
     assert len(got) == len(set(got)) and set(got) == want and F is not None
