@@ -84,7 +84,7 @@ def _site_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every line that occurs in at least 10 captures of its site."""
-    return repeated_lines.frequent_occurrences(_site_lines(spark, folder)).select(F.col("id").alias("capture_id"), "line_no")
+    return repeated_lines.repeated_occurrences(_site_lines(spark, folder)).withColumnRenamed("id", "capture_id")
 
 
 def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,9 +158,9 @@ WITH RECURSIVE pairs AS ({P1_FOUND.strip()}),
 words AS (SELECT DISTINCT capture_id AS id, {WORDS.format("content_markdown")} AS w FROM captured_content),
 class_runs AS (SELECT DISTINCT id, {RUNS} AS run FROM words WHERE len(w) >= 60),
 classes AS (SELECT id, md5(string_agg(run, '|' ORDER BY run)) AS cls FROM class_runs GROUP BY id),
-both AS (SELECT capture_id_a AS a, capture_id_b AS b FROM pairs UNION ALL SELECT capture_id_b, capture_id_a FROM pairs),
-reached AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, p.b FROM reached r JOIN both p ON r.b = p.a),
-links AS (SELECT x.a AS id, count(DISTINCT d.cls) AS n FROM both x JOIN classes c ON c.id = x.a JOIN classes d ON d.id = x.b WHERE c.cls <> d.cls GROUP BY 1)
+ways AS (SELECT capture_id_a AS a, capture_id_b AS b FROM pairs UNION ALL SELECT capture_id_b, capture_id_a FROM pairs),
+reached AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, p.b FROM reached r JOIN ways p ON r.b = p.a),
+links AS (SELECT x.a AS id, count(DISTINCT d.cls) AS n FROM ways x JOIN classes c ON c.id = x.a JOIN classes d ON d.id = x.b WHERE c.cls <> d.cls GROUP BY 1)
 SELECT r.a AS capture_id, min(r.b) AS group_id, coalesce(any_value(l.n), 0) AS n_links FROM reached r LEFT JOIN links l ON l.id = r.a GROUP BY r.a
 """
 
@@ -219,7 +219,27 @@ frequent AS (SELECT site, line FROM counted GROUP BY site, line HAVING count(DIS
 SELECT capture_id, line_no FROM counted JOIN frequent USING (site, line)
 """
 
+_P6_ALL = P6_FOUND[: P6_FOUND.rindex("SELECT capture_id, line_no")].strip().replace("WITH sites", "WITH RECURSIVE sites")
+
+P6_SEQUENCES = rf"""
+{_P6_ALL},
+key AS (SELECT DISTINCT capture_id, line_no, CAST('0x' || substring(md5(site), 1, 15) AS BIGINT) AS site_key, CAST(CAST('0x' || substring(md5(line), 1, 15) AS BIGINT) AS VARCHAR) AS line FROM counted JOIN frequent USING (site, line)),
+grown AS (
+    SELECT capture_id, site_key, line AS pattern, min(line_no) AS ended FROM key GROUP BY 1, 2, 3
+    UNION
+    SELECT g.capture_id, g.site_key, g.pattern || ' ' || k.line, min(k.line_no) FROM grown g JOIN key k ON k.capture_id = g.capture_id AND k.line_no > g.ended GROUP BY 1, 2, g.pattern, k.line)
+SELECT site_key, pattern, count(DISTINCT capture_id) AS n_docs FROM grown GROUP BY 1, 2 HAVING count(DISTINCT capture_id) >= 10
+"""
+
+P6_CLEANED = rf"""
+{P6_FOUND.strip().replace("SELECT capture_id, line_no FROM", ", found AS (SELECT DISTINCT capture_id, line_no FROM").replace(")\n, found", "), found")}),
+texts AS (SELECT DISTINCT capture_id, content_markdown FROM captured_content WHERE capture_id IS NOT NULL),
+n AS (SELECT capture_id, list(line_no) AS gone FROM found GROUP BY 1)
+SELECT capture_id, CASE WHEN gone IS NULL THEN content_markdown ELSE array_to_string([x for x, i in string_split(content_markdown, chr(10)) if NOT list_contains(gone, i)], chr(10)) END AS content_markdown,
+    CAST(coalesce(len(gone), 0) AS INT) AS n_removed FROM texts LEFT JOIN n USING (capture_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL that gives the same rows, for those queries that SQL can answer over whole tables."""
-    return {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p6_cleaned": P6_CLEANED, "p6_found": P6_FOUND, "p6_sequences": P6_SEQUENCES}

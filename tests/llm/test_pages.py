@@ -104,6 +104,33 @@ def test_frequent_sequences_are_whole(spark):
     assert got == Counter({(n, 12): math.comb(6, n) for n in range(1, 7)})
 
 
+@pytest.mark.parametrize("max_gap", [None, 1, 2])
+def test_large_projections_take_distributed_steps(spark, max_gap):
+    docs = spark.createDataFrame([("a", "https://s.example")], "id string, source string")
+    r = random.Random(8)
+    kinds = [f"line of the kind {x * 4}" for x in "abcde"]
+    lines = repeated_lines.site_lines(lines_table(spark, [(k, "a", "\n".join(r.choices(kinds, k=r.randint(0, 6))), "", "") for k in range(50)]), docs)
+    got = [sorted((tuple(x["pattern"]), x["n_docs"]) for x in repeated_lines.frequent_sequences(lines, 4, None, max_gap, n).collect()) for n in (3, 60, 10**6)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(set(got[0])) > 10
+    texts = {x["id"]: [y["line"] for y in x["lines"]] for x in lines.collect()}
+
+    def holds(text, pattern, at=-1):
+        if not pattern:
+            return True
+        last = len(text) if max_gap is None or at < 0 else min(len(text), at + 1 + max_gap)
+        return any(text[i] == pattern[0] and holds(text, pattern[1:], i) for i in range(at + 1, last))
+
+    for pattern, n in random.Random(1).sample(got[0], 10):
+        assert n == sum(holds(t, pattern) for t in texts.values())
+
+
+def test_removed_lines_are_those_of_the_blocks(spark):
+    docs = spark.createDataFrame([("a", "https://s.example")], "id string, source string")
+    lines = lines_of_one_block(spark, docs)
+    whole = {(x["id"], x["line_no"]) for x in repeated_lines.frequent_occurrences(lines).collect()}
+    assert {tuple(x) for x in repeated_lines.repeated_occurrences(lines).collect()} == whole and len(whole) == 72
+
+
 def lines_of_one_block(spark, docs):
     block = "\n".join(f"line of the kind {x * 4}" for x in "abcdef")
     return repeated_lines.site_lines(lines_table(spark, [(k, "a", block, "", "") for k in range(12)]), docs)
