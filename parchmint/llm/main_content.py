@@ -1,20 +1,17 @@
 """The main body of a page, without menus, notices, prompts, sidebars and footers.
 
-A page is a flat sequence of text blocks (its lines). Each is described by its own word count, link
-density and wording and by those of its neighbours and of the lines it stands together with, and a
-decision tree trained on a small labelled table (:mod:`parchmint.llm.labelled_lines`) tells content
-from furniture. Wording is one number: the log-odds of the line's words and pairs of words under
-the labelled table, in which any word that the table does not know is the same word.
-
-Training takes the labelled table only (``pages`` composed pages, a documented bound); the corpus is
-one pass without a shuffle, each page on its own.
+A page is a flat sequence of text blocks (its lines). Each is described by its word count, link
+density, signs and place, by those of its neighbours and of the lines it stands together with, and by how many
+of its words are words of page furniture in general (:data:`FURNITURE_WORDS`). Decision trees trained on a
+small labelled table (:mod:`parchmint.llm.labelled_blocks`) tell content from furniture by their mean.
+
+Training takes the labelled table only (``pages`` variants of its pages, a documented bound); the corpus
+is one pass without a shuffle, each page on its own.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,100 +20,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm import labelled_lines
+from parchmint.llm import labelled_blocks
 from parchmint.llm.shingles import WORD
 from parchmint.staging import spread
 
-PART = re.compile(r"\]\([^)]*\)|\S+@\S+|https?://\S+|\d+(?:-\d+)*|[^\W\d_]+|[|·/>→←»«©?:–\[]")
+# Beginnings of words that page furniture uses more than prose does, in English, German, French, Spanish and Italian.
+FURNITURE_WORDS = """
+    accept accessib advert affiliate agb allow author autor byline breadcrumb browser cancel career carrello categor channel choices comment commission communit consent contact cookie copyright copy
+    datenschutz deliver disclaim download email e-mail faq feed feedback filed follow footer forward free help home impressum imprint inbox jobs join kontakt legal licen like link log login logout
+    mail member menu minute mehr newsletter news notice older opinion partner permission podcast policy popular post powered preferen press previous privacy privat prohibit publish read register
+    related reply report reprint reproduc reserved rights rss send setting share shop sign sitemap skip social sponsor subscri support tag terms topic topics tracking trend updat written akzept ablehn
+    abo abonn angebot anmeld anzeig artikel beitrag beitr cookies einloggen einstell empfehl facebook folgen haftung kommentar leser lesezeit meinung mitglied nachdruck nachricht nutzung postfach
+    redaktion registrier schlagw startseite teilen thema themen verwend vorbehalten weiter werbe werbung zustimm abonnez accueil actualit aimer article avis commentaire confidential connexion connect
+    contenu droits emploi gratuit lecture mentions partag politique plus précédent presse propos recevez recherch recrutement réseaux réserv soutenez suivant sujet acepta acerca acceder ajuste
+    anterior aviso ayud boletin boletín buscar buz compart comentari comercial contenido derechos empleo enlace escrib etiquet gratis inicio lectura mapa más menciones noticias permis política
+    privacidad publicidad publicac recib redacc registr reservad rechaz siga siguiente síganos socio soporte suscri temas también volver accetta condividi informativa iscriviti riservati diritti
+""".split()
+LEAST_STEM = 3
+
+LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
-NAMED_END = re.compile(r" – [^\W\d_]+(?:\]\([^)]*\))?$")
 EDGES = re.compile(r"^[\s>*_\-]+|[\s*_]+$")
 
-#: Scores of wording beyond this say no more.
-LIMIT = 12.0
-
 FEATURES = [
-    "words", "link_density", "wording", "wording_per_word", "words_before", "links_before", "wording_before", "words_after", "links_after", "wording_after",
-    "heading", "code", "table", "sentence_end", "separators", "named_end", "digits", "block_lines", "block_words", "block_wording", "block_lead", "links", "wording_worst", "block_pointers",
+    "words", "link_density", "furniture_words", "furniture_share", "heading", "code", "table", "item", "sentence_end", "separators", "digits", "upper", "links", "sign",
+    "words_before", "links_before", "furniture_before", "words_after", "links_after", "furniture_after", "block_lines", "block_words", "block_furniture", "block_links",
+    "prose_before", "prose_after", "from_top", "from_bottom", "capitals", "quote", "emphasis",
 ]
 
 
-def kind_of(part: str, known: frozenset[str]) -> str:
-    """A word that is known, or the kind of anything else."""
-    c = part[0]
-    if c == "]":
-        return "](#)" if part == "](#)" else "](/)" if part[:3] == "](/" else "](u)"
-    if c.isdigit():
-        return "#-#" if "-" in part else "#"
-    if "@" in part:
-        return "@"
-    if not c.isalpha():
-        return part
-    word = part.lower()
-    return word if word in known else "http" if ":" in word else "X"
-
-
-class Kinds(dict):
-    """Kinds of parts, kept as they come; emptied when it holds ``limit``."""
+class FurnitureWords(dict):
+    """Whether a word begins like a word of page furniture, kept as words come; emptied when it holds ``limit``."""
 
-    def __init__(self, known: frozenset[str], limit: int = 200_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
-        self.known, self.limit = known, limit
+        self.limit, self.stems = limit, frozenset(FURNITURE_WORDS)
+        self.longest = max(map(len, FURNITURE_WORDS))
 
-    def __missing__(self, part: str) -> str:
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        kind = self[part] = kind_of(part, self.known)
-        return kind
+        low = word.lower()
+        hit = self[word] = int(any(low[:k] in self.stems for k in range(LEAST_STEM, min(len(low), self.longest) + 1)))
+        return hit
 
 
-class Odds(dict):
-    """Log-odds, 0 for what was not seen."""
+_words = FurnitureWords()
 
-    def __missing__(self, key) -> float:
-        return 0.0
-
-
-@dataclass(frozen=True)
-class Wording:
-    """Log-odds of words and pairs of words: positive for furniture."""
 
-    known: frozenset[str]
-    odds: Odds
-    kinds: Kinds
-
-    @classmethod
-    def fit(cls, lines: list[tuple[str, bool]]) -> Wording:
-        spread = Counter()
-        for line, _ in lines:
-            spread.update({x.lower() for x in PART.findall(line) if x[0].isalpha()})
-        known = frozenset(w for w, n in spread.items() if n >= 8)
-        blank = cls(known, Odds(), Kinds(known))
-        seen = {True: Counter(), False: Counter()}
-        for line, furniture in lines:
-            seen[furniture].update(blank.terms(line))
-        n = {k: sum(1 for _, f in lines if f is k) for k in (True, False)}
-        odds = {x: math.log((seen[True][x] + 0.5) / (n[True] + 1)) - math.log((seen[False][x] + 0.5) / (n[False] + 1)) for x in seen[True].keys() | seen[False].keys()}
-        return cls(known, Odds(odds), Kinds(known))
-
-    def terms(self, line: str) -> set:
-        """The line's words, signs, links and their pairs; a run of unknown words is one."""
-        p = ["^", *map(self.kinds.__getitem__, PART.findall(line)), "$"]
-        if "X" in p:
-            p = [x for x, before in zip(p, [None, *p]) if x != "X" or before != "X"]
-        return {*p, *zip(p, p[1:])}
-
-    def score(self, line: str) -> float:
-        return sum(map(self.odds.__getitem__, self.terms(line)))
-
-
-def described(text: str, wording: Wording) -> tuple[list[int], np.ndarray]:
+def described(text: str) -> tuple[list[int], np.ndarray]:
     """Numbers (from 1) and features of the non-blank lines of a page."""
-    lines = text.split("\n")
     number, own, blocks = [], [], []
-    fenced, block = False, -1
-    blank = True
-    for k, raw in enumerate(lines, 1):
+    fenced, block, blank = False, -1, True
+    for k, raw in enumerate(text.split("\n"), 1):
         line = raw.strip()
         if not line:
             blank = True
@@ -127,32 +83,35 @@ def described(text: str, wording: Wording) -> tuple[list[int], np.ndarray]:
         fence = line.startswith(("```", "~~~"))
         code = fenced or fence
         fenced ^= fence
-        bare = EDGES.sub("", line)
-        n = len(line.split())
-        linked = LINK.findall(line) if "](" in line else ()
-        shown = LINK.sub(r"\1", line) if linked else line
-        wide = sum(map(len, linked)) / max(1, len(shown))
-        score = wording.score(bare) if not code else -5.0
         number.append(k)
         blocks.append(block)
+        linked = LINK.findall(line) if "](" in line else ()
+        shown = LINK.sub(r"\1", line) if linked else line
+        words = LETTERS.findall(shown)
+        n = len(words)
+        bare = EDGES.sub("", shown)
+        last = bare[-1:]
+        hits = 0 if code else sum(map(_words.__getitem__, words))
+        short = n < 40
         own.append((
-            n, wide, score, score / (n + 2), line[0] == "#", code, line[0] == "|" or bare[:1] == "|", bare[-1:] in ".!?…:;”\"", sum(bare.count(c) for c in "|·/→←»«") if len(bare) < 300 else 0, bool(NAMED_END.search(bare)) if n < 40 else False,
-            sum(c.isdigit() for c in bare) if n < 40 else 0, len(linked),
+            n, sum(map(len, linked)) / max(1, len(shown)), hits, hits / (n + 1), line[0] == "#", code, line[0] == "|", line[0] in "-*+>" or line[:1].isdigit() and line[1:2] in ".)0123456789", last in ".!?…”\"»" if last else False,
+            sum(bare.count(c) for c in "|·/→←»«››") if short else 0, sum(map(str.isdigit, bare)) if short else 0, short and line.isupper(), len(linked), short and any(c in bare for c in "©@↑→←✉"),
+            sum(w[0].isupper() for w in words) / (n + 1) if short else 0.2, (line[0] == ">") + (line[0] == ">" and line[1:].lstrip()[:1] in "—–-"), line[0] == "*" and line[1:2] not in "* " and line[-1] == "*" and bare != shown,
         ))
     if not number:
         return [], np.empty((0, len(FEATURES)))
-    a = np.array(own, float)
-    pointer = (a[:, 9] > 0) | (a[:, 1] > 0.9)
-    b = np.array(blocks)
-    a[:, 2] = np.clip(a[:, 2], -LIMIT, LIMIT)
+    a, b = np.array(own, float), np.array(blocks)
     before, after = np.vstack([a[:1] * 0, a[:-1]]), np.vstack([a[1:], a[:1] * 0])
     starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     size = np.diff(np.r_[starts, len(b)])
     of = np.repeat(np.arange(len(starts)), size)
     mean = lambda x: (np.add.reduceat(x, starts) / size)[of]
+    prose = (a[:, 0] >= 10) & (a[:, 8] > 0) & (a[:, 3] < 0.25) | (a[:, 5] > 0) | (a[:, 6] > 0)
+    seen = np.cumsum(prose)
+    at = np.arange(len(b))
     features = np.column_stack([
-        a[:, 0], a[:, 1], a[:, 2], a[:, 3], before[:, 0], before[:, 1], before[:, 2], after[:, 0], after[:, 1], after[:, 2],
-        a[:, 4], a[:, 5], a[:, 6], a[:, 7], a[:, 8], a[:, 9], a[:, 10], size[of], mean(a[:, 0]), mean(a[:, 2]), a[starts, 2][of], a[:, 11], np.minimum.reduceat(a[:, 2], starts)[of], mean(pointer),
+        a[:, :14], before[:, 0], before[:, 1], before[:, 3], after[:, 0], after[:, 1], after[:, 3], size[of], mean(a[:, 0]), mean(a[:, 3]), mean(a[:, 1]),
+        np.minimum(seen - prose, 3), np.minimum(seen[-1] - seen, 3), np.minimum(at, 12), np.minimum(len(b) - 1 - at, 12), a[:, 14:],
     ])
     return number, features
 
@@ -168,7 +127,7 @@ class Tree:
     value: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, depth: int = 10, leaf: int = 15) -> Tree:
+    def fit(cls, x: np.ndarray, y: np.ndarray, depth: int = 10, leaf: int = 8) -> Tree:
         """Splits by the Gini impurity, down to ``depth`` and leaves of ``leaf`` lines."""
         nodes: list[list] = []
 
@@ -194,6 +153,8 @@ class Tree:
                     best = (float(cost[k]), f, float((v[cut[k]] + v[cut[k] + 1]) / 2))
             if best[1] >= 0:
                 low = x[rows, best[1]] <= best[2]
+                if low.all():
+                    return me
                 nodes[me][:4] = [best[1], best[2], grow(rows[low], level + 1), grow(rows[~low], level + 1)]
             return me
 
@@ -217,26 +178,41 @@ class Tree:
 class LineClassifier:
     """Tells the furniture lines of a page."""
 
-    wording: Wording
-    tree: Tree
+    trees: tuple[Tree, ...]
 
     @classmethod
-    def train(cls, pages: int = 4000, seed: int = 11) -> LineClassifier:
-        """Fit on ``pages`` labelled pages: the wording on one half, the tree on the other, so that it sees honest scores."""
-        labelled = labelled_lines.pages(pages, seed)
-        half = len(labelled) // 2
-        wording = Wording.fit([(EDGES.sub("", line.strip()), f) for page in labelled[:half] for line, f in page if f is not None])
-        xs, ys = [], []
-        for page in labelled[half:]:
-            _, x = described("\n".join(line for line, _ in page), wording)
-            xs.append(x)
-            ys.extend(f for _, f in page if f is not None)
-        return cls(wording, Tree.fit(np.vstack(xs), np.array(ys, float)))
+    def train(cls, pages: int = 500, trees: int = 15, seed: int = 11, keep=lambda language, style: True, without: tuple[str, ...] = ()) -> LineClassifier:
+        """Fit ``trees`` trees, each on ``pages`` variants of the labelled pages that ``keep`` admits and on some of the features.
+
+        The table is small, so one tree follows its accidents; the mean of several does not. ``without`` leaves out features by name.
+        """
+        grown = []
+        for k in range(trees):
+            xs, ys = [], []
+            for page in labelled_blocks.pages(pages, seed + k, keep):
+                xs.append(described("\n".join(line for line, _ in page))[1])
+                ys.extend(f for _, f in page if f is not None)
+            seen = (np.random.default_rng(seed + k).random(len(FEATURES)) < 0.6) & ~np.isin(FEATURES, without)
+            grown.append(Tree.fit(np.vstack(xs) * seen, np.array(ys, float)))
+        return cls(tuple(grown))
+
+    def share(self, x: np.ndarray) -> np.ndarray:
+        """How likely lines of these features are furniture."""
+        return sum(t.predict(x) for t in self.trees) / len(self.trees)
+
+    def furniture_of(self, texts: list[str]) -> list[list[int]]:
+        """For each text the numbers of its non-blank lines that are not main content."""
+        held = [described(t) for t in texts]
+        gone = self.share(np.vstack([x for _, x in held])) >= 0.5 if held else np.empty(0, bool)
+        out, at = [], 0
+        for numbers, _ in held:
+            out.append(np.array(numbers, np.int64)[gone[at : at + len(numbers)]].tolist())
+            at += len(numbers)
+        return out
 
     def furniture(self, text: str) -> list[int]:
         """Numbers of the non-blank lines that are not main content."""
-        numbers, x = described(text, self.wording)
-        return [n for n, p in zip(numbers, self.tree.predict(x)) if p >= 0.5] if numbers else []
+        return self.furniture_of([text])[0]
 
 
 def _classify(model, min_words: int):
@@ -249,11 +225,11 @@ def _classify(model, min_words: int):
                 for row, text in enumerate(part.column(1).to_pylist()):
                     if len(WORD.findall(text)) < min_words:
                         continue
-                    n, x = described(text, own.wording)
+                    n, x = described(text)
                     rows += [row] * len(n)
                     numbers += n
                     xs.append(x)
-                gone = np.flatnonzero(own.tree.predict(np.vstack(xs)) >= 0.5) if rows else np.empty(0, int)
+                gone = np.flatnonzero(own.share(np.vstack(xs)) >= 0.5) if rows else np.empty(0, int)
                 ids = part.column(0).take(pa.array(np.array(rows, np.int64)[gone]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(numbers, np.int32)[gone])], ["id", "line_no"])
 

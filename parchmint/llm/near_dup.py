@@ -241,7 +241,7 @@ def alike_in_crowd(sets: DataFrame, threshold: float) -> DataFrame:
     counts = sets.sparkSession.sparkContext.broadcast(prefixes.cell_counts(sets))
     rows = staged(sets.mapInArrow(prefixes.prefix_rows(counts, threshold), prefixes.PREFIX_SCHEMA), "crowd_prefixes")
     other = rows.select("run", F.col("cls").alias("b"), F.col("place").alias("place_e"), F.col("n").alias("n_e"))
-    return rows.withColumnRenamed("cls", "a").join(other, "run").where(F.col("a") < F.col("b")).where(prefixes.may_reach(threshold)).select("a", "b").distinct()
+    return prefixes.met(rows.withColumnRenamed("cls", "a").join(other, "run").where(F.col("a") < F.col("b")), ["a", "b"], threshold).select("a", "b")
 
 
 def likeness(left: Column, right: Column) -> Column:

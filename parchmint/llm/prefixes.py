@@ -67,9 +67,25 @@ def prefix_rows(counts, threshold: float):
 PREFIX_SCHEMA = "run bigint, cls bigint, place int, n int"
 
 
+def _needed(threshold: float) -> Column:
+    """How many members sets of sizes ``n`` and ``n_e`` must share."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n_e")) - 1e-9)
+
+
 def may_reach(threshold: float) -> Column:
-    """Whether a member at ``place`` of ``n`` and one at ``place_e`` of ``n_e`` leave room for the needed overlap."""
+    """Whether the sizes ``n`` and ``n_e`` allow the threshold."""
+    n, m = F.col("n"), F.col("n_e")
+    return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9
+
+
+def met(shared: DataFrame, keys: list[str], threshold: float, *more: Column) -> DataFrame:
+    """Rows of shared prefix members (keys, place, n, place_e, n_e) to the pairs ``keys`` that may reach the threshold.
+
+    All that two sets share up to the end of the prefix that ends first in the order is counted.
+    Whatever else they share lies beyond that prefix in one and beyond the last shared member in the other.
+    """
+    pairs = shared.where(may_reach(threshold)).groupBy(*keys).agg(F.count("*").alias("k"), F.max("place").alias("last"), F.max("place_e").alias("last_e"), F.first("n").alias("n"), F.first("n_e").alias("n_e"), *more)
+    beyond = lambda size: F.ceil(F.lit(threshold) * size - 1e-9) - 1
     n, m = F.col("n"), F.col("n_e")
-    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
-    lengths = F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9
-    return lengths & (F.lit(1) + F.least(n - F.col("place") - 1, m - F.col("place_e") - 1) >= needed)
+    rest = F.greatest(F.least(beyond(n), m - F.col("last_e") - 1), F.least(beyond(m), n - F.col("last") - 1))
+    return pairs.where(F.col("k") + rest >= _needed(threshold))

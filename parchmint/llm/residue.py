@@ -1,19 +1,21 @@
 """Captures that hold unfilled fields, filler or error messages instead of content.
 
-Records made from one template are aligned by their sentences' skeletons: capitalised words, numbers
-and host names are slots, the other words are the template. From the corpus, not from a list, come
-the whole-page templates: skeletons that many captures share, whose captures have little else,
-and that articles do not use.
-
-A field's text (a variable's name, a default, a blank) is judged by its own sentence, so that other
-rows change nothing: one written as a field is residue unless the sentence speaks about fields or says
-that something reads so; an empty value is residue where its clause has nothing else to fill.
-
-Lists of fixed phrases only seed this, so that a small table without repetitions is judged alike.
-Code, inline code and quotations are content and are not looked at.
-
-One pass over the texts yields hashes; alignment is aggregation over them with partial sums, and
-the page templates, few by nature, are sent to all tasks only if they are.
+Records made from one template are aligned by their sentences: capitalised words, numbers and host
+names are slots, the other words are the template. From the corpus, not from a list, come
+
+* the *slots*: places that many records of one template fill differently. A plain word that stands in such a
+  place again and again, as the one plain word that does, is a program's default and no value.
+* the *whole-page templates*: sentences that many captures fill differently and that stand almost alone
+  in their captures. A capture all of whose content sentences are such is no content, however long it is.
+
+A variable's name is told by its notation (braces, brackets, percent signs and so on), a blank by the
+comma that follows nothing; these are judged in their own sentence, so that other rows change nothing: one
+written as a field is residue unless the sentence speaks about fields or says that something reads so, a
+program's empty value where its clause has nothing else to fill. Code, inline code and quotations are
+content and are not looked at. A few general seeds let a small table without repetitions be judged alike.
+
+At scale: two passes over the texts yield hashes, the second only those that fill induced slots. Alignment
+is aggregation over hashes with partial sums; templates are sent to all tasks only if they are few.
 """
 
 from __future__ import annotations
@@ -52,16 +54,11 @@ ABOUT = re.compile(r"\b(?:fields?|templates?|placeholders?|braces?|syntax|variab
 # What, by a sentence, reads as the field after it.
 READS = re.compile(r"\b(?:sheet|form|letter|page|sign|label|note|line|screen|mail|e-?mail|message|header|heading|title|card) (?:said|says|reads?|showed|shows) (?=⟦)|\b(?:Blatt|Formular|Brief|Seite|Schild|Zeile|Bildschirm) (?:zeigte?|lautete?) (?=⟦)|\b(?:feuille|formulaire|lettre|page|ligne|écran) (?:disait|affichait|indiquait|affiche|indique) (?=⟦)|\b(?:hoja|formulario|carta|página|línea|pantalla) (?:decía|mostraba|dice|muestra) (?=⟦)", re.I)
 
-# Seeds of the messages that stand for a missing page, a check, a demand for scripts, or a text to come.
+# A few seeds of messages that stand for a page, by words that most of them share.
 SEEDS = re.compile(
-    r"(?i)(?:page|seite|página|article)\b.{0,60}\b(?:not found|nicht gefunden|introuvable|no encontrada|n'existe plus|no longer|never existed|was removed|has been removed)|no encontramos la página|can'?t find (?:that|the) page|seems to be dead|requested url\b.{0,40}not found"
-    r"|\benable javascript|javascript (?:is )?(?:disabled|required)|aktivieren sie javascript|activer javascript|active javascript en|allow scripts|requires scripts|blocks scripts|does not run scripts|javascript erforderlich"
-    r"|not a robot|you are human|unusual traffic|security of your connection|too many requests|access (?:to \S+ )?(?:was )?denied|zugriff verweigert|session a expiré|sesión ha caducado|session (?:has )?expired|sitzung ist abgelaufen"
-    r"|service (?:temporarily )?unavailable|down for maintenance|bad gateway|internal server error|did not respond|database connection|fatal error|application error|timed out|schiefgelaufen|une erreur est survenue|error inesperado|something went wrong|<error>|^nginx/"
-    r"|sample text|replace this paragraph|content goes here|copy for .{0,40}(?:to come|placeholder)|body copy|blindtext|texte provisoire|texto de relleno|test post|placeholder text|^(?:text ){2,}|^x{3,} x+|^asdf|lorem ipsum dolor|^\[add "
+    r"(?i)\bpage not found\b|\bnot found$|\berror [45]\d\d\b|\b[45]\d\d (?:error|not found|forbidden|bad gateway|service unavailable)|\baccess ?denied\b|\bcaptcha\b|\bnot a robot\b|\bverify (?:that )?you are human\b"
+    r"|\b(?:enable|activate|allow|aktivier\w*|activer|activez|active|habilit\w*) (?:sie )?(?:javascript|scripts?)\b|\bjavascript (?:is )?(?:disabled|required)\b|\blorem ipsum dolor\b|\b(?:sample|placeholder) text\b|\breplace this (?:text|paragraph)\b"
 )
-#: Lines that stand beside a message and say nothing themselves.
-BESIDE = re.compile(r"(?i)^\W*(?:retry in \d|request id|contact \S+(?: \S+)? if this|©|\[back to |test test|ray \w+$|reference |référence |código |vorgang |vuelva a intentarlo|versuchen sie|try again|block \d)")
 # Words of the usual filler Latin.
 LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 
@@ -71,11 +68,8 @@ STRAIGHT = re.compile(r"\"[^\"\n]*\"")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 HOST = re.compile(r"\b[\w\-]+(?:\.[\w\-]+)+\b|https?://\S+")
 STEM = re.compile(r"[^\W_]+|⟦[^⟧]*⟧|\n|[.!?…](?=\s)")
-SLOTS = re.compile(r"_(?: _)+")
 EDGES = re.compile(r"^[\s>*_\-#]+|[\s*_]+$")
 
-#: A page of more content sentences than this is an article for the induction of page templates.
-BARE_PAGE = 8
 
 
 def prose(text: str) -> str:
@@ -89,40 +83,6 @@ def prose(text: str) -> str:
     return text
 
 
-class Stems(dict):
-    """What a template keeps of a part: a plain word, a field, or the mark of a slot; a line break ends a sentence."""
-
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, part: str) -> str:
-        if len(self) >= self.limit:
-            self.clear()
-        plain = part[0] == "⟦" or part.islower() and part.isalpha()
-        kept = self[part] = part if plain else "\n" if part in ".!?…\n" else "_"
-        return kept
-
-
-_stems = Stems()
-
-
-def skeletons(text: str) -> str:
-    """The templates of a text's sentences, one a line."""
-    return SLOTS.sub("_", " ".join(map(_stems.__getitem__, STEM.findall(HOST.sub("H1", text)))))
-
-
-def skeleton(sentence: str) -> tuple[str, int, str]:
-    """The template of a sentence, the number of its fixed words, and what fills its slots."""
-    template = skeletons(sentence).replace("\n", "").strip()
-    filled = [w for w in STEM.findall(HOST.sub("H1", sentence)) if _stems[w] == "_"]
-    return template, sum(w != "_" and w[0] != "⟦" for w in template.split(" ") if w), " ".join(filled)
-
-
-def number_of(x: str) -> int:
-    return xxhash.xxh3_64_intdigest(x) - 2**63
-
-
 def latin(sentence: str) -> bool:
     """Whether most words are filler Latin."""
     w = WORD.findall(sentence.lower())
@@ -136,7 +96,7 @@ def seeded(sentence: str) -> bool:
 
 def _plain(clause: str) -> bool:
     """Whether nothing but the field is to be filled in a clause: its one capital may only begin it."""
-    slots = skeleton(clause)[2].split()
+    slots = [w for w in STEM.findall(HOST.sub("H1", clause)) if not (w[0] == "⟦" or w.islower() and w.isalpha() or w in ".!?…\n")]
     return not slots or len(slots) == 1 and clause.lstrip(" ([*").startswith(slots[0]) and not slots[0].isdigit()
 
 
@@ -168,101 +128,224 @@ def fields_of(text: str) -> list[dict]:
     return found
 
 
-def uses_of(text: str) -> list[int]:
-    """Hashes of the distinct templates of an article's sentences."""
-    found = {x.strip() for x in skeletons(prose(text)).split("\n")} - {"", "_"}
-    return [number_of(t) for t in found]
-
-
 def default_title(title: str) -> bool:
     """Whether a title is a form's suggestion or filler Latin."""
     w = WORD.findall(title.lower())
     return bool(DEFAULT_TITLE.match(title)) or len(w) > 1 and all(x in LATIN for x in w)
 
 
-def sentences_of(text: str, title: str | None, gone: set[int]) -> list[dict] | None:
-    """The content sentences of a page: hash of the template, hash of the slots, and whether a seed names it.
+class Parts(dict):
+    """For a part of a text: the hash of what a template keeps of it, its own hash, and its kind (0 word, 1 slot, 2 end of a sentence)."""
 
-    None for an article: more than :data:`BARE_PAGE` of them, one of which no seed names. Headings, the title's repetition, lines in ``gone``, lines beside a message and sentences of
-    slots alone say nothing.
-    """
+    def __init__(self, limit: int = 200_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, part: str) -> tuple[int, int, int]:
+        if len(self) >= self.limit:
+            self.clear()
+        own = xxhash.xxh3_64_intdigest(part)
+        kind = 2 if part in ".!?…\n" else 0 if part[0] == "⟦" or part.islower() and part.isalpha() else 1
+        kept = self[part] = (SLOT if kind == 1 else own, own, kind)
+        return kept
+
+
+SLOT = 0x9E3779B97F4A7C15
+_parts = Parts()
+_powers = np.ones(1, np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of an odd number, modulo 2**64."""
+    global _powers
+    if len(_powers) < n:
+        _powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, 0xD1342543DE82EF95, np.uint64)], dtype=np.uint64)
+    return _powers[:n]
+
+
+class Sentences:
+    """The sentences of a text: ``templates`` (hashes of words and slots, adjacent slots as one), ``fillings``, numbers of plain words and of slots, and the words behind it all."""
+
+    def __init__(self, text: str):
+        self.parts = STEM.findall(HOST.sub("H1", text))
+        if not self.parts:
+            self.templates = self.fillings = self.plain = self.slots = np.empty(0, np.uint64)
+            self.index = np.empty(0, np.int64)
+            return
+        table = np.array([_parts[p] for p in self.parts], np.uint64)
+        kind = table[:, 2]
+        new = np.r_[True, (kind[:-1] == 2) & (kind[1:] != 2)]
+        of = np.cumsum(new) - 1
+        kept = (kind != 2) & ~((kind == 1) & np.r_[False, (kind[:-1] == 1)])  # a run of slots is one
+        n = of[-1] + 1
+        counted = np.cumsum(kept)
+        first = counted[np.flatnonzero(new)] - kept[np.flatnonzero(new)]
+        place = counted - 1 - first[of]
+        self.weight = powers(len(kept) + 1)[np.where(kept, place, 0)]
+        starts = np.flatnonzero(new)
+        add = lambda x: np.add.reduceat(x, starts)
+        self.templates = add(np.where(kept, table[:, 0] * self.weight, np.uint64(0)))
+        self.fillings = add(np.where(kind == 1, table[:, 1] * powers(len(kept) + 1)[np.arange(len(kept)) - starts[of]], np.uint64(0)))
+        self.plain, self.slots = add((kind == 0).astype(np.uint64)), add((kept & (kind == 1)).astype(np.uint64))
+        self.table, self.kind, self.of, self.index = table, kind, of, np.arange(n)
+
+    def masked(self, known: np.ndarray | None) -> Iterator[tuple[int, str]]:
+        """(template, word) for each plain word in whose place ``known`` templates (sorted; null: any) have a slot."""
+        if not len(self.parts):
+            return
+        near = np.r_[False, self.kind[:-1] == 1] | np.r_[self.kind[1:] == 1, False]
+        at = np.flatnonzero((self.kind == 0) & ~near & (self.plain[self.of] >= 4))
+        made = self.templates[self.of[at]] + (np.uint64(SLOT) - self.table[at, 0]) * self.weight[at]
+        if known is not None:
+            if not len(known):
+                return
+            found = np.searchsorted(known, made)
+            hit = known[np.minimum(found, len(known) - 1)] == made
+            at, made = at[hit], made[hit]
+        for k, h in zip(at.tolist(), made.view(np.int64).tolist()):
+            yield h, self.parts[k]
+
+
+def bare_lines(text: str, title: str | None, gone: set[int]) -> tuple[list[str], list[bool]]:
+    """The prose lines of a page without their marks, and which of them are content: not furniture, no heading, not the title again."""
     name = (title or "").strip().lower()
-    # A message may be worded like furniture, and a page of nothing else has that as its content.
-    lines = text.split("\n")
-    left = [x for k, x in enumerate(lines, 1) if k not in gone or seeded(x)]
-    kept = "\n".join(left) if any(x.strip() and x.lstrip()[:1] != "#" for x in left) else text
-    out, strange = [], False
-    for raw in prose(kept).split("\n"):
+    lines, content = [], []
+    # Quotations and code are blanked in place, so that lines keep their numbers.
+    for k, raw in enumerate(_blanked(text).split("\n"), 1):
         line = EDGES.sub("", raw)
-        if not line or BESIDE.search(line) or line.lower() == name:
-            continue
-        named = len(line) < 400 and seeded(line)
-        if raw.lstrip()[:1] == "#" and not named:
-            continue
-        for sentence in SENTENCE.split(line):
-            template, fixed, slots = skeleton(sentence)
-            if named or fixed:
-                out.append({"h": number_of(template), "slots": number_of(slots), "seeded": named or seeded(sentence)})
-                strange |= not out[-1]["seeded"]
-                if strange and len(out) > BARE_PAGE:
-                    return None
+        if line:
+            lines.append(line)
+            content.append(k not in gone and raw.lstrip()[:1] != "#" and line.lower() != name)
+    return lines, content
+
+
+def _blanked(text: str) -> str:
+    if "```" in text or "~~~" in text:
+        text = FENCE.sub(lambda m: "\n" * m.group().count("\n"), text)
+    return prose(text)
+
+
+def parsed_page(text: str, title: str | None, gone: set[int]) -> list[dict]:
+    """The sentences with words of a page: hash of the template, of the fillings, whether content, whether a seed names it, whether it has slots among words.
+
+    A page of which nothing else is left has its headings, and then its furniture, as content.
+    """
+    lines, content = bare_lines(text, title, gone)
+    if lines and not any(content):
+        content = [True] * len(lines)
+    out = []
+    for line, own in zip(lines, content):
+        whole = seeded(line) if own else False
+        pieces = [x for x in SENTENCE.split(line) if WORD.search(x)]
+        s = Sentences("\n".join(pieces))
+        named = [whole and len(pieces) == 1 or seeded(x) for x in pieces] if own else []
+        for k in s.index.tolist():
+            seed = bool(own and (named[k] if len(named) == len(s.index) else whole))
+            if s.plain[k] or seed:
+                out.append({"h": int(s.templates[k].view(np.int64)), "slots": int(s.fillings[k].view(np.int64)), "content": own, "seeded": seed, "open": bool(s.slots[k] and s.plain[k] >= 3)})
     return out
 
 
-SCHEMA = "article boolean, fields array<struct<marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,seeded:boolean>>, uses array<bigint>"
+SCHEMA = "fields array<struct<marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,content:boolean,seeded:boolean,open:boolean>>"
 _FIELD_TYPE = pa.list_(pa.struct([("marked", pa.bool_()), ("plain", pa.bool_())]))
-_SENTENCE_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("slots", pa.int64()), ("seeded", pa.bool_())]))
+_SENTENCE_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("slots", pa.int64()), ("content", pa.bool_()), ("seeded", pa.bool_()), ("open", pa.bool_())]))
 
 
 def _parse(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: LineClassifier = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                articles, fields, sentences, uses = [], [], [], []
-                for title, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    text = text or ""
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                titles, texts = part.column(1).to_pylist(), [t or "" for t in part.column(2).to_pylist()]
+                fields, sentences = [], []
+                for title, text, gone in zip(titles, texts, own.furniture_of(texts)):
                     fields.append((fields_of(prose(text)) if HINT.search(text) else []) + fields_of(prose(title or "")))
                     if title and default_title(title):
                         fields[-1].append({"marked": True, "plain": True})
-                    content = sentences_of(text, title, set(own.furniture(text)))
-                    articles.append(content is None)
-                    sentences.append(content or [])
-                    uses.append(uses_of(text) if content is None else [])
-                columns = [pa.array(articles), pa.array(fields, _FIELD_TYPE), pa.array(sentences, _SENTENCE_TYPE), pa.array(uses, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "article", "fields", "sentences", "uses"])
+                    sentences.append(parsed_page(text, title, set(gone)))
+                versions = [xxhash.xxh3_64_intdigest(f"{title}\n{text}".encode("utf-8", "surrogatepass")) - 2**63 for title, text in zip(titles, texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(versions, pa.int64()), pa.array(fields, _FIELD_TYPE), pa.array(sentences, _SENTENCE_TYPE)], ["id", "version", "fields", "sentences"])
+
+    return run
+
+
+def _fill(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = None if known is None else known.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows, hashes, words = [], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    for line in _blanked(text).split("\n"):
+                        if line := EDGES.sub("", line):
+                            for h, word in set(Sentences("\n".join(SENTENCE.split(line))).masked(templates)):
+                                rows.append(row), hashes.append(h), words.append(word)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(hashes, pa.int64()), pa.array(words, pa.string())], ["id", "h", "word"])
 
     return run
 
 
-def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_records: int = 5, share: float = 0.9, model: LineClassifier | None = None) -> DataFrame:
+#: Up to so many templates are sent to all tasks, 8 bytes each.
+SMALL_TEMPLATES = 500_000
+
+
+def defaults(rows: DataFrame, parsed: DataFrame, min_filled: int = 20, min_records: int = 3, share: float = 0.9) -> DataFrame:
+    """(id, h, word): captures where a plain word stands in an induced slot as a program's default.
+
+    A slot is induced where at least ``min_filled`` captures fill one template, half of them differently. A word is
+    a default if at least ``min_records`` captures have it there and of the plain words that stand
+    there it is all but ``1 - share``: where an author may write a plain word, there are several.
+    """
+    filled = parsed.select("id", F.explode("sentences").alias("s")).where("s.open").groupBy(F.col("s.h").alias("h"), F.col("s.slots").alias("slots")).agg(F.count_distinct("id").alias("n"))
+    slots = staged(filled.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("fillings")).where((F.col("n") >= min_filled) & (F.col("fillings") * 2 >= F.col("n"))).select("h"), "slots")
+    small = is_small(slots, SMALL_TEMPLATES)
+    known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in slots.collect()], np.int64).view(np.uint64))) if small else None  # at most SMALL_TEMPLATES
+    found = rows.where("text is not null").select("id", "text").mapInArrow(_fill(known), f"id {rows.schema['id'].dataType.simpleString()}, h bigint, word string")
+    found = staged((found if small else found.join(slots, "h", "left_semi")).distinct(), "plain_fillings")
+    words = found.groupBy("h", "word").agg(F.count("*").alias("n"))
+    best = words.groupBy("h").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    best = best.where((F.col("n") >= min_records) & (F.col("n") >= share * F.col("all")))
+    return found.join(best.select("h", "word"), ["h", "word"], "left_semi")
+
+
+def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_records: int = 3, alone: float = 0.25, share: float = 0.9, model: LineClassifier | None = None) -> DataFrame:
     """(id, why): captures without real content; ``why`` is "field" or "page", "field" first.
 
-    A page template needs ``min_records`` different fillings. Its captures are pages of at
-    most :data:`BARE_PAGE` content sentences (furniture apart), or seeded throughout, for at least ``share`` of its uses.
-    Rows with a null id are left out; a null title or text is an empty one, and an empty page is no
-    case. Rows that repeat an id count once, and an id is a case if any of its texts is. Other
-    columns are ignored; an empty table gives an empty result.
+    A page template needs ``min_records`` different pages (title, furniture and all) and must be at least ``alone`` of
+    the different content sentences (fillings included) in at least ``share`` of its captures. A capture whose content sentences all are page
+    templates or seeded is a case, whatever its length; sentences that are furniture in most of their captures
+    are so here. Rows with a null id are left out; a null
+    title or text is an empty one, and an empty page is no case. Rows that repeat an id count once,
+    and an id is a case if any of its texts is. Other columns are ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    rows = df.select(df[id_col].alias("id"), df[title_col].alias("title"), df[text_col].alias("text")).where("id is not null")
+    rows = spread(df.select(df[id_col].alias("id"), df[title_col].alias("title"), df[text_col].alias("text")).where("id is not null"))
     shared = spark.sparkContext.broadcast(model or LineClassifier.train())
-    parsed = spread(rows).mapInArrow(_parse(shared), f"id {rows.schema[0].dataType.simpleString()}, {SCHEMA}")
-    parsed = staged(parsed, "parsed")
+    parsed = staged(rows.mapInArrow(_parse(shared), f"id {rows.schema[0].dataType.simpleString()}, version bigint, {SCHEMA}"), "parsed")
 
     unfilled = parsed.where(F.exists("fields", lambda f: f["marked"] | f["plain"])).select("id", F.lit("field").alias("why"))
-
-    # Pages: skeletons with many fillings on bare pages and hardly any use elsewhere.
-    bare = ~F.col("article")
-    pages = parsed.where(bare & (F.size("sentences") > 0)).select("id", "sentences")
-    lines = pages.select("id", F.explode("sentences").alias("s")).select("id", "s.h", "s.slots").distinct()
-    fillings = lines.groupBy("h", "slots").agg(F.count_distinct("id").alias("n")).groupBy("h").agg(F.count("*").alias("fillings"), F.sum("n").alias("n_bare"))
-    wanted = staged(fillings.where(F.col("fillings") >= min_records), "page_templates")
-    few = F.broadcast(wanted.select("h")) if is_small(wanted, 200_000) else wanted.select("h")
-    others = parsed.where(~bare).select(F.explode("uses").alias("h")).join(few, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n_other"))
-    templates = wanted.join(others, "h", "left").where(F.col("n_bare") >= share * (F.col("n_bare") + F.coalesce("n_other", F.lit(0)))).select("h", F.lit(True).alias("known"))
-    templates = F.broadcast(templates) if is_small(templates, 200_000) else templates
-    read = pages.withColumn("page", F.xxhash64("sentences.h")).select("id", "page", F.explode("sentences").alias("s")).select("id", "page", "s.h", "s.seeded").join(templates, "h", "left")
-    broken = read.groupBy("id", "page").agg(F.min(F.col("seeded") | F.coalesce("known", F.lit(False))).alias("all")).where("all").select("id", F.lit("page").alias("why"))
+    unfilled = unfilled.unionByName(defaults(rows, parsed).select("id", F.lit("field").alias("why")))
+
+    content = F.filter("sentences", lambda s: s["content"])
+    pages = parsed.select("id", "version", content.alias("sentences")).where(F.size("sentences") > 0).withColumn("n", F.size(F.array_distinct(F.transform("sentences", lambda s: F.struct(s["h"], s["slots"])))))
+    lines = pages.where(F.col("n") * alone <= 1).select("version", F.explode("sentences.h").alias("h")).distinct()
+    wanted = staged(lines.groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_records).select("h"), "page_templates")
+    few = F.broadcast(wanted) if is_small(wanted, SMALL_TEMPLATES) else wanted
+    each = pages.select("n", F.explode(F.array_distinct(F.transform("sentences", lambda s: s["h"]))).alias("h"))
+    templates = each.join(few, "h", "left_semi").groupBy("h").agg(F.avg((F.col("n") * alone <= 1).cast("int")).alias("often")).where(F.col("often") >= share).select("h", F.lit(True).alias("known"))
+    templates = staged(templates, "known_templates")
+    templates = F.broadcast(templates) if is_small(templates, SMALL_TEMPLATES) else templates
+    read = pages.select("id", "version", F.explode("sentences").alias("s")).select("id", "version", "s.h", "s.seeded").join(templates, "h", "left")
+    read = read.select("id", "version", "h", (F.col("seeded") | F.coalesce("known", F.lit(False))).alias("told"))
+    # Pages with some such sentences: the others may be furniture that was taken for content here, and mostly is not elsewhere.
+    some = staged(read.groupBy("id", "version").agg(F.min("told").alias("all"), F.max("told").alias("any"), F.collect_set(F.when(~F.col("told"), F.col("h"))).alias("others")).where("any"), "told")
+    others = some.select(F.explode("others").alias("h")).distinct()
+    others = F.broadcast(others) if is_small(others, SMALL_TEMPLATES) else others
+    use = parsed.select(F.explode("sentences").alias("s")).select("s.h", "s.content").join(others, "h", "left_semi").groupBy("h").agg(F.avg(F.col("content").cast("int")).alias("content"), F.count("*").alias("n"))
+    beside = staged(use.where((F.col("n") >= min_records) & (F.col("content") < 0.5)).select("h", F.lit(1).alias("beside")), "beside")
+    beside = F.broadcast(beside) if is_small(beside, SMALL_TEMPLATES) else beside
+    rest = some.where(~F.col("all")).select("id", "version", F.explode("others").alias("h")).join(beside, "h", "left").groupBy("id", "version").agg(F.count_if(F.col("beside").isNull()).alias("left"))
+    broken = some.where("all").select("id").unionByName(rest.where("left = 0").select("id")).select("id", F.lit("page").alias("why"))
     return unfilled.unionByName(broken).groupBy("id").agg(F.min("why").alias("why"))

@@ -133,11 +133,11 @@ def split_overlap(
     probes = staged(texts.mapInArrow(_probe(counts, threshold, size, min_words), f"id {id_type}, cls bigint, n int, runs array<bigint>, places array<int>"), "probes")
     members = held.select("id", F.lit("e").alias("side"), "cls").distinct().unionByName(probes.select("id", F.lit("t").alias("side"), "cls").distinct())
 
+    # A class that several tasks met is counted several times; that lets more through, never less.
     index = held_sets.mapInArrow(prefixes.prefix_rows(counts, threshold), prefixes.PREFIX_SCHEMA)
     index = index.select("run", F.col("cls").alias("eval_cls"), F.col("place").alias("place_e"), F.col("n").alias("n_e"))
     sent = probes.where(F.size("runs") > 0).select("id", F.col("cls").alias("train_cls"), "n", F.inline(F.arrays_zip("runs", "places"))).withColumnsRenamed({"runs": "run", "places": "place"})
-    met = sent.join(index, "run").where(prefixes.may_reach(threshold)).groupBy("train_cls", "eval_cls").agg(F.min("id").alias("id"))
-    met = staged(met, "met")
+    met = staged(prefixes.met(sent.join(index, "run"), ["train_cls", "eval_cls"], threshold, F.min("id").alias("id")).select("train_cls", "eval_cls", "id"), "met")
     met_sets = sets_of(texts, met, size).withColumnsRenamed({"cls": "train_cls", "runs": "runs_t"})
     some = met.select(F.col("eval_cls").alias("cls")).distinct()
     some = F.broadcast(some) if is_small(some, SMALL_IDS) else some

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from parchmint.llm import labelled_lines, main_content, repeated_lines, residue, survivors
+from parchmint.llm import labelled_blocks, main_content, repeated_lines, residue, survivors
 
 
 @pytest.fixture(scope="module")
@@ -139,15 +139,31 @@ def lines_of_one_block(spark, docs):
 # Main content
 
 
-def test_classifier_on_held_out_pages(model):
+WORDING = ("furniture_words", "furniture_share", "furniture_before", "furniture_after", "block_furniture")
+
+
+def accuracy(model, of):
     right = total = 0
-    for page in labelled_lines.pages(120, seed=77):
-        gone = set(model.furniture("\n".join(x for x, _ in page)))
-        for k, (_, furniture) in enumerate(page, 1):
-            if furniture is not None:
-                total += 1
-                right += (k in gone) == furniture
-    assert right / total > 0.99
+    for language, style, page in labelled_blocks.table():
+        if of(language, style):
+            gone = set(model.furniture("\n".join(x for x, _ in page)))
+            marked = [(k, f) for k, (_, f) in enumerate(page, 1) if f is not None]
+            right, total = right + sum((k in gone) == f for k, f in marked), total + len(marked)
+    return right / total
+
+
+@pytest.mark.parametrize("language", ["de", "fr", "es"])
+@pytest.mark.parametrize("without", [(), WORDING])
+def test_a_language_held_out(language, without):
+    model = main_content.LineClassifier.train(keep=lambda own, _: own != language, without=without)
+    assert accuracy(model, lambda own, _: own == language) > 0.87
+
+
+@pytest.mark.parametrize("without", [(), WORDING])
+def test_styles_held_out(without):
+    styles = ["news", "blog", "magazine", "interview"]
+    found = [accuracy(main_content.LineClassifier.train(keep=lambda _, own, s=s: own != s, without=without), lambda _, own, s=s: own == s) for s in styles]
+    assert sum(found) / len(found) > 0.85
 
 
 PAGE = """Home
@@ -204,8 +220,8 @@ BODY = "The old mill of {} opened in front of a full hall. According to Ann Lee,
         ("T", BODY + "\n\nTemplates look like `Dear {{ first_name }}` here.", False), ("T", BODY + "\n\n```\n<p>{{ user }}</p>\n```\n", False), ("T", BODY + "\n\nThe form asked for [First Name] in red, a field that Bo left empty.", False), ("A guide to {{ }} and other braces", BODY, False),
         ("T", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod.", True), ("T", BODY.replace("lamps.", "lamps; printers used lorem ipsum once."), False),
         ("Insert headline here", BODY, True), ("Lorem ipsum dolor", BODY, True), ("T", BODY + "\n\nCall us at [phone number] for details.", True), ("T", "Dear {0}, " + BODY, True), ("T", "Hey {$customer_name}, " + BODY, True), ("T", BODY + "\n\n[Music]", False), ("T", BODY + "\n\nSee [the letters](https://a.example).", False),
-        ("Oops", "Page not found", True), ("T", "Please enable JavaScript to view Norvale content.", True), ("T", "Bitte aktivieren Sie JavaScript, um Norvale anzuzeigen.", True), ("T", "# Norvale\n\n502 Bad Gateway\n\nRetry in 5 s", True), ("T", "Verify you are human by completing the action below.", True),
-        ("T", BODY + "\n\nComments on Norvale need JavaScript to be switched on.", False), ("T", "The page said “please enable JavaScript” and nothing else; the story of Norvale begins there.", False), ("T", "The council sold 12 lamps.", False), ("T", "", False), (None, None, False),
+        ("Oops", "Page not found", True), ("T", "Please enable JavaScript to view Norvale content.", True), ("T", "Bitte aktivieren Sie JavaScript, um Norvale anzuzeigen.", True), ("T", "# Norvale\n\n502 Bad Gateway", True), ("T", "Verify you are human by completing the action below.", True),
+        ("T", "Questa pagina non esiste.", False), ("T", BODY + "\n\nComments on Norvale need JavaScript to be switched on.", False), ("T", "The page said “please enable JavaScript” and nothing else; the story of Norvale begins there.", False), ("T", "The council sold 12 lamps.", False), ("T", "", False), (None, None, False),
     ],
 )
 def test_residue(spark, model, title, text, case):
@@ -220,7 +236,7 @@ def test_residue_from_alignment_alone(spark, model):
     broken = [(k, "T", f"Our kettle of {name()} boiled over, come again when it is dry.", "x") for k in range(12)]
     notes = [(100 + k, "T", f"The council of {name()} sold the lamps.", "x") for k in range(12)]
     articles = [(200 + k, "T", " ".join(f"The council of {name()} sold the lamps." for _ in range(12)) + " " + "More words follow here. " * 60, "x") for k in range(12)]
-    about = [(300 + k, "T", " ".join(["Words of a long article follow here."] * 40) + f"\n\nIn {name()} the sheet said [Your Name] in red where {name()} had to sign.", "x") for k in range(12)]
+    about = [(300 + k, "T", " ".join(f"Words {w} {v} of a long article follow here." for w in ("here", "there", "then") for v in ("and", "or", "but", str(k))) + f"\n\nIn {name()} the sheet said [Your Name] in red where {name()} had to sign.", "x") for k in range(12)]
     table = spark.createDataFrame(broken + notes + articles + about + broken[:1], "capture_id bigint, title string, content_markdown string, h string")
     got = {row["id"] for row in residue.residue(table, "capture_id", "title", "content_markdown", model=model).collect()}
     assert got == {b[0] for b in broken}
@@ -256,3 +272,33 @@ def test_greeting_within_a_line():
 def test_residue_in_one_long_line(spark, model):
     rows = spark.createDataFrame([(1, "T", "Sample text. Replace this paragraph. " * 15), (2, "T", " ".join(["The council sold 12 lamps."] * 15) + " Page not found.")], "capture_id bigint, title string, content_markdown string")
     assert [r["id"] for r in residue.residue(rows, "capture_id", "title", "content_markdown", model=model).collect()] == [1]
+
+
+WORDS = "mill lamps council river stone winter garden quiet paper copper window signal harbour basket copper ladder meadow orchard kettle".split()
+
+
+def random_name(r):
+    return "".join(r.choice("bdklmn") + r.choice("aeiou") for _ in range(3)).title()
+
+
+def found_in(spark, model, rows):
+    table = spark.createDataFrame(rows, "capture_id bigint, title string, content_markdown string")
+    return {r["id"] for r in residue.residue(table, "capture_id", "title", "content_markdown", model=model).collect()}
+
+
+def test_long_error_pages_of_a_language_no_list_has(spark, model):
+    r = random.Random(3)
+    errors = [f"La pagina {random_name(r)} non si trova più su questo sito.", "Forse l'indirizzo è stato scritto male.", "Torni indietro e provi ancora una volta."]
+    rows = [(k, "Errore", "\n\n".join([errors[0].replace(errors[0].split()[2], random_name(r)), *errors[1:]] * (1 if k < 6 else 14))) for k in range(8)]
+    articles = [(100 + k, "Una storia", " ".join(f"Il consiglio di {random_name(r)} ha venduto le lampade {w} {v}." for w in ("vecchie", "nuove", "rotte") for v in ("ieri", "oggi", "domani", "sempre"))) for k in range(12)]
+    assert len(rows[7][2].split()) > 300
+    assert found_in(spark, model, rows + articles) == {k for k, _, _ in rows}
+
+
+def test_a_default_that_no_list_has(spark, model):
+    r = random.Random(4)
+    body = lambda: "\n\n".join(" ".join(r.choice(WORDS) for _ in range(9)).capitalize() + "." for _ in range(6))
+    rows = [(k, "T", body() + f"\n\nWith this letter for {random_name(r) if k > 4 else 'recipient'} we begin the year.") for k in range(60)]
+    assert found_in(spark, model, rows) == set(range(5))
+    several = [(k, t, x.replace("recipient", ("friends", "readers", "members", "nobody", "everyone")[k % 5])) for k, t, x in rows]
+    assert found_in(spark, model, several) == set()
