@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.llm import lookalikes, main_content, near_dup, packing, repeated_lines, residue, split_overlap, survivors, tokens
 from parchmint.session import prepare
+from parchmint.staging import staged
 from parchmint.tables import table
 
 
@@ -103,16 +105,18 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(prepare(spark), folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[int, int]]:
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict[int, int]]:
     prepare(spark)
     rows = table(spark, folder, "pack_targets").select("target_id", "tokenizer", "capacity_tokens").collect()  # a small table of parameters
     texts = table(spark, folder, "documents").select("doc_id", "text")
-    whole = None
+    whole = counted = None
     for tokenizer in sorted({r["tokenizer"] for r in rows}):
-        sizes = tokens.encode(texts, "doc_id", "text", tokenizer).select("id", F.size("ids").alias("n")).where("n >= 0")
-        packed = packing.pack(sizes, {r["target_id"]: r["capacity_tokens"] for r in rows if r["tokenizer"] == tokenizer})
-        whole = packed if whole is None else whole.unionByName(packed)
-    return whole, {r["target_id"]: r["capacity_tokens"] for r in rows}
+        sizes = staged(tokens.encode(texts, "doc_id", "text", tokenizer).select("id", F.size("ids").alias("n")).where("n >= 0"), "token_counts")
+        own = {r["target_id"]: r["capacity_tokens"] for r in rows if r["tokenizer"] == tokenizer}
+        packed = packing.pack(sizes, own)
+        sizes = sizes.withColumn("targets", F.array(*map(F.lit, own)))
+        whole, counted = (packed, sizes) if whole is None else (whole.unionByName(packed), counted.unionByName(sizes))
+    return whole, counted, {r["target_id"]: r["capacity_tokens"] for r in rows}
 
 
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +126,18 @@ def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Containers and unused space of each target."""
-    return packing.summary(*_packed(spark, folder))
+    packed, _, targets = _packed(spark, folder)
+    return packing.summary(packed, targets)
+
+
+def p8_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """For each target the texts placed, and how many containers or texts break the rules: none."""
+    packed, sizes, targets = _packed(spark, folder)
+    if sizes.select("targets").distinct().count() == 1:
+        return packing.faults(packed, sizes, targets)
+    of = {t: sizes.where(F.array_contains("targets", t)) for t in targets}
+    found = [packing.faults(packed.where(F.col("target_id") == t), of[t], {t: c}) for t, c in targets.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,7 +254,11 @@ SELECT capture_id, CASE WHEN gone IS NULL THEN content_markdown ELSE array_to_st
     CAST(coalesce(len(gone), 0) AS INT) AS n_removed FROM texts LEFT JOIN n USING (capture_id)
 """
 
+P8_FAULTS = """
+SELECT target_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_items, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS wrongly_cut, CAST(0 AS BIGINT) AS not_whole FROM pack_targets
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL that gives the same rows, for those queries that SQL can answer over whole tables."""
-    return {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p6_cleaned": P6_CLEANED, "p6_found": P6_FOUND, "p6_sequences": P6_SEQUENCES}
+    return {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p6_cleaned": P6_CLEANED, "p6_found": P6_FOUND, "p6_sequences": P6_SEQUENCES, "p8_faults": P8_FAULTS}

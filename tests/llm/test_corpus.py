@@ -61,14 +61,22 @@ def test_lexicon_shares_suffixes(tmp_path):
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_places_everything(histogram):
     placed, bins = Counter(), 0
-    for content, times in packing.plan(histogram, 64, rounds=30):
+    made = packing.plan(histogram, 64, rounds=8)
+    for content, times in made.patterns:
         assert times > 0 and sum(n * k for n, k in content.items()) <= 64
         bins += times
         for n, k in content.items():
             placed[n] += k * times
     assert placed == Counter(histogram)
     total = sum(n * c for n, c in histogram.items())
-    assert bins <= 1 + 2 * -(-total // 64)
+    assert -(-total // 64) <= made.bound <= bins == made.containers <= 1 + 2 * -(-total // 64)
+
+
+def test_bound_is_no_more_than_the_best_packing():
+    # Three items of 34 never share a container of 100 with each other: two each, so the sum of lengths is too low a bound.
+    made = packing.plan({34: 90}, 100)
+    assert made.containers == 45 and 31 <= made.bound <= 45
+    assert packing.plan({60: 10, 40: 10}, 100).containers == 10 == packing.plan({60: 10, 40: 10}, 100).bound
 
 
 def test_price_is_the_best_container():
