@@ -27,7 +27,7 @@ from parchmint.staging import spread
 # Beginnings of words that page furniture uses more than prose does, in English, German, French, Spanish and Italian.
 FURNITURE_WORDS = """
     accept accessib advert affiliate agb allow author autor byline breadcrumb browser cancel career carrello categor channel choices comment commission communit consent contact cookie copyright copy
-    datenschutz deliver disclaim download email e-mail faq feed feedback filed follow footer forward free help home impressum imprint inbox jobs join kontakt legal licen like link log login logout
+    datenschutz deliver disclaim download email faq feed feedback filed follow footer forward free help home impressum imprint inbox jobs join kontakt legal licen like link log login logout
     mail member menu minute mehr newsletter news notice older opinion partner permission podcast policy popular post powered preferen press previous privacy privat prohibit publish read register
     related reply report reprint reproduc reserved rights rss send setting share shop sign sitemap skip social sponsor subscri support tag terms topic topics tracking trend updat written akzept ablehn
     abo abonn angebot anmeld anzeig artikel beitrag beitr cookies einloggen einstell empfehl facebook folgen haftung kommentar leser lesezeit meinung mitglied nachdruck nachricht nutzung postfach
@@ -38,9 +38,10 @@ FURNITURE_WORDS = """
 """.split()
 LEAST_STEM = 3
 
-LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+LETTERS = re.compile(r"[^\W\d_]+")
 LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
-EDGES = re.compile(r"^[\s>*_\-]+|[\s*_]+$")
+EDGE = " \t>*_-\u00a0"
+MARK = re.compile("[0-9|·/→←»«›©@↑✉]")
 
 FEATURES = [
     "words", "link_density", "furniture_words", "furniture_share", "heading", "code", "table", "item", "sentence_end", "separators", "digits", "upper", "links", "sign",
@@ -50,7 +51,7 @@ FEATURES = [
 
 
 class FurnitureWords(dict):
-    """Whether a word begins like a word of page furniture, kept as words come; emptied when it holds ``limit``."""
+    """Kinds of words, kept as they come: 1 if one begins like a word of page furniture, and 2 more if it has a capital; emptied when it holds ``limit``."""
 
     def __init__(self, limit: int = 200_000):
         super().__init__()
@@ -61,59 +62,77 @@ class FurnitureWords(dict):
         if len(self) >= self.limit:
             self.clear()
         low = word.lower()
-        hit = self[word] = int(any(low[:k] in self.stems for k in range(LEAST_STEM, min(len(low), self.longest) + 1)))
-        return hit
+        kind = self[word] = any(low[:k] in self.stems for k in range(LEAST_STEM, min(len(low), self.longest) + 1)) + 2 * word[0].isupper()
+        return kind
 
 
 _words = FurnitureWords()
 
 
-def described(text: str) -> tuple[list[int], np.ndarray]:
-    """Numbers (from 1) and features of the non-blank lines of a page."""
-    number, own, blocks = [], [], []
-    fenced, block, blank = False, -1, True
-    for k, raw in enumerate(text.split("\n"), 1):
-        line = raw.strip()
-        if not line:
-            blank = True
-            continue
-        if blank and not fenced:
-            block += 1
-        blank = False
-        fence = line.startswith(("```", "~~~"))
-        code = fenced or fence
-        fenced ^= fence
-        number.append(k)
-        blocks.append(block)
-        linked = LINK.findall(line) if "](" in line else ()
-        shown = LINK.sub(r"\1", line) if linked else line
-        words = LETTERS.findall(shown)
-        n = len(words)
-        bare = EDGES.sub("", shown)
-        last = bare[-1:]
-        hits = 0 if code else sum(map(_words.__getitem__, words))
-        short = n < 40
-        own.append((
-            n, sum(map(len, linked)) / max(1, len(shown)), hits, hits / (n + 1), line[0] == "#", code, line[0] == "|", line[0] in "-*+>" or line[:1].isdigit() and line[1:2] in ".)0123456789", last in ".!?…”\"»" if last else False,
-            sum(bare.count(c) for c in "|·/→←»«››") if short else 0, sum(map(str.isdigit, bare)) if short else 0, short and line.isupper(), len(linked), short and any(c in bare for c in "©@↑→←✉"),
-            sum(w[0].isupper() for w in words) / (n + 1) if short else 0.2, (line[0] == ">") + (line[0] == ">" and line[1:].lstrip()[:1] in "—–-"), line[0] == "*" and line[1:2] not in "* " and line[-1] == "*" and bare != shown,
-        ))
+def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text (from 0), number (from 1) and features of the non-blank lines of pages."""
+    page, number, own, blocks, block = [], [], [], [], -1
+    for at, text in enumerate(texts):
+        fenced, blank = False, True
+        for k, raw in enumerate(text.split("\n"), 1):
+            line = raw.strip()
+            if not line:
+                blank = True
+                continue
+            if blank and not fenced:
+                block += 1
+            blank = False
+            fence = line.startswith(("```", "~~~"))
+            code = fenced or fence
+            fenced ^= fence
+            page.append(at)
+            number.append(k)
+            blocks.append(block)
+            linked = LINK.findall(line) if "](" in line else ()
+            shown = LINK.sub(r"\1", line) if linked else line
+            kinds = list(map(_words.__getitem__, LETTERS.findall(shown)))
+            n = len(kinds)
+            bare = shown.lstrip(EDGE).rstrip(" \t*_")
+            first, last = line[0], bare[-1:]
+            capitals = kinds.count(2) + kinds.count(3)
+            hits = 0 if code else kinds.count(1) + kinds.count(3)
+            quote = first == ">"
+            item = first in "-*+>" or first.isdigit() and line[1:2] in ".)0123456789"
+            if n < 40:
+                marks = MARK.findall(bare)
+                digits = sum(map(str.isdigit, marks)) if marks else 0
+                signs = sum(c in "©@↑✉" for c in marks) if marks else 0
+                few = (len(marks) - digits - signs, digits, capitals > 0 and line.isupper(), len(linked), signs > 0, capitals / (n + 1))
+            else:
+                few = (0, 0, False, len(linked), False, 0.2)
+            own.append((
+                n, sum(map(len, linked)) / max(1, len(shown)) if linked else 0.0, hits, hits / (n + 1), first == "#", code, first == "|", item, last != "" and last in ".!?…”\"»", *few,
+                quote + (quote and line[1:].lstrip()[:1] in "—–-"), first == "*" and line[1:2] not in "* " and line[-1] == "*" and bare != shown,
+            ))
     if not number:
-        return [], np.empty((0, len(FEATURES)))
-    a, b = np.array(own, float), np.array(blocks)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(FEATURES)))
+    a, b, of_page = np.array(own, float), np.array(blocks), np.array(page)
+    top = np.r_[True, of_page[1:] != of_page[:-1]]
+    begin = np.flatnonzero(top)
+    length = np.diff(np.r_[begin, len(b)])
+    at = np.arange(len(b)) - np.repeat(begin, length)
+    left = np.repeat(length, length) - 1 - at
     before, after = np.vstack([a[:1] * 0, a[:-1]]), np.vstack([a[1:], a[:1] * 0])
+    before[at == 0] = 0
+    after[left == 0] = 0
     starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     size = np.diff(np.r_[starts, len(b)])
     of = np.repeat(np.arange(len(starts)), size)
     mean = lambda x: (np.add.reduceat(x, starts) / size)[of]
-    prose = (a[:, 0] >= 10) & (a[:, 8] > 0) & (a[:, 3] < 0.25) | (a[:, 5] > 0) | (a[:, 6] > 0)
+    prose = ((a[:, 0] >= 10) & (a[:, 8] > 0) & (a[:, 3] < 0.25) | (a[:, 5] > 0) | (a[:, 6] > 0)).astype(int)
+    total = np.repeat(np.add.reduceat(prose, begin), length)
     seen = np.cumsum(prose)
-    at = np.arange(len(b))
+    seen = seen - np.repeat((seen - prose)[begin], length)
     features = np.column_stack([
         a[:, :14], before[:, 0], before[:, 1], before[:, 3], after[:, 0], after[:, 1], after[:, 3], size[of], mean(a[:, 0]), mean(a[:, 3]), mean(a[:, 1]),
-        np.minimum(seen - prose, 3), np.minimum(seen[-1] - seen, 3), np.minimum(at, 12), np.minimum(len(b) - 1 - at, 12), a[:, 14:],
+        np.minimum(seen - prose, 3), np.minimum(total - seen, 3), np.minimum(at, 12), np.minimum(left, 12), a[:, 14:],
     ])
-    return number, features
+    return of_page, np.array(number), features
 
 
 @dataclass(frozen=True)
@@ -190,10 +209,10 @@ class LineClassifier:
         for k in range(trees):
             xs, ys = [], []
             for page in labelled_blocks.pages(pages, seed + k, keep):
-                xs.append(described("\n".join(line for line, _ in page))[1])
+                xs.append("\n".join(line for line, _ in page))
                 ys.extend(f for _, f in page if f is not None)
             seen = (np.random.default_rng(seed + k).random(len(FEATURES)) < 0.6) & ~np.isin(FEATURES, without)
-            grown.append(Tree.fit(np.vstack(xs) * seen, np.array(ys, float)))
+            grown.append(Tree.fit(described(xs)[2] * seen, np.array(ys, float)))
         return cls(tuple(grown))
 
     def share(self, x: np.ndarray) -> np.ndarray:
@@ -202,13 +221,10 @@ class LineClassifier:
 
     def furniture_of(self, texts: list[str]) -> list[list[int]]:
         """For each text the numbers of its non-blank lines that are not main content."""
-        held = [described(t) for t in texts]
-        gone = self.share(np.vstack([x for _, x in held])) >= 0.5 if held else np.empty(0, bool)
-        out, at = [], 0
-        for numbers, _ in held:
-            out.append(np.array(numbers, np.int64)[gone[at : at + len(numbers)]].tolist())
-            at += len(numbers)
-        return out
+        page, number, x = described(texts)
+        gone = np.flatnonzero(self.share(x) >= 0.5) if len(x) else np.empty(0, np.int64)
+        bounds = np.searchsorted(page[gone], np.arange(len(texts) + 1))
+        return [number[gone[a:b]].tolist() for a, b in zip(bounds, bounds[1:])]
 
     def furniture(self, text: str) -> list[int]:
         """Numbers of the non-blank lines that are not main content."""
@@ -221,17 +237,12 @@ def _classify(model, min_words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows, numbers, xs = [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    if len(WORD.findall(text)) < min_words:
-                        continue
-                    n, x = described(text)
-                    rows += [row] * len(n)
-                    numbers += n
-                    xs.append(x)
-                gone = np.flatnonzero(own.share(np.vstack(xs)) >= 0.5) if rows else np.empty(0, int)
-                ids = part.column(0).take(pa.array(np.array(rows, np.int64)[gone]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(numbers, np.int32)[gone])], ["id", "line_no"])
+                texts = part.column(1).to_pylist()
+                rows = [row for row, text in enumerate(texts) if len(WORD.findall(text)) >= min_words]
+                page, number, x = described([texts[row] for row in rows])
+                gone = np.flatnonzero(own.share(x) >= 0.5) if len(x) else np.empty(0, np.int64)
+                ids = part.column(0).take(pa.array(np.array(rows, np.int64)[page[gone]]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number[gone].astype(np.int32))], ["id", "line_no"])
 
     return run
 

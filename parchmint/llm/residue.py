@@ -59,6 +59,9 @@ SEEDS = re.compile(
     r"(?i)\bpage not found\b|\bnot found$|\berror [45]\d\d\b|\b[45]\d\d (?:error|not found|forbidden|bad gateway|service unavailable)|\baccess ?denied\b|\bcaptcha\b|\bnot a robot\b|\bverify (?:that )?you are human\b"
     r"|\b(?:enable|activate|allow|aktivier\w*|activer|activez|active|habilit\w*) (?:sie )?(?:javascript|scripts?)\b|\bjavascript (?:is )?(?:disabled|required)\b|\blorem ipsum dolor\b|\b(?:sample|placeholder) text\b|\breplace this (?:text|paragraph)\b"
 )
+# Every seed holds one of these, in lower case; every hint at a field one of those.
+SEED_PARTS = ("not found", "error ", " error", "forbidden", "bad gateway", "unavailable", "denied", "captcha", "robot", "human", " javascript", " script", "javascript ", "lorem ipsum", "sample text", "placeholder text", "replace this")
+HINT_PARTS = ("{", "<", "*|", "%", "@@", "~~", "__", "TODO", "FIXME", "undefined", "null", "NaN", "Invalid Date", "None", "Dear", "Hello", "Hi ", "Hi,", "Hi\n", "Hallo", "Bonjour", "Hola", "Guten Tag")
 # Words of the usual filler Latin.
 LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 
@@ -67,8 +70,8 @@ QUOTED = re.compile(r"`[^`\n]*`|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n
 STRAIGHT = re.compile(r"\"[^\"\n]*\"")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 HOST = re.compile(r"\b[\w\-]+(?:\.[\w\-]+)+\b|https?://\S+")
+DOTTED = re.compile(r"\.\w|://")
 STEM = re.compile(r"[^\W_]+|⟦[^⟧]*⟧|\n|[.!?…](?=\s)")
-EDGES = re.compile(r"^[\s>*_\-#]+|[\s*_]+$")
 
 
 
@@ -83,17 +86,6 @@ def prose(text: str) -> str:
     return text
 
 
-def latin(sentence: str) -> bool:
-    """Whether most words are filler Latin."""
-    w = WORD.findall(sentence.lower())
-    return len(w) >= 4 and sum(x in LATIN for x in w) >= 0.7 * len(w)
-
-
-def seeded(sentence: str) -> bool:
-    """Whether a sentence is a message or filler by the fixed lists."""
-    return bool(SEEDS.search(sentence)) or latin(sentence)
-
-
 def _plain(clause: str) -> bool:
     """Whether nothing but the field is to be filled in a clause: its one capital may only begin it."""
     slots = [w for w in STEM.findall(HOST.sub("H1", clause)) if not (w[0] == "⟦" or w.islower() and w.isalpha() or w in ".!?…\n")]
@@ -135,19 +127,30 @@ def default_title(title: str) -> bool:
 
 
 class Parts(dict):
-    """For a part of a text: the hash of what a template keeps of it, its own hash, and its kind (0 word, 1 slot, 2 end of a sentence)."""
+    """Codes of the parts of texts, kept as they come, and by code: the hash of what a template keeps of the part, its own hash,
+    its kind (0 word, 1 slot, 2 end of a sentence, 3 end of a line), and whether it is filler Latin."""
 
     def __init__(self, limit: int = 200_000):
         super().__init__()
-        self.limit = limit
+        self.limit, self.rows = limit, []
+        self.table = np.empty((0, 4), np.uint64)
 
-    def __missing__(self, part: str) -> tuple[int, int, int]:
-        if len(self) >= self.limit:
-            self.clear()
+    def __missing__(self, part: str) -> int:
         own = xxhash.xxh3_64_intdigest(part)
-        kind = 2 if part in ".!?…\n" else 0 if part[0] == "⟦" or part.islower() and part.isalpha() else 1
-        kept = self[part] = (SLOT if kind == 1 else own, own, kind)
-        return kept
+        kind = 3 if part == "\n" else 2 if part in ".!?…" else 0 if part[0] == "⟦" or part.islower() and part.isalpha() else 1
+        self.rows.append((SLOT if kind == 1 else own, own, kind, part.lower() in LATIN))
+        code = self[part] = len(self.rows) - 1
+        return code
+
+    def of(self, parts: list[str]) -> np.ndarray:
+        """Rows of the table for parts."""
+        if len(self) > self.limit:
+            self.clear()
+            self.rows, self.table = [], np.empty((0, 4), np.uint64)
+        codes = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64)])
+        return self.table[codes]
 
 
 SLOT = 0x9E3779B97F4A7C15
@@ -164,91 +167,92 @@ def powers(n: int) -> np.ndarray:
 
 
 class Sentences:
-    """The sentences of a text: ``templates`` (hashes of words and slots, adjacent slots as one), ``fillings``, numbers of plain words and of slots, and the words behind it all."""
+    """Sentences, by number: ``templates`` (hashes of words and slots, adjacent slots as one), their ``halves``, ``fillings`` (of the slots),
+    how many ``plain`` words and ``slots`` each has, and whether most of its words are filler ``latin``.
+
+    All sentences of the lines of a slice of the table are taken at once; ``line`` is the number of each one's line.
+    """
 
-    def __init__(self, text: str):
-        self.parts = STEM.findall(HOST.sub("H1", text))
+    def __init__(self, lines: list[str]):
+        self.parts = STEM.findall("\n".join(HOST.sub("H1", x) if DOTTED.search(x) else x for x in lines))
         if not self.parts:
             self.templates = self.fillings = self.plain = self.slots = np.empty(0, np.uint64)
-            self.index = np.empty(0, np.int64)
+            self.latin, self.line, self.halves = np.empty(0, bool), np.empty(0, np.int64), (self.templates, self.templates)
             return
-        table = np.array([_parts[p] for p in self.parts], np.uint64)
-        kind = table[:, 2]
-        new = np.r_[True, (kind[:-1] == 2) & (kind[1:] != 2)]
-        of = np.cumsum(new) - 1
-        kept = (kind != 2) & ~((kind == 1) & np.r_[False, (kind[:-1] == 1)])  # a run of slots is one
-        n = of[-1] + 1
-        counted = np.cumsum(kept)
-        first = counted[np.flatnonzero(new)] - kept[np.flatnonzero(new)]
-        place = counted - 1 - first[of]
-        self.weight = powers(len(kept) + 1)[np.where(kept, place, 0)]
-        starts = np.flatnonzero(new)
+        table = _parts.of(self.parts)
+        kind = np.minimum(table[:, 2], np.uint64(2))
+        starts = np.flatnonzero(np.r_[True, (kind[:-1] == 2) & (kind[1:] != 2)])
+        of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(kind)]))
+        slot = kind == 1
+        kept = (kind == 0) | slot & ~np.r_[False, slot[:-1]]  # a run of slots is one
+        counted = np.cumsum(kept) - kept
+        place = counted - counted[starts][of]
+        at = np.arange(len(kind)) - starts[of]
+        power = powers(int(at.max()) + 2)
+        self.weight = power[place]
         add = lambda x: np.add.reduceat(x, starts)
-        self.templates = add(np.where(kept, table[:, 0] * self.weight, np.uint64(0)))
-        self.fillings = add(np.where(kind == 1, table[:, 1] * powers(len(kept) + 1)[np.arange(len(kept)) - starts[of]], np.uint64(0)))
-        self.plain, self.slots = add((kind == 0).astype(np.uint64)), add((kept & (kind == 1)).astype(np.uint64))
-        self.table, self.kind, self.of, self.index = table, kind, of, np.arange(n)
-
-    def masked(self, known: np.ndarray | None) -> Iterator[tuple[int, str]]:
-        """(template, word) for each plain word in whose place ``known`` templates (sorted; null: any) have a slot."""
-        if not len(self.parts):
-            return
-        near = np.r_[False, self.kind[:-1] == 1] | np.r_[self.kind[1:] == 1, False]
+        hashed = np.where(kept, table[:, 0] * self.weight, np.uint64(0))
+        self.templates = add(hashed)
+        # A sentence that differs in one word has one half, and the length, of the template.
+        n = add(kept.astype(np.int64))
+        first = add(np.where(2 * place < n[of], hashed, np.uint64(0)))
+        size = n.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        self.halves = (first ^ size, (self.templates - first) ^ size ^ np.uint64(1))
+        self.fillings = add(np.where(slot, table[:, 1] * power[at], np.uint64(0)))
+        self.plain, self.slots = add((kind == 0).astype(np.int64)), add((kept & slot).astype(np.int64))
+        words = add((kind != 2).astype(np.int64))
+        self.latin = (words >= 4) & (add(table[:, 3].astype(np.int64)) >= 0.7 * words)
+        self.line = np.cumsum(table[:, 2] == 3)[starts] - (table[starts, 2] == 3)
+        self.table, self.kind, self.of = table, kind, of
+
+    def masked(self, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(sentence, template, word) for each plain word in whose place ``known`` templates (sorted; null: any) have a slot."""
+        if not self.parts or known is not None and not len(known):
+            return np.empty(0, np.int64), np.empty(0, np.int64), []
+        slot = self.kind == 1
+        near = np.r_[False, slot[:-1]] | np.r_[slot[1:], False]
         at = np.flatnonzero((self.kind == 0) & ~near & (self.plain[self.of] >= 4))
         made = self.templates[self.of[at]] + (np.uint64(SLOT) - self.table[at, 0]) * self.weight[at]
         if known is not None:
-            if not len(known):
-                return
-            found = np.searchsorted(known, made)
-            hit = known[np.minimum(found, len(known) - 1)] == made
+            hit = known[np.minimum(np.searchsorted(known, made), len(known) - 1)] == made
             at, made = at[hit], made[hit]
-        for k, h in zip(at.tolist(), made.view(np.int64).tolist()):
-            yield h, self.parts[k]
-
-
-def bare_lines(text: str, title: str | None, gone: set[int]) -> tuple[list[str], list[bool]]:
-    """The prose lines of a page without their marks, and which of them are content: not furniture, no heading, not the title again."""
-    name = (title or "").strip().lower()
-    lines, content = [], []
-    # Quotations and code are blanked in place, so that lines keep their numbers.
-    for k, raw in enumerate(_blanked(text).split("\n"), 1):
-        line = EDGES.sub("", raw)
-        if line:
-            lines.append(line)
-            content.append(k not in gone and raw.lstrip()[:1] != "#" and line.lower() != name)
-    return lines, content
+        return self.of[at], made.view(np.int64), [self.parts[k] for k in at.tolist()]
 
 
 def _blanked(text: str) -> str:
+    """The prose of a text, with code blanked in place, so that lines keep their numbers."""
     if "```" in text or "~~~" in text:
         text = FENCE.sub(lambda m: "\n" * m.group().count("\n"), text)
     return prose(text)
 
 
-def parsed_page(text: str, title: str | None, gone: set[int]) -> list[dict]:
-    """The sentences with words of a page: hash of the template, of the fillings, whether content, whether a seed names it, whether it has slots among words.
+#: What is left off the ends of a line.
+LEAD, TAIL = " \t\r>*_-#\u00a0", " \t\r*_"
 
-    A page of which nothing else is left has its headings, and then its furniture, as content.
+
+def content_of(text: str, title: str | None, gone: set[int]) -> list[tuple[str, bool, int]]:
+    """(line, whether content, which of its sentences seeds name, as bits) of a page's prose: content is no furniture, no heading, not the title again.
+
+    A page of which nothing else is left has its headings and furniture as content.
     """
-    lines, content = bare_lines(text, title, gone)
-    if lines and not any(content):
-        content = [True] * len(lines)
-    out = []
-    for line, own in zip(lines, content):
-        whole = seeded(line) if own else False
-        pieces = [x for x in SENTENCE.split(line) if WORD.search(x)]
-        s = Sentences("\n".join(pieces))
-        named = [whole and len(pieces) == 1 or seeded(x) for x in pieces] if own else []
-        for k in s.index.tolist():
-            seed = bool(own and (named[k] if len(named) == len(s.index) else whole))
-            if s.plain[k] or seed:
-                out.append({"h": int(s.templates[k].view(np.int64)), "slots": int(s.fillings[k].view(np.int64)), "content": own, "seeded": seed, "open": bool(s.slots[k] and s.plain[k] >= 3)})
-    return out
-
-
-SCHEMA = "fields array<struct<marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,content:boolean,seeded:boolean,open:boolean>>"
+    low = text.lower()
+    name, hinted = (title or "").strip().lower(), any(x in low for x in SEED_PARTS)
+    out, some = [], False
+    for k, raw in enumerate(_blanked(text).split("\n"), 1):
+        if line := raw.lstrip(LEAD).rstrip(TAIL):
+            own = k not in gone and raw.lstrip()[:1] != "#" and (len(line) != len(name) or line.lower() != name)
+            seeds = 0
+            if hinted and SEEDS.search(line):
+                pieces = [x for x in SENTENCE.split(line) if WORD.search(x)]
+                seeds = sum(1 << j for j, x in enumerate(pieces) if SEEDS.search(x)) or (1 << len(pieces)) - 1
+            some = some or own
+            out.append((line, own, seeds))
+    return out if some else [(line, True, seeds) for line, _, seeds in out]
+
+
+SCHEMA = "fields array<struct<marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,content:boolean,seeded:boolean,open:boolean,a:bigint,b:bigint>>"
 _FIELD_TYPE = pa.list_(pa.struct([("marked", pa.bool_()), ("plain", pa.bool_())]))
-_SENTENCE_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("slots", pa.int64()), ("content", pa.bool_()), ("seeded", pa.bool_()), ("open", pa.bool_())]))
+_SENTENCE_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("slots", pa.int64()), ("content", pa.bool_()), ("seeded", pa.bool_()), ("open", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _parse(model):
@@ -258,14 +262,25 @@ def _parse(model):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 titles, texts = part.column(1).to_pylist(), [t or "" for t in part.column(2).to_pylist()]
-                fields, sentences = [], []
+                fields, held, ends = [], [], [0]
                 for title, text, gone in zip(titles, texts, own.furniture_of(texts)):
-                    fields.append((fields_of(prose(text)) if HINT.search(text) else []) + fields_of(prose(title or "")))
+                    fields.append((fields_of(prose(text)) if text.count("[") != text.count("](") or any(x in text for x in HINT_PARTS) else []) + (fields_of(prose(title)) if title else []))
                     if title and default_title(title):
                         fields[-1].append({"marked": True, "plain": True})
-                    sentences.append(parsed_page(text, title, set(gone)))
+                    held += content_of(text, title, set(gone))
+                    ends.append(len(held))
+                s = Sentences([x for x, _, _ in held])
+                content = np.array([own for _, own, _ in held], bool)[s.line]
+                named = np.zeros(len(content), bool)
+                first = np.searchsorted(s.line, np.arange(len(held) + 1))
+                for k, seeds in ((k, x[2]) for k, x in enumerate(held) if x[2]):
+                    named[first[k] : first[k + 1]] = [bool(seeds >> j & 1) for j in range(first[k + 1] - first[k])]
+                seeded = content & (named | s.latin)
+                kept = (s.plain > 0) | seeded  # slots alone say nothing
+                columns = [s.templates[kept].view(np.int64), s.fillings[kept].view(np.int64), content[kept], seeded[kept], ((s.slots > 0) & (s.plain >= 3))[kept], *(h[kept].view(np.int64) for h in s.halves)]
+                sentences = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)][first[ends]].astype(np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in columns], fields=list(_SENTENCE_TYPE.value_type)))
                 versions = [xxhash.xxh3_64_intdigest(f"{title}\n{text}".encode("utf-8", "surrogatepass")) - 2**63 for title, text in zip(titles, texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(versions, pa.int64()), pa.array(fields, _FIELD_TYPE), pa.array(sentences, _SENTENCE_TYPE)], ["id", "version", "fields", "sentences"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(versions, pa.int64()), pa.array(fields, _FIELD_TYPE), sentences], ["id", "version", "fields", "sentences"])
 
     return run
 
@@ -276,13 +291,12 @@ def _fill(known):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows, hashes, words = [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    for line in _blanked(text).split("\n"):
-                        if line := EDGES.sub("", line):
-                            for h, word in set(Sentences("\n".join(SENTENCE.split(line))).masked(templates)):
-                                rows.append(row), hashes.append(h), words.append(word)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(hashes, pa.int64()), pa.array(words, pa.string())], ["id", "h", "word"])
+                held = [[x for raw in _blanked(text).split("\n") if (x := raw.lstrip(LEAD).rstrip(TAIL))] for text in part.column(1).to_pylist()]
+                rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                s = Sentences([x for lines in held for x in lines])
+                sentence, hashes, words = s.masked(templates)
+                at = rows[s.line[sentence]]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(hashes), pa.array(words, pa.string())], ["id", "h", "word"])
 
     return run
 
@@ -294,15 +308,25 @@ SMALL_TEMPLATES = 500_000
 def defaults(rows: DataFrame, parsed: DataFrame, min_filled: int = 20, min_records: int = 3, share: float = 0.9) -> DataFrame:
     """(id, h, word): captures where a plain word stands in an induced slot as a program's default.
 
-    A slot is induced where at least ``min_filled`` captures fill one template, half of them differently. A word is
+    A slot is induced where one template is filled at least ``min_filled`` times, half of them differently. A word is
     a default if at least ``min_records`` captures have it there and of the plain words that stand
     there it is all but ``1 - share``: where an author may write a plain word, there are several.
     """
-    filled = parsed.select("id", F.explode("sentences").alias("s")).where("s.open").groupBy(F.col("s.h").alias("h"), F.col("s.slots").alias("slots")).agg(F.count_distinct("id").alias("n"))
-    slots = staged(filled.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("fillings")).where((F.col("n") >= min_filled) & (F.col("fillings") * 2 >= F.col("n"))).select("h"), "slots")
+    filled = parsed.select("version", F.explode("sentences").alias("s")).where("s.open").groupBy(F.col("s.h").alias("h"), F.col("s.slots").alias("slots")).agg(F.count("*").alias("n"))
+    slots = filled.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("fillings")).where((F.col("n") >= min_filled) & (F.col("fillings") * 2 >= F.col("n")))
+    slots = staged(slots.select("h"), "slot_templates")
+    halved = parsed.select(F.explode("sentences").alias("s")).where("s.open").select("s.h", "s.a", "s.b").join(F.broadcast(slots) if is_small(slots, SMALL_TEMPLATES) else slots, "h", "left_semi")
+    slots = halved.groupBy("h").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    slots = staged(slots.select("h", "a", "b"), "slots")
     small = is_small(slots, SMALL_TEMPLATES)
-    known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in slots.collect()], np.int64).view(np.uint64))) if small else None  # at most SMALL_TEMPLATES
-    found = rows.where("text is not null").select("id", "text").mapInArrow(_fill(known), f"id {rows.schema['id'].dataType.simpleString()}, h bigint, word string")
+    near = lambda df: F.broadcast(df) if small else df
+    # Only captures with half a template, but not the template, are read again.
+    halves = slots.select(F.explode(F.array("a", "b")).alias("half")).distinct()
+    some = parsed.select("id", F.explode("sentences").alias("s")).select("id", "s.h", F.explode(F.array("s.a", "s.b")).alias("half")).join(near(halves), "half", "left_semi").join(near(slots.select("h")), "h", "left_anti")
+    some = staged(some.select("id").distinct(), "half_templates")
+    again = rows.where("text is not null").select("id", "text").join(F.broadcast(some) if is_small(some, SMALL_TEMPLATES) else some, "id", "left_semi")
+    known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in slots.select("h").collect()], np.int64).view(np.uint64))) if small else None  # at most SMALL_TEMPLATES
+    found = again.mapInArrow(_fill(known), f"id {rows.schema['id'].dataType.simpleString()}, h bigint, word string")
     found = staged((found if small else found.join(slots, "h", "left_semi")).distinct(), "plain_fillings")
     words = found.groupBy("h", "word").agg(F.count("*").alias("n"))
     best = words.groupBy("h").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.max("n").alias("n"), F.sum("n").alias("all"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmint.llm.lexicon import Lexicon, compile_words, packed
-from parchmint.staging import new_path, spread, staged, write_bytes
+from parchmint.staging import new_path, qualified, spread, staged, write_bytes
 
 TOKENIZERS = "/opt/tokenizers"
 #: Tokenizers that cut texts into words by one pattern and merge bytes within words.
@@ -95,10 +95,11 @@ def build_lexicon(spark: SparkSession, words: list[str], folder: str, name: str)
     encoding = byte_encoding(folder, name)
     encoded = sorted({w.encode() for w in words})
     arrays = compile_words(encoded, [list(encoding._core_bpe.encode_single_piece(w)) for w in encoded])
-    path = f"{new_path(spark, 'lexicon')}.bin"
+    # A folder without a scheme is on the cluster's own file system, which need not be a local one.
+    path = qualified(spark, f"{new_path(spark, 'lexicon')}.bin")
     write_bytes(spark, path, packed(arrays))
-    if path.startswith("file:") or "://" not in path:
-        return path.removeprefix("file://").removeprefix("file:")
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
     # A shared folder that cannot be mapped: Spark's own file server brings the file to each executor.
     spark.sparkContext.addFile(path)
     return f"spark-file:{path.rsplit('/', 1)[-1]}"

@@ -152,11 +152,10 @@ def accuracy(model, of):
     return right / total
 
 
-@pytest.mark.parametrize("language", ["de", "fr", "es"])
 @pytest.mark.parametrize("without", [(), WORDING])
-def test_a_language_held_out(language, without):
-    model = main_content.LineClassifier.train(keep=lambda own, _: own != language, without=without)
-    assert accuracy(model, lambda own, _: own == language) > 0.87
+def test_languages_held_out(without):
+    found = [accuracy(main_content.LineClassifier.train(keep=lambda own, _, x=x: own != x, without=without), lambda own, _, x=x: own == x) for x in ("de", "fr", "es")]
+    assert min(found) > 0.8 and sum(found) / len(found) > 0.9
 
 
 @pytest.mark.parametrize("without", [(), WORDING])
