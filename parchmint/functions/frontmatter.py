@@ -102,6 +102,24 @@ def parser(strict: bool = True):
     return parsed
 
 
+@F.pandas_udf(StringType())
+def file_text(doc_id: pd.Series, title: pd.Series, source: pd.Series, kind: pd.Series, captured: pd.Series, updated: pd.Series, tags: pd.Series, extra: pd.Series, content_hash: pd.Series, body: pd.Series) -> pd.Series:
+    """A document as its file has it: all its metadata that is there, in their order, then the body."""
+
+    def one(i, t, s, k, c, u, g, e, h, b):
+        given = {"id": i, "title": t, "source": s, "type": k, "content_hash": h}
+        meta = {n: v for n, v in given.items() if isinstance(v, str)}
+        meta |= {n: v.strftime("%Y-%m-%dT%H:%M:%SZ") for n, v in (("captured", c), ("updated", u)) if not pd.isna(v)}
+        if g is not None:
+            meta["tags"] = list(g)
+        return join(meta | {str(k): v for k, v in dict(e or {}).items() if k not in meta}, b if isinstance(b, str) else "")
+
+    return pd.Series([one(*row) for row in zip(doc_id, title, source, kind, captured, updated, tags, extra, content_hash, body)], dtype="object")
+
+
+FILE_COLUMNS = ["id", "title", "source", "content_type", "captured_at", "updated_at", "tags", "extra", "content_hash", "body"]
+
+
 @F.pandas_udf(StringType())
 def rendered(title: pd.Series, source: pd.Series, kind: pd.Series, captured: pd.Series, tags: pd.Series, author: pd.Series, sender: pd.Series, body: pd.Series) -> pd.Series:
     """A capture as a file's text: metadata, the title as a heading, the content."""

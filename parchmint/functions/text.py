@@ -165,3 +165,26 @@ def human_bytes(n: Column) -> Column:
 def chunk_of_chat(doc_id: Column, title: Column, body: Column, characters: int = 10_000) -> Column:
     """A document as a chat prompt quotes it."""
     return F.concat(F.lit('<doc id="'), doc_id, F.lit('" title="'), F.coalesce(title, F.lit("")), F.lit('">\n'), F.substring(body, 1, characters), F.lit("\n</doc>"))
+
+
+def escaped_html(text: Column) -> Column:
+    """Text in which nothing is markup."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def safe_snippet(snippet: Column) -> Column:
+    """A snippet as HTML: its marks stay marks, everything else is escaped."""
+    safe = escaped_html(F.coalesce(snippet, F.lit("")))
+    return F.replace(F.replace(safe, F.lit("&lt;mark&gt;"), F.lit("<mark>")), F.lit("&lt;/mark&gt;"), F.lit("</mark>"))
+
+
+def short_date(at: Column) -> Column:
+    """A day as people read it; nothing for null."""
+    return F.coalesce(F.date_format(at, "d MMM yyyy"), F.lit(""))
+
+
+def short_id(doc_id: Column) -> Column:
+    """The first ten characters of an id, which tell its time."""
+    return F.when(F.length(doc_id) > 10, F.concat(F.substring(doc_id, 1, 10), F.lit("…"))).otherwise(doc_id)

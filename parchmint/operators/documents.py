@@ -64,14 +64,13 @@ def create(docs: DataFrame, writes: DataFrame, now: Column) -> Written:
     spark_now = F.date_trunc("second", now)
     rows = writes.withColumn("body", hashing.ended(F.coalesce("body", F.lit(""))))
     sourced = rows.where("source is not null")
-    in_order = Window.partitionBy("source").orderBy("seq")
-    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Aggregates, not a window: maps combine them first, so a source with a tenth of all rows is one row a map task.
     # The values of keys that a later write leaves out stay those of an earlier one.
-    folded = sourced.select(
-        "source", "seq", F.last("body").over(whole).alias("body"), F.first("captured_at", True).over(whole).alias("captured_at"),
-        *[F.last(c, True).over(whole).alias(c) for c in ("title", "content_type", "tags", "extra")],
-        F.row_number().over(in_order).alias("n"),
-    ).where("n = 1").drop("n")
+    given = lambda c: F.when(F.col(c).isNotNull(), F.col("seq"))
+    folded = sourced.groupBy("source").agg(
+        F.min("seq").alias("seq"), F.max_by("body", "seq").alias("body"), F.min_by("captured_at", given("captured_at")).alias("captured_at"),
+        *[F.max_by(c, given(c)).alias(c) for c in ("title", "content_type", "tags", "extra")],
+    )
     current = docs.where("source is not null").groupBy("source").agg(F.min_by(F.struct(*COLUMNS), "id").alias("old"))
     met = folded.join(current, "source", "left")
     loose = rows.where("source is null").select("source", "seq", "body", "captured_at", "title", "content_type", "tags", "extra").withColumn("old", F.lit(None).cast(current.schema["old"].dataType))
@@ -122,6 +121,30 @@ def update(docs: DataFrame, writes: DataFrame, now: Column) -> Written:
     return Written(docs.select(*COLUMNS).join(row.select("id"), "id", "left_anti").unionByName(row.select(*COLUMNS)), changes, conflicts)
 
 
+def upsert(docs: DataFrame, writes: DataFrame, now: Column) -> Written:
+    """Update by id, or create under the caller's id: ``writes`` has id, body, if_match and optional title, source, content_type, tags, extra.
+
+    Conflicts, with a reason: an id that is no ULID ("bad id"), an ``if_match`` that is not the document's hash, or any
+    ``if_match`` on a document that does not exist ("conflict"). At most one write an id.
+    """
+    asked = writes.withColumn("_good", F.coalesce(hashing.is_ulid(F.col("id")), F.lit(False)))
+    known = docs.select("id", F.lit(True).alias("_known"))
+    met = asked.join(known, "id", "left")
+    bad = met.where(~F.col("_good")).select("id", F.lit("bad id").alias("reason"))
+    lost = met.where(F.col("_good") & F.col("_known").isNull() & F.col("if_match").isNotNull()).select("id", F.lit("conflict").alias("reason"))
+    old = update(docs, met.where(F.col("_good") & F.col("_known")).drop("_good", "_known"), now)
+    fresh = met.where(F.col("_good") & F.col("_known").isNull() & F.col("if_match").isNull())
+    value = lambda c, kind: (F.col(c) if c in writes.columns else F.lit(None)).cast(kind).alias(c)
+    at = F.date_trunc("second", now)
+    row = fresh.select(
+        "id", value("title", "string"), value("source", "string"), value("content_type", "string"), at.alias("captured_at"), at.alias("updated_at"),
+        value("tags", "array<string>"), merged_extra(F.col("extra") if "extra" in writes.columns else F.lit(None).cast("map<string,string>")).alias("extra"), F.coalesce("body", F.lit("")).alias("body"),
+    )
+    row = staged(_hashed(row).withColumn("path", hashing.doc_path(F.col("id"), F.col("captured_at"), text.slug(F.col("title")))), "created")
+    changes = row.select(F.lit("created").alias("kind"), "id", "path", "content_hash", F.col("updated_at").alias("occurred_at"))
+    return Written(old.docs.unionByName(row.select(*COLUMNS)), old.changes.unionByName(changes), old.conflicts.unionByName(bad).unionByName(lost))
+
+
 def delete(docs: DataFrame, asked: DataFrame, now: Column) -> Written:
     """Remove by id (and if_match, null: none); a deletion's change has neither path nor hash."""
     met = asked.select("id", "if_match").join(docs.select("id", "content_hash"), "id", "left")
@@ -201,6 +224,21 @@ def by_prefix(docs: DataFrame, prefix: str, newest_only: int = 500) -> DataFrame
     return newest(docs).limit(newest_only).where(F.col("id").startswith(prefix.upper()))
 
 
+def ids(docs: DataFrame, source_prefix: str | None = None) -> DataFrame:
+    """(id) of all documents, or of those whose source begins with ``source_prefix``."""
+    return (docs if source_prefix is None else docs.where(F.col("source").startswith(source_prefix))).select("id")
+
+
+def ids_of_paths(paths: DataFrame, docs: DataFrame) -> DataFrame:
+    """(path, id): which documents the paths of deleted files were; unknown paths are left out."""
+    return paths.select("path").distinct().join(docs.select("path", "id"), "path")
+
+
+def sample(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
+    """``n`` rows, the same for one seed: those of the smallest hashes, ties by key."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
 def response(docs: DataFrame) -> DataFrame:
     """Documents under both sets of names that clients use."""
     return docs.select("*", F.col("content_type").alias("type"), F.col("captured_at").alias("captured"), F.col("updated_at").alias("updated"))
@@ -214,6 +252,13 @@ def duplicate_sources(docs: DataFrame) -> DataFrame:
     return docs.where("source is not null").groupBy("source").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
 
 
+def duplicate_totals(docs: DataFrame) -> DataFrame:
+    """(n_docs, n_sources, n_repeated, n_extra): documents with a source, their sources, sources of several, and documents beyond each source's first."""
+    per = docs.where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per.agg(total("n").alias("n_docs"), F.count("*").alias("n_sources"), F.count_if(F.col("n") > 1).alias("n_repeated"), total(F.col("n") - 1).alias("n_extra"))
+
+
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """Documents without the later ones of their source."""
     dup = duplicate_sources(docs)
@@ -249,12 +294,42 @@ def asset_names(assets: DataFrame) -> DataFrame:
     return safe.withColumn("n", n).select("doc_id", "seq", "name", F.when(F.col("n") == 0, F.col("safe")).otherwise(F.concat(stem, F.lit("-"), F.col("n").cast("string"), suffix)).alias("stored"))
 
 
+#: Largest asset in bytes, and the reasons why one is not kept.
+ASSET_LIMIT = 25 * 2**20
+
+
+def add_assets(docs: DataFrame, assets: DataFrame, wanted: DataFrame, limit: int = ASSET_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """The asset table (doc_id, name, content, n_bytes) after ``wanted`` (doc_id, seq, name, content), and what was refused (doc_id, seq, reason).
+
+    Names are made safe; one that the document has already, here or from before, gets the next free number. Refused
+    are assets of unknown documents and of more than ``limit`` bytes.
+    """
+    met = wanted.join(docs.select(F.col("id").alias("doc_id"), F.lit(True).alias("known")), "doc_id", "left").withColumn("n_bytes", F.octet_length("content"))
+    reason = F.when(F.col("known").isNull(), "not found").when(F.col("n_bytes") > limit, "too large")
+    met = staged(met.withColumn("reason", reason), "assets")
+    old = assets.select("doc_id", F.lit(None).cast("bigint").alias("seq"), "name", F.lit(0).alias("turn"))
+    new = met.where("reason is null").select("doc_id", F.col("seq").cast("bigint").alias("seq"), "name", F.lit(1).alias("turn"))
+    # Old names keep their place: they come first and are numbered as they are stored.
+    safe = old.unionByName(new).withColumn("safe", text.safe_asset_name(F.col("name")))
+    stem, suffix = F.regexp_replace("safe", r"\.[^.]*$", ""), F.regexp_extract("safe", r"(\.[^.]*)$", 1)
+    base = F.when(F.col("turn") == 0, F.concat(F.regexp_replace(stem, r"-\d+$", ""), suffix)).otherwise(F.col("safe"))
+    number = F.when(F.col("turn") == 0, F.coalesce(F.expr("try_cast(nullif(regexp_extract(safe, '-([0-9]+)([.][^.]*)?$', 1), '') as int)"), F.lit(0)))
+    last = F.max("number").over(Window.partitionBy("doc_id", "base"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "base", "turn").orderBy("seq", "name")) - 1
+    taken = safe.withColumn("base", base).withColumn("number", number).withColumns({"last": last, "r": turn}).where("turn = 1").withColumn("k", F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("r"))
+    stored = F.when(F.col("k") == 0, F.col("safe")).otherwise(F.concat(stem, F.lit("-"), F.col("k").cast("string"), suffix))
+    added = met.where("reason is null").withColumn("seq", F.col("seq").cast("bigint")).drop("name").join(taken.select("doc_id", "seq", stored.alias("name")), ["doc_id", "seq"])
+    columns = ["doc_id", "name", "content", "n_bytes"]
+    return assets.select(*columns).unionByName(added.select(*columns)), met.where("reason is not null").select("doc_id", "seq", "reason")
+
+
 def backup(docs: DataFrame, path: str) -> DataFrame:
     """Write a snapshot to ``path`` and return its manifest (n_docs, digest): the digest does not depend on the order of rows."""
     docs.write.mode("errorifexists").parquet(path)
     saved = docs.sparkSession.read.parquet(path)
     row_hash = F.xxhash64("id", "content_hash", "body_hash")
-    return saved.agg(F.count("*").alias("n_docs"), F.hex(F.bit_xor(row_hash)).alias("digest"))
+    # A sum: two equal rows count twice, where exclusive or would cancel them.
+    return saved.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(row_hash.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"))
 
 
 # Change log ----------------------------------------------------------------------------------------

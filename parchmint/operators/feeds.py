@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchmint.staging import staged
+
 
 def preview(entries: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:
     """Entries (url, pos, ...) with ``status`` new or skip and the ``doc_id`` that has the source already.
@@ -31,6 +33,47 @@ def sync_report(results: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.when((F.col("failed") > 0) & (F.col("captured") == 0), "failed").otherwise("ok"))
 
 
+def entry_writes(entries: DataFrame, feeds: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Writes (seq, body, title, source, content_type, captured_at, tags, extra) of feed entries whose pages were extracted.
+
+    ``entries`` (feed_id, pos, url, title, author, published_at, is_video), ``extracted`` (url, title, content_markdown,
+    content_type, author, refused). The entry's title and author stand in for missing ones, tags are the feed's,
+    the time of capture is that of publication.
+    """
+    of_feed = feeds.select(F.col("id").alias("feed_id"), F.col("tags").alias("feed_tags"), F.col("name").alias("feed_name"))
+    page = extracted.select("url", F.col("title").alias("p_title"), "content_markdown", F.col("content_type").alias("p_type"), F.col("author").alias("p_author"), "refused")
+    met = entries.join(page, "url").join(F.broadcast(of_feed), "feed_id", "left").where(~F.coalesce("refused", F.lit(False)) & F.col("content_markdown").isNotNull())
+    author = F.coalesce(F.nullif("p_author", F.lit("")), F.nullif("author", F.lit("")), "feed_name")
+    extra = F.map_filter(F.create_map(F.lit("feed_id"), F.col("feed_id"), F.lit("author"), author), lambda k, v: v.isNotNull())
+    return met.select(
+        F.col("pos").cast("bigint").alias("seq"), F.col("content_markdown").alias("body"), F.coalesce(F.nullif("p_title", F.lit("")), "title").alias("title"), F.col("url").alias("source"),
+        F.coalesce("p_type", F.when(F.col("is_video"), "video").otherwise("article")).alias("content_type"), F.col("published_at").alias("captured_at"), F.col("feed_tags").alias("tags"), extra.alias("extra"),
+    )
+
+
+def sync(feeds: DataFrame, entries: DataFrame, docs: DataFrame, extract, write, now: Column, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One sync of all enabled feeds: (registry, report).
+
+    ``entries`` are those of the feeds that could be read; ``extract`` takes new entries and returns their pages (url, title,
+    content_markdown, content_type, author, refused), ``write`` takes writes. A page that is missing or refused fails its
+    entry only; a feed without entries is ok with nothing captured. The report is that of :func:`sync_report` for every enabled feed, with an ``error``.
+    """
+    active = due(feeds).select(F.col("id").alias("feed_id"))
+    seen = staged(preview(entries.join(active, "feed_id", "left_semi"), docs, limit), "preview")
+    fresh = seen.where("status = 'new'").drop("status", "doc_id")
+    got = staged(extract(fresh), "extracted")
+    writes = staged(entry_writes(fresh, feeds, got), "entry_writes")
+    write(writes)
+    done = writes.select(F.col("source").alias("url"), F.lit(True).alias("done")).distinct()
+    outcome = F.when(F.col("status") == "skip", "skipped").when(F.col("done"), "captured").otherwise("failed")
+    results = seen.join(done, "url", "left").select("feed_id", outcome.alias("outcome"))
+    report = active.join(sync_report(results), "feed_id", "left").select(
+        "feed_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("captured", "skipped", "failed")], F.coalesce("status", F.lit("ok")).alias("status")
+    )
+    report = staged(report.withColumn("error", F.when(F.col("status") == "failed", F.concat(F.col("failed").cast("string"), F.lit(" entries failed")))), "report")
+    return synced(feeds, report, now), report
+
+
 def register(feeds: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     """The registry after registering (id, url, name, tags): one row an address, tags united and sorted, a name only replaced by one."""
     asked = wanted.groupBy("url").agg(F.min("id").alias("new_id"), F.max("name").alias("new_name"), F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>")))).alias("new_tags"))

@@ -9,6 +9,32 @@ from pyspark.sql import functions as F
 ERROR_LENGTH = 2000
 
 
+#: Workers, seconds a job may take, seconds between looks at an empty queue, and seconds to finish in after a stop; with their bounds.
+WORKERS, TIMEOUT, IDLE, GRACE = (1, 1, 8), (90, 10, 600), 1.0, 25.0
+
+
+def clamped(value: int | None, bounds: tuple[int, int, int]) -> int:
+    """A setting within its bounds, or its default."""
+    default, least, most = bounds
+    return default if value is None else max(least, min(most, value))
+
+
+def enqueue(jobs: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """The queue with new jobs (id, url, persist, frontmatter, html, fallback_title); an id that is there already is left alone."""
+    value = {"status": F.lit("queued"), "created_at": now, "attempts": F.lit(0)}
+    fresh = wanted.dropDuplicates(["id"]).join(jobs.select("id"), "id", "left_anti")
+    given = [F.col(c) if c in wanted.columns else value.get(c, F.lit(None)) for c in jobs.columns]
+    return jobs.unionByName(fresh.select(*[g.cast(jobs.schema[c].dataType).alias(c) for g, c in zip(given, jobs.columns)]))
+
+
+def expired(jobs: DataFrame, now: Column, timeout: int | None = None) -> DataFrame:
+    """The queue after jobs that ran longer than ``timeout`` seconds, 90 unless said, failed."""
+    seconds = clamped(timeout, TIMEOUT)
+    late = (F.col("status") == "running") & (F.col("started_at") < now - F.make_dt_interval(secs=F.lit(float(seconds))))
+    changed = {"error": F.when(late, F.lit(f"timed out after {seconds} s")).otherwise(F.col("error")), "completed_at": F.when(late, now).otherwise(F.col("completed_at")), "status": F.when(late, "failed").otherwise(F.col("status"))}
+    return jobs.withColumns(changed)
+
+
 def claimable(jobs: DataFrame, n: int) -> DataFrame:
     """The ``n`` queued jobs that are next, oldest first, ties by id."""
     return jobs.where("status = 'queued'").orderBy("created_at", "id").limit(n)

@@ -1,6 +1,6 @@
 """Full-text search over sections: an inverted index as a table, three query modes, BM25.
 
-The index is ordinary data: ``postings`` (term, doc_id, ord, positions by column) and the lengths of
+The index is ordinary data in segments: ``postings`` (term, doc_id, ord, positions by column) and the
 sections. A search reads the postings of its terms only, which is a pushed-down filter on files
 written in term order, aggregates them by section, evaluates the query's boolean tree as one
 expression and keeps the best k with ``TakeOrderedAndProject``. The query is parsed on the driver.
@@ -12,18 +12,20 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from parchmint.functions.text import fold, tokens
-from parchmint.staging import shared_dir, spread, staged
+from parchmint.staging import is_small, new_path, scratch, shared_dir, spread, staged
 
 # Words a query of mode "any" does without, and BM25's constants.
-STOPWORDS = "a an and or the of in on at to for is are be with as by from this that it i you".split()
+STOPWORDS = ["a", "an", "and", "or", "the", "of", "in", "on", "at", "to", "for", "is", "are", "be", "with", "as", "by", "from", "this", "that", "it", "i", "you"]
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 #: Characters with a meaning in the query syntax; plain modes take them as spaces.
@@ -65,8 +67,10 @@ class Node:
 
 
 def words_of(spark: SparkSession, text: str) -> list[str]:
-    """A query's tokens, by the index's own tokenizer, so that both fold alike."""
-    return list(spark.range(1).select(tokens(F.lit(text)).alias("t")).first()["t"])
+    """A query's tokens, by the index's own tokenizer, so that both fold alike; a local relation, for which no job is started."""
+    if text.isascii():
+        return re.findall(r"[a-z0-9]+", text.lower())
+    return list(spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t")).alias("t")).collect()[0]["t"])
 
 
 class Parser:
@@ -244,38 +248,102 @@ def phrases_of(tree) -> list[Phrase]:
 # The index -----------------------------------------------------------------------------------------
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, ord, tokens of the title, tokens of the body) to one row for each term of a section, with its places; a section's terms stand in its row, so nothing is shuffled."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            lists = [pa.concat_arrays([part.column(k)]) for k in (2, 3)]
+            counts = [np.diff(x.offsets.to_numpy()) for x in lists]
+            coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            codes, terms = coded.indices.to_numpy(), coded.dictionary
+            n_terms, split = max(len(terms), 1), int(counts[0].sum())
+            keys, places = [], []
+            for own, count in ((codes[:split], counts[0]), (codes[split:], counts[1])):
+                section = np.repeat(np.arange(part.num_rows), count)
+                starts = np.repeat(np.cumsum(count) - count, count)
+                key = section * n_terms + own
+                order = np.argsort(key, kind="stable")
+                keys.append(key[order])
+                places.append((np.arange(len(key)) - starts)[order])
+            every = np.union1d(*keys)
+            if not len(every):
+                continue
+            found = []
+            for key, place in zip(keys, places):
+                offsets = np.r_[np.searchsorted(key, every), len(key)].astype(np.int32)
+                found.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32))))
+            row = pa.array(every // n_terms)
+            n_tokens = pa.array((counts[0] + counts[1]).astype(np.int32)).take(row)
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(every % n_terms)), part.column(0).take(row), part.column(1).take(row), n_tokens, *found], ["term", "doc_id", "ord", "n_tokens", "pos_title", "pos_body"])
+
+
+#: So many segments an index has before they are merged into one.
+MOST_SEGMENTS = 8
+#: Row groups of sections are small, so that the few that hold a result are read.
+SECTION_GROUP = 4 * 2**20
+
+
 @dataclass
 class SearchIndex:
-    """``postings`` (term, doc_id, ord, pos_title, pos_body, n_tokens) and ``sections`` (doc_id, ord, title, path, body, n_tokens)."""
+    """``postings`` (term, doc_id, ord, n_tokens, pos_title, pos_body) and ``sections`` (doc_id, ord, title, path, body, n_tokens).
+
+    An index is a list of segments, each written once. A change adds a segment, and the ids it concerns count as
+    gone in the older ones; when the segments are many they are merged.
+    """
 
-    postings: DataFrame
-    sections: DataFrame
+    segments: list[tuple[DataFrame, DataFrame]]
+    #: (doc_id, before): documents that are gone from the segments before a number.
+    gone: DataFrame | None = None
     _totals: tuple[int, float] | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, sections: DataFrame, path: str | None = None) -> SearchIndex:
         """Index sections (doc_id, ord, title, path, body), at ``path`` or in the shared folder.
 
-        Postings are written in term order, so that a search skips the files without its terms.
+        Postings are written in term order, so that a search skips the files without its terms; sections in order of
+        document within each file, in small row groups.
         """
         spark = sections.sparkSession
         rows = spread(sections).select("doc_id", "ord", F.coalesce("title", F.lit("")).alias("title"), "path", F.coalesce("body", F.lit("")).alias("body"))
         counted = rows.withColumns({"t_title": tokens(F.col("title")), "t_body": tokens(F.col("body"))})
+        id_type = rows.schema["doc_id"].dataType.simpleString()
+        posting = counted.select("doc_id", F.col("ord").cast("int").alias("ord"), "t_title", "t_body").mapInArrow(_postings, f"term string, doc_id {id_type}, ord int, n_tokens int, pos_title array<int>, pos_body array<int>")
         kept = counted.select("doc_id", "ord", "title", "path", "body", (F.size("t_title") + F.size("t_body")).alias("n_tokens"))
-        both = counted.select("doc_id", "ord", (F.size("t_title") + F.size("t_body")).alias("n_tokens"), F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("t_title").alias("t")), F.struct(F.lit(1).alias("c"), F.col("t_body").alias("t")))).alias("x"))
-        placed = both.select("doc_id", "ord", "n_tokens", F.col("x.c").alias("c"), F.posexplode("x.t").alias("pos", "term"))
-        posting = placed.groupBy("term", "doc_id", "ord", "n_tokens").agg(
-            F.array_sort(F.collect_list(F.when(F.col("c") == 0, F.col("pos")))).alias("pos_title"), F.array_sort(F.collect_list(F.when(F.col("c") == 1, F.col("pos")))).alias("pos_body")
-        )
-        if path is None:
-            return cls(staged(posting.repartitionByRange("term", "doc_id").sortWithinPartitions("term"), "postings"), staged(kept, "sections"))
-        posting.repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        kept.write.mode("overwrite").parquet(f"{path}/sections")
-        return cls.load(spark, path)
+        # Staged before it is ordered, as range partitioning samples its input.
+        return cls._written(spark, staged(posting, "unordered"), kept, path)
+
+    @classmethod
+    def _written(cls, spark: SparkSession, posting: DataFrame, kept: DataFrame, path: str | None) -> SearchIndex:
+        path = path or new_path(spark, "index")
+        posting.repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/postings")
+        kept.sortWithinPartitions("doc_id", "ord").write.option("compression", "zstd").option("parquet.block.size", SECTION_GROUP).mode("overwrite").parquet(f"{path}/sections")
+        return cls([(spark.read.schema(posting.schema).parquet(f"{path}/postings"), spark.read.schema(kept.schema).parquet(f"{path}/sections"))])
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SearchIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sections"))
+        return cls([(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sections"))])
+
+    def _living(self, side: int) -> DataFrame:
+        parts = []
+        for number, segment in enumerate(self.segments):
+            rows = segment[side]
+            if self.gone is not None and number < len(self.segments) - 1:
+                rows = rows.join(F.broadcast(self.gone.where(F.col("before") > number).select("doc_id").distinct()) if self._few_gone else self.gone.where(F.col("before") > number).select("doc_id").distinct(), "doc_id", "left_anti")
+            parts.append(rows.select(*self.segments[0][side].columns))
+        return reduce(DataFrame.unionByName, parts)
+
+    @cached_property
+    def _few_gone(self) -> bool:
+        return is_small(self.gone, 500_000)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._living(0)
+
+    @property
+    def sections(self) -> DataFrame:
+        return self._living(1)
 
     def totals(self) -> tuple[int, float]:
         """Number of sections and their average length."""
@@ -286,11 +354,15 @@ class SearchIndex:
 
     def replaced(self, changed: DataFrame, new_sections: DataFrame) -> SearchIndex:
         """The index after the documents of ``changed`` (doc_id) got ``new_sections`` (none: they are gone)."""
-        fresh = SearchIndex.build(new_sections)
-        gone = changed.select("doc_id").distinct()
-        return SearchIndex(
-            self.postings.join(gone, "doc_id", "left_anti").unionByName(fresh.postings), self.sections.join(gone, "doc_id", "left_anti").unionByName(fresh.sections)
-        )
+        fresh = SearchIndex.build(new_sections).segments[0]
+        gone = changed.select("doc_id").distinct().withColumn("before", F.lit(len(self.segments)))
+        gone = staged(gone if self.gone is None else self.gone.unionByName(gone).groupBy("doc_id").agg(F.max("before").alias("before")), "gone")
+        after = SearchIndex([*self.segments, fresh], gone)
+        return after.merged() if len(after.segments) > MOST_SEGMENTS else after
+
+    def merged(self) -> SearchIndex:
+        """The same index as one segment, without what is gone."""
+        return SearchIndex._written(self.segments[0][0].sparkSession, self.postings, self.sections, None)
 
     def doc_ids(self) -> DataFrame:
         return self.sections.select("doc_id").distinct()
@@ -354,8 +426,14 @@ class SearchIndex:
                     rows = rows.withColumns({f"s{i}_{name}": F.array().cast("array<int>") for i in own if f"s{i}_{name}" in starts})
 
         counts = [sum((F.size(f"s{i}_{name}") * (title_weight if name == "title" else body_weight) for name in p.columns), F.lit(0.0)) for i, p in enumerate(phrases)]
-        rows = staged(rows.select("doc_id", "ord", "n_tokens", *[c.alias(f"f{i}") for i, c in enumerate(counts)], *[f"any{i}" for i in range(len(phrases))]), "hits")
-        frequency = rows.agg(*[F.count_if(f"any{i}").alias(f"n{i}") for i in range(len(phrases))]).first()
+        rows = rows.select("doc_id", "ord", "n_tokens", *[c.alias(f"f{i}") for i, c in enumerate(counts)], *[f"any{i}" for i in range(len(phrases))])
+        if all(len(p.tokens) == 1 and not p.prefix and not p.first and p.columns == COLUMNS for p in phrases):
+            # A term's postings are its sections.
+            held = {r["term"]: r["n"] for r in self.postings.where(wanted).groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row a term of the query
+            frequency = {f"n{i}": held.get(p.tokens[0], 0) for i, p in enumerate(phrases)}
+        else:
+            rows = staged(rows, "hits")
+            frequency = rows.agg(*[F.count_if(f"any{i}").alias(f"n{i}") for i in range(len(phrases))]).first()
 
         idf = [max(math.log((n_rows - frequency[f"n{i}"] + 0.5) / (frequency[f"n{i}"] + 0.5)), LEAST_IDF) if n_rows else 0.0 for i in range(len(phrases))]
         norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.lit(average or 1.0))
@@ -385,9 +463,15 @@ class SearchIndex:
         """(doc_id, section_title, section_path, snippet, score): the best sections, ties by doc_id and order."""
         if not 1 <= limit <= 1000:
             raise SearchError("limit must be from 1 to 1000")
-        tree = compile_query(query, mode, lambda t: words_of(self.sections.sparkSession, t))
-        best = self.matches(tree).orderBy("score", "doc_id", "ord").limit(limit)
-        rows = self.sections.join(F.broadcast(best), ["doc_id", "ord"])
+        spark = self.segments[0][0].sparkSession
+        tree = compile_query(query, mode, lambda t: words_of(spark, t))
+        with scratch(spark):
+            best = self.matches(tree).orderBy("score", "doc_id", "ord").limit(limit)
+            schema, best = best.schema, best.collect()  # at most ``limit`` rows
+        hits = F.broadcast(spark.createDataFrame(best, schema))
+        # The ids reach the scan, which reads the row groups that may have them.
+        few = self.sections.where(F.col("doc_id").isin([r["doc_id"] for r in best]))
+        rows = few.join(hits, ["doc_id", "ord"])
         asked = F.array(*[F.lit(t) for t in sorted({t for p in phrases_of(tree) for t in p.tokens})])
         return rows.orderBy("score", "doc_id", "ord").select("doc_id", F.nullif("title", F.lit("")).alias("section_title"), F.col("path").alias("section_path"), snippet(F.col("body"), asked).alias("snippet"), "score")
 

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchmint.sources.fetch import with_retries
+from parchmint.staging import spread
+
 #: Query vectors that are compared at once; a block is what tasks receive.
 BLOCK = 2048
 
@@ -53,62 +56,81 @@ def knn(vectors: DataFrame, query: list[float], limit: int, metric: str = "l2",
     return sized.withColumn("score", distance(v, q)).orderBy("score", id_col).limit(limit)
 
 
-def _nearest(block, limit: int, metric: str):
+def _packed(size: int):
+    """Rows (id, vector, group) to rows (ids, flat, groups) of up to ``size`` vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches, size):
+            ids, v = table.column(0).combine_chunks(), table.column(1).combine_chunks()
+            flat = v.flatten().cast(pa.float64())
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([whole(ids), whole(flat), whole(table.column(2).combine_chunks())], ["ids", "flat", "groups"])
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    held, rows = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, size - rows)
+            held.append(part)
+            rows, at = rows + part.num_rows, at + part.num_rows
+            if rows == size:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _nearest(limit: int, metric: str, apart: bool):
+    """Rows (query_ids, queries, ids, vectors, query_groups, groups), one block of each, to the nearest ``limit`` vectors of each query."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = block.value
-        qn = (q**2).sum(1)
         for batch in batches:
-            rows = batch.num_rows
-            if not rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            v = flat.reshape(rows, -1)
-            products = q @ v.T
-            if metric == "l2":
-                d = np.sqrt(np.maximum(qn[:, None] + (v**2).sum(1)[None] - 2 * products, 0))
-            else:
-                norms = np.sqrt(qn)[:, None] * np.sqrt((v**2).sum(1))[None]
-                d = np.where(norms > 0, 1 - products / np.where(norms > 0, norms, 1), 1.0)
-            # Ties at the edge must survive until ids decide them.
-            edge = np.partition(d, min(limit, rows) - 1, axis=1)[:, min(limit, rows) - 1]
-            at_q, at_v = np.nonzero(d <= edge[:, None] + 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at_q]), batch.column(0).take(pa.array(at_v)), pa.array(d[at_q, at_v])], ["query_id", "id", "score"])
+            for k in range(batch.num_rows):
+                asked, ids = batch.column(0)[k].values, batch.column(2)[k].values
+                q = batch.column(1)[k].values.to_numpy().reshape(len(asked), -1)
+                v = batch.column(3)[k].values.to_numpy().reshape(len(ids), -1)
+                qn, vn = (q**2).sum(1), (v**2).sum(1)
+                products = q @ v.T
+                if metric == "l2":
+                    d = np.sqrt(np.maximum(qn[:, None] + vn[None] - 2 * products, 0))
+                else:
+                    norms = np.sqrt(qn)[:, None] * np.sqrt(vn)[None]
+                    d = np.where(norms > 0, 1 - products / np.where(norms > 0, norms, 1), 1.0)
+                if apart:
+                    codes = pa.concat_arrays([batch.column(4)[k].values, batch.column(5)[k].values]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                    d[codes[: len(asked), None] == codes[None, len(asked) :]] = np.inf
+                # Ties at the edge must survive until ids decide them.
+                last = min(limit, len(ids)) - 1
+                edge = np.partition(d, last, axis=1)[:, last]
+                at_q, at_v = np.nonzero((d <= edge[:, None] + 1e-9) & np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(at_q)), ids.take(pa.array(at_v)), pa.array(d[at_q, at_v])], ["query_id", "id", "score"])
 
     return run
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, limit: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): for every query row its ``limit`` nearest rows of ``vectors``, itself excepted.
+def knn_join(vectors: DataFrame, queries: DataFrame, limit: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = 20_000, apart: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): for every query row its ``limit`` nearest rows of ``vectors``, itself excepted, and those with the same value of the column ``apart``.
 
-    Queries are taken in blocks of :data:`BLOCK` rows, so a task holds one block and one batch;
-    each batch keeps its best, which are ranked after one shuffle by query.
+    Queries are packed into blocks of :data:`BLOCK` rows and vectors into chunks of ``chunk``; the plan pairs blocks
+    with chunks, whatever the number of either, so a task holds one of each. Each pair keeps its best, which
+    are ranked after one shuffle by query.
     """
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    schema = f"query_id {asked.schema[0].dataType.simpleString()}, id {rows.schema[0].dataType.simpleString()}, score double"
-    found = None
-    for ids, q in _blocks(asked):
-        block = spark.sparkContext.broadcast((ids, q))
-        part = rows.mapInArrow(_nearest(block, limit + 1, metric), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    group = F.col(apart) if apart else F.lit(0)
+    pick = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), group.alias("g"))
+    rows, asked = spread(pick(vectors)), pick(queries)
+    kinds = lambda df: f"ids array<{df.schema[0].dataType.simpleString()}>, flat array<double>, groups array<{df.schema[2].dataType.simpleString()}>"
+    blocks = asked.mapInArrow(_packed(BLOCK), kinds(asked)).withColumnsRenamed({"ids": "query_ids", "flat": "queries", "groups": "query_groups"})
+    chunks = rows.mapInArrow(_packed(chunk), kinds(rows)).withColumnRenamed("flat", "vectors")
+    paired = blocks.crossJoin(chunks).select("query_ids", "queries", "ids", "vectors", "query_groups", "groups")
+    found = paired.mapInArrow(_nearest(limit + 1, metric, apart is not None), f"query_id {asked.schema[0].dataType.simpleString()}, id {rows.schema[0].dataType.simpleString()}, score double")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9), "id")
     return found.where("query_id <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def _blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list = []
-    for row in asked.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == BLOCK:
-            yield np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
-            held = []
-    if held:
-        yield np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
-
-
 def centroids(vectors: DataFrame, key: str = "doc_id", vector_col: str = "embedding") -> DataFrame:
     """(key, centroid): the mean of a key's vectors at unit length; keys without vectors are not there.
 
@@ -121,11 +143,11 @@ def centroids(vectors: DataFrame, key: str = "doc_id", vector_col: str = "embedd
 
 
 def related(vectors: DataFrame, doc_id: str, limit: int = 20, metric: str = "l2") -> DataFrame:
-    """The sections nearest to a document's centroid, its own dropped after a slightly larger search."""
+    """The ``limit`` sections nearest to a document's centroid that are not its own."""
     own = centroids(vectors.where(F.col("doc_id") == doc_id)).first()
     if own is None:
         raise LookupError(f"{doc_id} has no vectors")
-    return knn(vectors, own["centroid"], limit + 8, metric).where(F.col("doc_id") != doc_id).orderBy("score", "doc_id").limit(limit)
+    return knn(vectors.where(F.col("doc_id") != doc_id), own["centroid"], limit, metric)
 
 
 def fused(first: DataFrame, second: DataFrame, limit: int = 20, k: int = 60) -> DataFrame:
@@ -158,15 +180,21 @@ class HashingEmbedder:
         return out / np.where(norms > 0, norms, 1)
 
 
-def embedded(rows: DataFrame, text: Column, embedder, batch: int = 100) -> DataFrame:
-    """``rows`` with ``embedding``, by an object whose ``embed`` takes a list of texts; in batches of ``batch`` texts."""
+def embedded(rows: DataFrame, text: Column, embedder, batch: int = 100, tries: int = 4, dimensions: int | None = None) -> DataFrame:
+    """``rows`` with ``embedding``, by an object whose ``embed`` takes a list of texts; in batches of ``batch`` texts, each tried again if it fails.
+
+    Vectors of another length than ``dimensions`` (null: any) are an error.
+    """
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
-                v = np.asarray(embedder.embed([t or " " for t in part.column(len(names)).to_pylist()]), np.float32)
+                texts = [t or " " for t in part.column(len(names)).to_pylist()]
+                v = np.asarray(with_retries(lambda texts=texts: embedder.embed(texts), tries), np.float32)
+                if v.ndim != 2 or len(v) != len(texts) or dimensions not in (None, v.shape[1]):
+                    raise ValueError(f"vectors of shape {v.shape} for {len(texts)} texts")
                 offsets = pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], [*names, "embedding"])
 

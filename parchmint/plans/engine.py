@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchmint.functions import pages, text, urls
-from parchmint.operators import documents, vectors
+from parchmint.functions import frontmatter, pages, text, urls
+from parchmint.operators import classify, documents, feeds, jobs, vectors
 from parchmint.operators.search import SearchError, SearchIndex
 from parchmint.operators.sections import sections_of
 from parchmint.staging import staged
@@ -50,7 +50,7 @@ class VaultEngine:
         sections = sections_of(self.docs)
         vec = None
         if self.embedder is not None:
-            vec = staged(vectors.embedded(sections.select("doc_id", "ord", "title", "path", "body"), text.truncated_for_embedding(text.section_text(F.col("path"), F.col("title"), F.col("body"))), self.embedder), "vectors")
+            vec = staged(_embedded(sections, self.embedder), "vectors")
         return VaultEngine(self.spark, self.docs, SearchIndex.build(sections), vec, self.embedder, self.rerank)
 
     # Documents
@@ -69,15 +69,54 @@ class VaultEngine:
     def delete(self, asked: DataFrame, now: Column | None = None) -> documents.Written:
         return documents.delete(self.docs, asked, F.current_timestamp() if now is None else now)
 
+    def upsert(self, writes: DataFrame, now: Column | None = None) -> documents.Written:
+        return documents.upsert(self.docs, writes, F.current_timestamp() if now is None else now)
+
+    def raw_document(self, doc_id: str) -> str:
+        """A document as its file has it: metadata, then body."""
+        return self.docs.where(F.col("id") == documents.get(self.docs, doc_id)["id"]).select(frontmatter.file_text(*frontmatter.FILE_COLUMNS).alias("text")).first()["text"]
+
     def capture(self, rows: DataFrame) -> DataFrame:
-        """Pages (url, html, fallback_title) as captures; ``refused`` marks walls and empty pages, ``route`` the extractor."""
+        """Pages (url, html, fallback_title) as captures; ``refused`` marks walls and empty pages, ``route`` the extractor.
+
+        Of optional columns, ``persist`` (null: true) is passed on, and ``frontmatter``, a map, overrides what was extracted:
+        title, source, type and tags (separated by commas); a blank title, source or type is as if it were not there.
+        """
         made = rows.withColumn("c", pages.article(F.col("html"), F.col("url"), F.col("fallback_title")))
         stub = urls.is_video(F.col("url"))
+        front = F.col("frontmatter") if "frontmatter" in rows.columns else F.create_map().cast("map<string,string>")
+        given = lambda key: F.nullif(F.trim(front[key]), F.lit(""))
+        tags = F.when(front["tags"].isNotNull(), F.filter(F.transform(F.split(front["tags"], ","), lambda t: F.trim(t)), lambda t: t != "")).otherwise(F.array().cast("array<string>"))
+        known = ["title", "source", "type", "tags"]
         return made.select(
-            "url", F.col("c.title").alias("title"), F.when(stub, pages.video_stub(F.col("html"))).otherwise(F.col("c.content_markdown")).alias("content_markdown"),
-            F.when(stub, "video").otherwise("article").alias("content_type"), F.when(stub, F.lit(False)).otherwise(F.col("c.refused")).alias("refused"), urls.route(F.col("url"), F.col("html").isNotNull()).alias("route"),
+            "url", F.coalesce(given("title"), F.col("c.title")).alias("title"), F.when(stub, pages.video_stub(F.col("html"))).otherwise(F.col("c.content_markdown")).alias("content_markdown"),
+            F.coalesce(given("type"), F.when(stub, "video").otherwise("article")).alias("content_type"), F.when(stub, F.lit(False)).otherwise(F.col("c.refused")).alias("refused"), urls.route(F.col("url"), F.col("html").isNotNull()).alias("route"),
+            F.coalesce(given("source"), F.col("url")).alias("source"), tags.alias("tags"), F.map_filter(front, lambda k, v: ~k.isin(known)).alias("extra"),
+            (F.coalesce("persist", F.lit(True)) if "persist" in rows.columns else F.lit(True)).alias("persist"),
         )
 
+    def captured(self, rows: DataFrame, now: Column | None = None) -> documents.Written:
+        """Capture pages and write those that are to be kept and were not refused."""
+        kept = staged(self.capture(rows).where("persist and not refused"), "captures")
+        writes = kept.select(F.monotonically_increasing_id().alias("seq"), F.col("content_markdown").alias("body"), "title", "source", "content_type", F.lit(None).cast("timestamp").alias("captured_at"), "tags", "extra")
+        return self.create(writes, now)
+
+    def add_assets(self, assets: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return documents.add_assets(self.docs, assets, wanted)
+
+    # Feeds and jobs
+    def sync_feeds(self, registry: DataFrame, entries: DataFrame, extract: Callable, write: Callable, now: Column | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+        return feeds.sync(registry, entries, self.docs, extract, write, F.current_timestamp() if now is None else now, limit)
+
+    def preview_feed(self, entries: DataFrame, limit: int | None = None) -> DataFrame:
+        return feeds.preview(entries, self.docs, limit)
+
+    def queue_depth(self, queue: DataFrame) -> DataFrame:
+        return jobs.depth(queue)
+
+    def jobs(self, queue: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
+        return jobs.listed(queue, status, limit)
+
     # Search
     def search(self, query: str, limit: int = 20, mode: str = "any") -> DataFrame:
         """Sections by words (any, substring, fts), by meaning (semantic) or both (hybrid, by words alone without vectors)."""
@@ -115,7 +154,9 @@ class VaultEngine:
         found = self._hybrid(query, pool, pool)
         w = Window.partitionBy(F.lit(0)).orderBy("score", "doc_id", F.array_join("section_path", "\x1f"))
         candidates = staged(found.withColumn("pos", F.row_number().over(w) - 1), "candidates")
-        bodies = self.index.sections.groupBy("doc_id", "path").agg(F.max_by("body", "ord").alias("body"))
+        # Only the candidates' documents are looked up, at most a pool of them.
+        ids = [r["doc_id"] for r in candidates.select("doc_id").distinct().collect()]
+        bodies = self.index.sections.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "path").agg(F.max_by("body", "ord").alias("body"))
         texts = candidates.join(bodies, (candidates["doc_id"] == bodies["doc_id"]) & (candidates["section_path"] == bodies["path"]), "left").select(
             "pos", "section_title", "section_path", F.substring(F.coalesce(F.nullif("body", F.lit("")), "snippet"), 1, 600).alias("text")
         )
@@ -144,21 +185,59 @@ class VaultEngine:
 
     # Upkeep
     def stats(self) -> DataFrame:
-        return documents.stats(self.docs, F.length("body"))
+        return documents.stats(self.docs, F.octet_length("body"))
+
+    def integrity(self, pointers: DataFrame) -> DataFrame:
+        return documents.integrity(self.docs, pointers)
+
+    def backup(self, path: str) -> DataFrame:
+        return documents.backup(self.docs, path)
+
+    def reindexed(self, force: bool = False) -> VaultEngine:
+        """The engine with indexes: made anew if ``force``, else only where there are none."""
+        if not force and self.index is not None and (self.vectors is not None or self.embedder is None):
+            return self
+        return self.rebuilt()
+
+    def retrain(self, examples: DataFrame, holdout: DataFrame, path: str, force: bool = False) -> classify.Retrained:
+        return classify.retrain(examples, holdout, path, force)
+
+    def sinks(self) -> dict[str, Callable[[DataFrame, int], None]]:
+        """What :func:`parchmint.streaming.changes.follow` feeds: one sink that keeps this engine's indexes up to date."""
+
+        def index(changes: DataFrame, number: int) -> None:
+            after = self.apply_changes(changes)
+            self.index, self.vectors = after.index, after.vectors
+
+        return {"index": index}
 
     def apply_changes(self, changes: DataFrame) -> VaultEngine:
-        """The engine after the documents of ``changes`` (id, ...) changed: only their sections and vectors are made anew."""
-        ids = changes.select(F.col("id").alias("doc_id")).distinct()
-        fresh = sections_of(self.docs.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"))
-        index = None if self.index is None else self.index.replaced(ids, fresh)
+        """The engine after the documents of ``changes`` (id, ...) changed: only their sections are indexed anew.
+
+        Only documents whose sections' texts are others than before get new vectors.
+        """
+        ids = staged(changes.select(F.col("id").alias("doc_id")).distinct(), "changed")
+        fresh = staged(sections_of(self.docs.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")), "fresh_sections")
         vec = self.vectors
         if vec is not None:
-            vec = vec.join(ids, "doc_id", "left_anti").unionByName(
-                vectors.embedded(fresh.select("doc_id", "ord", "title", "path", "body"), text.truncated_for_embedding(text.section_text(F.col("path"), F.col("title"), F.col("body"))), self.embedder)
-            )
+            hashes = lambda df: df.select("doc_id", _section_hash().alias("content_hash"))
+            same = unchanged_sections(hashes(self.index.sections.join(ids, "doc_id", "left_semi")), hashes(fresh)) if self.index is not None else ids.where("false")
+            other = staged(ids.join(same, "doc_id", "left_anti"), "reembedded")
+            new = _embedded(fresh.join(other, "doc_id", "left_semi"), self.embedder)
+            vec = staged(vec.join(other, "doc_id", "left_anti").unionByName(new), "vectors")
+        index = None if self.index is None else self.index.replaced(ids, fresh)
         return VaultEngine(self.spark, self.docs, index, vec, self.embedder, self.rerank)
 
 
+def _section_hash() -> Column:
+    """What a section's vector depends on: its path, title and text."""
+    return F.sha2(F.concat_ws("\x1f", F.array_join("path", "\x1e"), F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))), 256)
+
+
+def _embedded(sections: DataFrame, embedder) -> DataFrame:
+    return vectors.embedded(sections.select("doc_id", "ord", "title", "path", "body"), text.truncated_for_embedding(text.section_text(F.col("path"), F.col("title"), F.col("body"))), embedder)
+
+
 def unchanged_sections(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id): documents whose sections' hashes (doc_id, content_hash) are the same set before and after, and not empty; they need no new vectors."""
     sets = [df.groupBy("doc_id").agg(F.array_sort(F.collect_set("content_hash")).alias(name)) for df, name in ((old, "a"), (new, "b"))]

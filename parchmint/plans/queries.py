@@ -131,7 +131,19 @@ def bm25_tree(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder, "((printer ferry) OR museum) NOT glacier", "fts")
 
 
-@query()
+def _near_places(one: str, other: str, distance: int) -> str:
+    places = lambda t: f"[i for i in range(1, len(w) + 1) if w[i] = '{t}']"
+    return f"len([x for x in {places(one)} if len([y for y in {places(other)} if abs(x - y) <= {distance + 1}]) > 0])"
+
+
+def _near_sql(one: str, other: str, distance: int) -> str:
+    """A word's rarity does not depend on its neighbours, its count does."""
+    gain = " + ".join(f"greatest(ln((rows - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * 2.2 * f{i} / (f{i} + 1.2 * (0.25 + 0.75 * n_tokens / average))" for i in range(2))
+    return f"""WITH {TOKENS}, c AS (SELECT doc_id, len(w) AS n_tokens, {_near_places(one, other, distance)} AS f0, {_near_places(other, one, distance)} AS f1, {_count(one)} AS a0, {_count(other)} AS a1 FROM d),
+    s AS (SELECT count(*) FILTER (a0 > 0) AS d0, count(*) FILTER (a1 > 0) AS d1 FROM c) SELECT doc_id, round(-({gain}), 6) AS score FROM c, s, n WHERE f0 > 0 AND f1 > 0"""
+
+
+@query(_near_sql("printer", "reservoir", 6))
 def bm25_near(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in which two words stand near each other."""
     return _scored(spark, folder, "NEAR(printer reservoir, 6)", "fts")
@@ -194,18 +206,16 @@ def doc_centroid(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {CENTROIDS}, c AS (SELECT label, list(CASE WHEN norm > 0 THEN m / norm ELSE m END ORDER BY pos) AS v FROM m JOIN l USING (label) GROUP BY label),
-    p AS (SELECT c.label AS label, e.label AS own, e.vec_id AS id, list_distance(c.v, e.embedding::DOUBLE[]) AS score FROM c, embeddings e),
-    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9), id) AS n FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n) AS rank FROM r WHERE n <= 208 AND own <> label)
-    SELECT label, id, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 200"""
+    p AS (SELECT c.label AS label, e.vec_id AS id, list_distance(c.v, e.embedding::DOUBLE[]) AS score FROM c JOIN embeddings e ON e.label <> c.label),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9), id) AS rank FROM p)
+    SELECT label, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200"""
 )
 def related_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """The vectors nearest to each label's centroid; the label's own are dropped after a slightly larger search."""
+    """The 200 vectors nearest to each label's centroid that are not its own."""
     e = table(spark, folder, "embeddings").where("embedding is not null")
-    asked = vectors.centroids(e, "label").select((-1 - F.col("label")).cast("bigint").alias("vec_id"), F.col("centroid").alias("embedding"))
-    near = vectors.knn_join(e, asked, 208).select((-1 - F.col("query_id")).alias("label"), "id", F.col("rank").alias("n"))
-    others = near.join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("own")), "id").where("own <> label")
-    w = Window.partitionBy("label").orderBy("n")
-    return others.withColumn("rank", F.row_number().over(w)).where("rank <= 200").select(F.col("label").cast("int"), "id", "rank")
+    asked = vectors.centroids(e, "label").select((-1 - F.col("label")).cast("bigint").alias("vec_id"), F.col("centroid").alias("embedding"), "label")
+    near = vectors.knn_join(e, asked, 200, apart="label")
+    return near.select((-1 - F.col("query_id")).cast("int").alias("label"), "id", "rank")
 
 
 @query(
@@ -552,10 +562,14 @@ def diff_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return classify.difference(_guesses(spark, folder), "label", "old", "new")
 
 
-@query()
+@query(
+    """WITH s AS (SELECT label, count(*) AS size, sum(count(*)) OVER () AS total FROM labeled GROUP BY label), q AS (SELECT label, greatest(1, CAST(round_even(100 * size / total, 0) AS BIGINT)) AS quota FROM s),
+    r AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || ':42'), row_id) AS n FROM labeled)
+    SELECT r.row_id, r.label, n <= quota AS held FROM r JOIN q ON r.label IS NOT DISTINCT FROM q.label"""
+)
 def stratified_holdout(spark: SparkSession, folder: str) -> DataFrame:
-    """A holdout of about a hundred examples with each label's share."""
-    return classify.stratified(table(spark, folder, "labeled"), 100).groupBy("label", "held").agg(F.count("*").alias("n"))
+    """A holdout of about a hundred examples with each label's share: every example, and whether it is held out."""
+    return classify.stratified(table(spark, folder, "labeled"), 100).select("row_id", "label", "held")
 
 
 @query()
@@ -603,11 +617,15 @@ def best_section_per_doc(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of the vault's operators by name."""
+    from parchmint.plans import upkeep_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The same in SQL, where SQL can."""
+    from parchmint.plans import upkeep_queries  # noqa: F401
+
     return dict(ORACLE)
 
 

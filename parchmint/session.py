@@ -18,6 +18,9 @@ SEMANTIC = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+#: Options that only save work: sessions of a busy key are merged before they are shuffled.
+SAVING = {"spark.sql.sessionWindow.merge.sessions.in.local.partition": "true"}
+
 LOCAL = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -46,9 +49,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the options of :data:`SEMANTIC` on an existing session, ship the package, return the session."""
+    """Set the options of :data:`SEMANTIC` and :data:`SAVING` on an existing session, ship the package, return the session."""
     ship(spark)
-    for key, value in SEMANTIC.items():
+    for key, value in (SEMANTIC | SAVING).items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
