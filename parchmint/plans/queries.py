@@ -149,7 +149,29 @@ def bm25_near(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder, "NEAR(printer reservoir, 6)", "fts")
 
 
-@query()
+# Line by line: the open fence, and whether the line was a title's underline.
+_SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+SECTIONS = r"""WITH RECURSIVE t AS (SELECT doc_id, string_split(regexp_replace(text, '[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT doc_id, l, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS n FROM t),
+    s AS (SELECT doc_id, l, n, 0 AS i, '' AS fence, false AS skip, 0 AS level, '' AS title FROM k
+        UNION ALL
+        SELECT doc_id, l, n, i + 1,
+            CASE WHEN skip THEN fence WHEN fence = '' THEN regexp_extract(l[i + 1], '^\s*(```|~~~)', 1) WHEN starts_with(ltrim(l[i + 1], chr(9) || ' '), fence) THEN '' ELSE fence END,
+            NOT skip AND fence = '' AND NOT regexp_matches(l[i + 1], '^\s*(```|~~~)') AND NOT regexp_matches(l[i + 1], '^#{1,6}SP') AND regexp_matches(l[i + 1], '[^SQ]') AND i + 2 <= n AND regexp_matches(l[i + 2], '^(=+|-+)\s*$'),
+            CASE WHEN skip OR fence <> '' OR regexp_matches(l[i + 1], '^\s*(```|~~~)') THEN 0 WHEN regexp_matches(l[i + 1], '^#{1,6}SP') THEN length(regexp_extract(l[i + 1], '^(#{1,6})SP', 1))
+                WHEN regexp_matches(l[i + 1], '[^SQ]') AND i + 2 <= n AND regexp_matches(l[i + 2], '^=+\s*$') THEN 1 WHEN regexp_matches(l[i + 1], '[^SQ]') AND i + 2 <= n AND regexp_matches(l[i + 2], '^-+\s*$') THEN 2 ELSE 0 END,
+            CASE WHEN regexp_matches(l[i + 1], '^#{1,6}SP') THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(l[i + 1], '^#+', ''), '^SP+|SP+$', '', 'g'), '^#+$', ''), 'SP#+$', ''), '^SP+|SP+$', '', 'g') ELSE regexp_replace(l[i + 1], '^SP+|SP+$', '', 'g') END
+        FROM s WHERE i < n),
+    h AS (SELECT doc_id, i AS line, level, title, CASE WHEN regexp_matches(l[i], '^#{1,6}SP') THEN i + 1 ELSE i + 2 END AS starts, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ord FROM s WHERE level > 0),
+    a AS (SELECT doc_id, 0 AS ord, 0 AS level, CAST(NULL AS VARCHAR) AS title, 1 AS starts, 0 AS line FROM k UNION ALL SELECT doc_id, ord, level, title, starts, line FROM h),
+    b AS (SELECT a.*, coalesce(lead(line) OVER (PARTITION BY a.doc_id ORDER BY ord), k.n + 1) AS ends, k.n, k.l FROM a JOIN k USING (doc_id)),
+    o AS (SELECT x.doc_id, x.ord, count(*) AS open FROM h x, unnest(range(1, 7)) AS g(k), LATERAL (SELECT arg_max(y.level, y.ord) AS last FROM h y WHERE y.doc_id = x.doc_id AND y.ord < x.ord AND y.level <= g.k) z WHERE g.k < x.level AND z.last = g.k GROUP BY 1, 2)
+    SELECT b.doc_id, CAST(b.ord AS INTEGER) AS ord, CAST(b.level AS INTEGER) AS level, b.title, CAST(CASE WHEN b.level > 0 THEN 1 ELSE 0 END + coalesce(o.open, 0) AS INTEGER) AS depth,
+        CAST(coalesce(list_sum([length(x) + 1 for x in l[starts : ends - 1]]), 0) - CASE WHEN ends = n + 1 AND ends > starts AND len(l) = n THEN 1 ELSE 0 END AS INTEGER) AS n_chars
+    FROM b LEFT JOIN o ON o.doc_id = b.doc_id AND o.ord = b.ord""".replace("SP", f"[{_SPACES}]").replace("[^SQ]", f"[^{_SPACES}]")
+
+
+@query(SECTIONS)
 def section_explode(spark: SparkSession, folder: str) -> DataFrame:
     """The sections of every document: number, level, title, depth of path, length."""
     rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
@@ -454,7 +476,20 @@ def strip_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "captured_content").select("capture_id", "content_markdown")).select("capture_id", F.md5(text.strip_markdown(F.col("content_markdown"))).alias("plain")).distinct()
 
 
-@query()
+def _any_of(column: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in phrases) + ")"
+
+
+CLEAN = rf"""WITH c AS (SELECT DISTINCT capture_id, content_markdown AS m FROM captured_content WHERE content_type = 'newsletter'),
+    l AS (SELECT *, [x for x in string_split(m, chr(10)) if not {_any_of("lower(x)", text.PREHEADERS)}] AS l FROM c),
+    f AS (SELECT *, coalesce(list_position([{_any_of("lower(x)", text.FOOTERS)} for x in l], true), 0) AS f FROM l),
+    b AS (SELECT *, replace(regexp_replace(array_to_string(CASE WHEN f > 0 THEN l[1 : f - 1] ELSE l END, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(8203), '') AS b FROM f),
+    k AS (SELECT *, string_split(rtrim(b, ' '), chr(10)) AS k FROM b),
+    r AS (SELECT *, [trim(x, ' ') = '' OR regexp_matches(trim(x, ' '), '{text.ADDRESS}') OR starts_with(lower(trim(x, ' ')), '©') OR starts_with(lower(trim(x, ' ')), 'copyright') for x in k] AS r FROM k)
+    SELECT capture_id, CAST(length(m) AS INTEGER) AS n_before, CAST(CASE WHEN m IS NULL THEN NULL WHEN list_contains(r, false) THEN length(regexp_replace(array_to_string(k[1 : len(k) - list_position(list_reverse(r), false) + 1], chr(10)), '^\s+|\s+$', '', 'g')) ELSE 0 END AS INTEGER) AS n_after FROM r"""
+
+
+@query(CLEAN)
 def clean_newsletters(spark: SparkSession, folder: str) -> DataFrame:
     """Newsletters without their frame: characters before and after."""
     c = table(spark, folder, "captured_content").where("content_type = 'newsletter'").select("capture_id", "content_markdown").distinct()
@@ -464,11 +499,22 @@ def clean_newsletters(spark: SparkSession, folder: str) -> DataFrame:
 WALL = " OR ".join(f"contains(t, '{s.replace(chr(39), chr(39) * 2)}')" for s in pages.WALL_TITLES)
 
 
-@query(f"WITH c AS (SELECT DISTINCT capture_id, lower(trim(coalesce(title, ''))) AS t, trim(coalesce(content_markdown, '')) AS b FROM captured_content) SELECT capture_id FROM c WHERE {WALL} OR (t IN ('', 'untitled') AND length(b) < 400)")
+MISSES = " OR ".join(f"contains(t, '{p.replace(chr(39), chr(39) * 2)}') OR contains(lower(b), '{p.replace(chr(39), chr(39) * 2)}')" for p in pages.MIRROR_MISSES)
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT capture_id, lower(trim(coalesce(title, ''))) AS t, trim(coalesce(content_markdown, '')) AS b FROM captured_content)
+    SELECT capture_id FROM c WHERE CASE WHEN capture_id % 4 = 0 THEN {MISSES} OR capture_id % 8 = 0 ELSE capture_id % 4 = 1 OR {WALL} OR (t IN ('', 'untitled') AND length(b) < 400) END"""
+)
 def wall_detect(spark: SparkSession, folder: str) -> DataFrame:
-    """Captures that are walls by their title or a thin body."""
-    c = table(spark, folder, "captured_content").select("capture_id", "title", "content_markdown", "url").distinct()
-    return c.where(pages.is_wall(F.col("content_markdown"), F.col("title"), F.lit(None).cast("string"), F.col("url"))).select("capture_id")
+    """Captures that are walls by their title, a thin body, their markup (every fourth has a widget), or, as pages of a mirror, by another account."""
+    c = table(spark, folder, "captured_content").select("capture_id", "title", "content_markdown").distinct()
+    k = F.col("capture_id")
+    markup = F.when(k % 4 == 1, '<div class="g-recaptcha"></div>').otherwise("<p>text</p>")
+    mirror = k % 4 == 0
+    url = F.when(mirror, "https://nitter.net/alice/status/1").otherwise("https://a.example/x")
+    title = F.when(mirror & (k % 8 == 0), F.concat(F.lit("Bob (@bob)"), F.coalesce("title", F.lit("")))).otherwise(F.col("title"))
+    return c.where(pages.is_wall(F.col("content_markdown"), title, markup, url)).select("capture_id")
 
 
 @query(
@@ -482,12 +528,12 @@ def title_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT route, count(*) AS n, count(DISTINCT host) AS n_hosts FROM (SELECT CASE WHEN regexp_matches(source, '(youtube\.com/watch\?v=|youtu\.be/|youtube\.com/embed/|youtube\.com/shorts/)[\w-]{11}') THEN 'video' WHEN regexp_matches(source, '://(www\.)?linkedin\.com/posts/') THEN 'post' ELSE 'html' END AS route,
+    r"""SELECT route, count(*) AS n, count(DISTINCT host) AS n_hosts FROM (SELECT CASE WHEN regexp_matches(source, '(youtube\.com/watch\?v=|youtu\.be/|youtube\.com/embed/|youtube\.com/shorts/)[\w-]{11}') THEN 'video' WHEN regexp_matches(source, '://(www\.)?linkedin\.com/posts/') THEN 'post' WHEN right(id, 1) < 'G' THEN 'html' ELSE 'fetch' END AS route,
     nullif(regexp_replace(lower(regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), '') AS host FROM docs WHERE source IS NOT NULL) GROUP BY route"""
 )
 def routes(spark: SparkSession, folder: str) -> DataFrame:
-    """Which extractor the vault's sources go to, and of how many hosts."""
-    d = table(spark, folder, "docs").where("source is not null").select(urls.route(F.col("source"), F.lit(True)).alias("route"), urls.host(F.col("source")).alias("host"))
+    """Which extractor the vault's sources go to, some with their markup and some without, and of how many hosts."""
+    d = table(spark, folder, "docs").where("source is not null").select(urls.route(F.col("source"), F.right("id", F.lit(1)) < "G").alias("route"), urls.host(F.col("source")).alias("host"))
     return d.groupBy("route").agg(F.count("*").alias("n"), F.count_distinct("host").alias("n_hosts"))
 
 
@@ -519,15 +565,20 @@ def label_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+DOMAIN = lambda names: " OR ".join(f"ends_with(split_part(a, '@', 2), '{d}') OR ends_with(split_part(r, '@', 2), '{d}')" for d in names)
+
+
 @query(
-    """WITH v AS (SELECT row_id, lower(regexp_extract(coalesce(sender, ''), '<?\\s*([^<>\\s]+@[^<>\\s]+)\\s*>?', 1)) AS a, len(list_filter(regexp_split_to_array(coalesce(body, ''), '\\s+'), lambda x: x <> '')) AS n FROM labeled)
-    SELECT row_id, CASE WHEN ends_with(split_part(a, '@', 2), 'klaviyomail.com') OR ends_with(split_part(a, '@', 2), 'shopifyemail.com') THEN false WHEN starts_with(a, 'noreply@') OR starts_with(a, 'no-reply@') THEN false
-        WHEN ends_with(split_part(a, '@', 2), '.invalid') THEN true ELSE n >= 500 END AS keep FROM v"""
+    f"""WITH v AS (SELECT row_id, lower(regexp_extract(coalesce(sender, ''), '<?\\s*([^<>\\s]+@[^<>\\s]+)\\s*>?', 1)) AS a, CASE row_id % 6 WHEN 0 THEN 'bounce@mg.substack.com' WHEN 1 THEN 'x@klaviyomail.com' WHEN 2 THEN 'b@c.example' ELSE '' END AS r, CASE WHEN row_id % 4 = 3 THEN '' ELSE 'list' END AS list,
+        CASE WHEN row_id % 5 = 0 THEN row_id % 2 = 0 END AS judged, len(list_filter(regexp_split_to_array(coalesce(body, ''), '\\s+'), lambda x: x <> '')) AS n FROM labeled)
+    SELECT row_id, CASE WHEN {DOMAIN(classify.PROMOTIONS)} THEN false WHEN starts_with(a, 'noreply@') OR starts_with(a, 'no-reply@') THEN false
+        WHEN {DOMAIN(classify.PLATFORMS)} THEN true WHEN list <> '' THEN coalesce(judged, n >= 500) ELSE false END AS keep FROM v"""
 )
 def domain_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """The newsletter rules over all examples, with one domain suffix as the platform list."""
-    rows = table(spark, folder, "labeled")
-    keep = classify.verdict(F.col("sender"), F.lit(None).cast("string"), F.lit("list"), F.col("body"), F.lit(None).cast("boolean"), platforms=[".invalid"])
+    """The newsletter rules over all examples, with return paths, lists and verdicts that differ by row."""
+    rows, k = table(spark, folder, "labeled"), F.col("row_id")
+    back = F.when(k % 6 == 0, "<bounce@mg.substack.com>").when(k % 6 == 1, "x@klaviyomail.com").when(k % 6 == 2, "B@c.example")
+    keep = classify.verdict(F.col("sender"), back, F.when(k % 4 != 3, "list"), F.col("body"), F.when(k % 5 == 0, k % 2 == 0))
     return rows.select("row_id", keep.alias("keep"))
 
 
@@ -608,11 +659,14 @@ def tumbling_windows(spark: SparkSession, folder: str) -> DataFrame:
     return streams.tumbling(e, "ts", "1 hour", "event_type").select("event_type", _stamp("started_at"), "n")
 
 
-@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS n FROM documents WHERE source IS NOT NULL) WHERE n = 1")
+@query("SELECT doc_id, capture_id, round(n, 6) AS score FROM (SELECT doc_id, capture_id, -length(content_markdown)::DOUBLE AS n, row_number() OVER (PARTITION BY doc_id ORDER BY -length(content_markdown) NULLS FIRST, capture_id) AS k FROM (SELECT DISTINCT doc_id, capture_id, content_markdown FROM captured_content)) WHERE k = 1")
 def best_section_per_doc(spark: SparkSession, folder: str) -> DataFrame:
-    """The longest document of each source: the first of a ranking by group."""
-    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("n_chars"), "doc_id")
-    return table(spark, folder, "documents").where("source is not null").withColumn("n", F.row_number().over(w)).where("n = 1").select("source", "doc_id", "n_chars")
+    """The best hit of each document, the longer the better, ties by the path."""
+    from parchmint.plans.engine import VaultEngine
+
+    c = table(spark, folder, "captured_content").select("doc_id", "capture_id", "content_markdown").distinct()
+    hits = c.select("doc_id", "capture_id", F.array(F.lpad(F.col("capture_id").cast("string"), 20, "0")).alias("section_path"), (-F.length("content_markdown")).cast("double").alias("score"))
+    return VaultEngine(spark, c).best_sections(hits).select("doc_id", "capture_id", F.round("score", 6).alias("score"))
 
 
 def queries() -> dict[str, Query]:
