@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -35,7 +36,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """One record a page, built field by field."""
-    return survivors.survivors(table(prepare(spark), folder, "docs"))
+    found = survivors.survivors(table(prepare(spark), folder, "docs"))
+    return found.withColumns({"updated_at": F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"), "tags": F.array_join("tags", "|")})
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,6 +203,18 @@ SELECT min(id) AS first_id, max(CASE WHEN recent = 1 THEN id END) AS recent_id,
 FROM ranked GROUP BY page HAVING count(*) > 1
 """
 
+P2_SURVIVORS = P2_FOUND[: P2_FOUND.index("ranked AS (")].rstrip() + r"""
+whole AS (SELECT p.*, d.path, d.title, d.source, d.content_type, NOT lower(trim(coalesce(d.title, ''))) IN ('', 'untitled', 'none', 'null', 'home', 'index', 'no title', '(no subject)') AS titled, count(*) OVER (PARTITION BY page) AS n FROM pages p JOIN docs d USING (id)),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS first, row_number() OVER (PARTITION BY page ORDER BY trust DESC, updated_at DESC NULLS LAST, id DESC) AS recent,
+        row_number() OVER (PARTITION BY page ORDER BY titled DESC, trust DESC, updated_at DESC NULLS LAST, id DESC) AS named, row_number() OVER (PARTITION BY page ORDER BY n_tags DESC, trust DESC, updated_at DESC NULLS LAST, id DESC) AS tagged FROM whole WHERE n > 1),
+merged AS (
+    SELECT max(id) FILTER (first = 1) AS id, max(path) FILTER (first = 1) AS path, max(title) FILTER (named = 1 AND titled) AS title, max(source) FILTER (recent = 1) AS source, max(content_type) FILTER (recent = 1) AS content_type,
+        max(updated_at) FILTER (recent = 1) AS updated_at, max(id) FILTER (tagged = 1) AS tags_id, count(*) AS n_merged FROM ranked GROUP BY page
+    UNION ALL SELECT d.id, d.path, d.title, d.source, d.content_type, d.updated_at, d.id, 1 FROM docs d LEFT JOIN whole f USING (id) WHERE d.id IS NOT NULL AND coalesce(f.n, 1) = 1)
+SELECT m.id, m.path, m.title, m.source, m.content_type, strftime(m.updated_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS updated_at, array_to_string(d.tags, '|') AS tags, n_merged FROM merged m JOIN docs d ON d.id = m.tags_id
+"""
+
 P4_FOUND = f"""
 WITH words AS (
     SELECT DISTINCT 't' AS side, row_id AS id, {WORDS.format("body")} AS w FROM labeled
@@ -259,6 +273,36 @@ SELECT target_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_i
 """
 
 
+def _look() -> str:
+    """SQL for what a text looks like: the cleaning in SQL's means, and one representative for letters drawn alike. Placeholders keep the joiners and selectors that count."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    look = "text"
+    for sign, kept in (("\u200d", "\ue000"), ("\u200c", "\ue001")):
+        for _ in range(2):  # neighbours share letters
+            look = f"regexp_replace({look}, '([{lookalikes._EMOJI}\ufe0f{lookalikes._JOINS}]){sign}([{lookalikes._EMOJI}{lookalikes._JOINS}])', '\\1{kept}\\2', 'g')"
+    table_ = lookalikes.clean_table()
+    single, long = {chr(k): v for k, v in table_.items() if len(v) == 1}, {chr(k): v for k, v in table_.items() if len(v) > 1}
+    gone = "".join(chr(k) for k, v in table_.items() if not v) + "\u200c\u200d"
+    for sign, value in long.items():
+        look = f"replace({look}, {quoted(sign)}, {quoted(value)})"
+    look = f"nfc_normalize(translate({look}, {quoted(''.join(single) + gone)}, {quoted(''.join(single.values()))}))"
+    look = f"translate(regexp_replace({look}, '([{lookalikes._EMOJI}])\ufe0f', '\\1\ue002', 'g'), '{''.join(map(chr, range(0xFE00, 0xFE10)))}', '')"
+    alike = lookalikes.drawn_alike()
+    folded = {}
+    for code in [*range(0x41, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        parts = [next(iter(alike[c].values())) if c in alike else c for c in unicodedata.normalize("NFD", chr(code))]
+        whole = unicodedata.normalize("NFC", "".join(parts))
+        if whole != chr(code) and len(whole) == 1:
+            folded[chr(code)] = whole
+    return f"nfc_normalize(translate({look}, {quoted(''.join(folded))}, {quoted(''.join(folded.values()))}))"
+
+
+P9_FOUND = f"""
+WITH looks AS (SELECT DISTINCT doc_id, text, {_look()} AS look FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.text < b.text WHERE a.doc_id <> b.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL that gives the same rows, for those queries that SQL can answer over whole tables."""
-    return {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p6_cleaned": P6_CLEANED, "p6_found": P6_FOUND, "p6_sequences": P6_SEQUENCES, "p8_faults": P8_FAULTS}
+    return {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p6_cleaned": P6_CLEANED, "p6_found": P6_FOUND, "p6_sequences": P6_SEQUENCES, "p8_faults": P8_FAULTS, "p9_found": P9_FOUND}
