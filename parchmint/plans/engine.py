@@ -108,6 +108,15 @@ class VaultEngine:
     def sync_feeds(self, registry: DataFrame, entries: DataFrame, extract: Callable, write: Callable, now: Column | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
         return feeds.sync(registry, entries, self.docs, extract, write, F.current_timestamp() if now is None else now, limit)
 
+    def register_feeds(self, registry: DataFrame, wanted: DataFrame, now: Column | None = None) -> DataFrame:
+        return feeds.register(registry, wanted, F.current_timestamp() if now is None else now)
+
+    def enable_feed(self, registry: DataFrame, feed_id: str, enabled: bool = True) -> DataFrame:
+        return feeds.set_enabled(registry, feed_id, enabled)
+
+    def remove_feed(self, registry: DataFrame, feed_id: str) -> DataFrame:
+        return feeds.removed(registry, feed_id)
+
     def preview_feed(self, entries: DataFrame, limit: int | None = None) -> DataFrame:
         return feeds.preview(entries, self.docs, limit)
 
@@ -202,6 +211,9 @@ class VaultEngine:
     def retrain(self, examples: DataFrame, holdout: DataFrame, path: str, force: bool = False) -> classify.Retrained:
         return classify.retrain(examples, holdout, path, force)
 
+    def classifier_diff(self, rows: DataFrame, label: str, old: str, new: str) -> DataFrame:
+        return classify.difference(rows, label, old, new)
+
     def sinks(self) -> dict[str, Callable[[DataFrame, int], None]]:
         """What :func:`parchmint.streaming.changes.follow` feeds: one sink that keeps this engine's indexes up to date."""
 

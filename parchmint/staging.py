@@ -109,9 +109,9 @@ def is_small(df: DataFrame, rows: int, most_bytes: int = SMALL_BYTES) -> bool:
 
     ``df`` is evaluated for it, so it should be staged.
     """
-    size = F.lit(16)
+    size = F.lit(8)
     for f in df.schema.fields:
-        size = size + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if f.dataType.simpleString() == "string" else F.lit(16))
+        size = size + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if f.dataType.simpleString() == "string" else F.lit(8))
     row = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     return row["n"] <= rows and row["b"] <= most_bytes
 
