@@ -89,3 +89,39 @@ def met(shared: DataFrame, keys: list[str], threshold: float, *more: Column) ->
     n, m = F.col("n"), F.col("n_e")
     rest = F.greatest(F.least(beyond(n), m - F.col("last_e") - 1), F.least(beyond(m), n - F.col("last") - 1))
     return pairs.where(F.col("k") + rest >= _needed(threshold))
+
+
+def met_in_order(threshold: float):
+    """What :func:`met` tells, for rows (id, a, b, place, n, place_e, n_e) in which those of one ``a`` follow each other: to (id, a, b), in the task, without a shuffle."""
+
+    def told(rows: pa.Table) -> pa.RecordBatch:
+        a, b, place, n, place_e, n_e = (rows.column(k).to_numpy() for k in range(1, 7))
+        order = np.lexsort((b, a))
+        starts = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]) if len(a) else np.empty(0, np.int64)
+        first = order[starts]
+        if not len(first):
+            return pa.RecordBatch.from_arrays([rows.column(k).combine_chunks() for k in range(3)], ["id", "a", "b"])
+        k = np.diff(np.r_[starts, len(a)])
+        last, last_e = (np.maximum.reduceat(x[order], starts).astype(np.int64) for x in (place, place_e))
+        n, m = n[first].astype(np.int64), n_e[first].astype(np.int64)
+        beyond = lambda size: np.ceil(threshold * size - 1e-9).astype(np.int64) - 1
+        rest = np.maximum(np.minimum(beyond(n), m - last_e - 1), np.minimum(beyond(m), n - last - 1))
+        needed = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+        kept = first[(k + rest >= needed) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)]
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(pa.array(kept)) for c in range(3)], ["id", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = batch.column(1).to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, a[1:] != a[:-1]])[-1])
+            if cut or held and held[-1].column(1)[-1].as_py() != int(a[0]):
+                yield told(pa.Table.from_batches([*held, batch.slice(0, cut)] if cut else held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    return run

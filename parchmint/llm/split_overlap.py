@@ -30,6 +30,9 @@ from parchmint.llm import shingles as S
 from parchmint.llm.near_dup import SMALL_IDS, likeness, sets_of
 from parchmint.staging import is_small, spread, staged
 
+#: Up to so many members of the evaluation side's prefixes are sent to all tasks, if they are no longer than 64 MB.
+SMALL_INDEX = 2_000_000
+
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list]]:
     """Slices of the rows, which of them have enough words, their classes, and their runs (none for a copy within the task)."""
@@ -137,7 +140,14 @@ def split_overlap(
     index = held_sets.mapInArrow(prefixes.prefix_rows(counts, threshold), prefixes.PREFIX_SCHEMA)
     index = index.select("run", F.col("cls").alias("eval_cls"), F.col("place").alias("place_e"), F.col("n").alias("n_e"))
     sent = probes.where(F.size("runs") > 0).select("id", F.col("cls").alias("train_cls"), "n", F.inline(F.arrays_zip("runs", "places"))).withColumnsRenamed({"runs": "run", "places": "place"})
-    met = staged(prefixes.met(sent.join(index, "run"), ["train_cls", "eval_cls"], threshold, F.min("id").alias("id")).select("train_cls", "eval_cls", "id"), "met")
+    index = staged(index, "index")
+    if is_small(index, SMALL_INDEX):
+        # Every task has the index: the members of one training row meet in order, and only candidates leave the task.
+        rows = sent.join(F.broadcast(index), "run").select("id", "train_cls", "eval_cls", "place", "n", "place_e", "n_e")
+        met = rows.mapInArrow(prefixes.met_in_order(threshold), f"id {id_type}, a bigint, b bigint").groupBy(F.col("a").alias("train_cls"), F.col("b").alias("eval_cls")).agg(F.min("id").alias("id"))
+    else:
+        met = prefixes.met(sent.join(index, "run"), ["train_cls", "eval_cls"], threshold, F.min("id").alias("id")).select("train_cls", "eval_cls", "id")
+    met = staged(met, "met")
     met_sets = sets_of(texts, met, size).withColumnsRenamed({"cls": "train_cls", "runs": "runs_t"})
     some = met.select(F.col("eval_cls").alias("cls")).distinct()
     some = F.broadcast(some) if is_small(some, SMALL_IDS) else some

@@ -91,7 +91,9 @@ def test_signatures_estimate_likeness():
         assert abs((va == vb).mean() - likeness(a, b, 3)) < 0.12
 
 
-def test_split_overlap_as_brute_force(spark, rows):
+@pytest.mark.parametrize("most", [split_overlap.SMALL_INDEX, 0])
+def test_split_overlap_as_brute_force(spark, rows, most, monkeypatch):
+    monkeypatch.setattr(split_overlap, "SMALL_INDEX", most)  # 0: the index is shuffled
     r = random.Random(8)
     held = [(1000 + k, edited(r, rows[k % 60][1], r.choice([0, 0.02, 0.05, 0.3])), r.choice(["x", "y", None])) for k in range(50)] + [(2000, None, "x"), (2001, "", "x"), (2002, rows[0][1], "x"), (2002, rows[0][1], "x")]
     train = spark.createDataFrame([(i, t, "extra") for i, t in rows], "row_id bigint, body string, side string")
