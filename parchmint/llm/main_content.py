@@ -17,8 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from parchmint.llm import labelled_blocks
 from parchmint.llm.shingles import WORD
@@ -259,14 +258,30 @@ def furniture_lines(df: DataFrame, id_col: str, text_col: str, min_words: int =
     return found.distinct()
 
 
-def main_text(text: Column, gone: Column) -> Column:
-    """A text without the lines of the array ``gone`` (null: none)."""
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i + 1))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
+def _extract(model, min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: LineClassifier = model.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(1).to_pylist()
+                rows = [row for row, text in enumerate(texts) if text and len(WORD.findall(text)) >= min_words]
+                removed = np.zeros(len(texts), np.int32)
+                for row, gone in zip(rows, own.furniture_of([texts[row] for row in rows])):
+                    if gone:
+                        left = set(gone)
+                        texts[row] = "\n".join(x for k, x in enumerate(texts[row].split("\n"), 1) if k not in left)
+                        removed[row] = len(gone)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(removed)], ["id", "text", "n_removed"])
+
+    return run
 
 
 def main_content(df: DataFrame, id_col: str, text_col: str, min_words: int = 60, model: LineClassifier | None = None) -> DataFrame:
-    """(id, text, n_removed): each distinct row's text without its furniture; short texts stay whole, null stays null."""
-    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id is not null").distinct()
-    gone = furniture_lines(df, id_col, text_col, min_words, model).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    return texts.join(gone, "id", "left").select("id", main_text(F.col("text"), F.col("gone")).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    """(id, text, n_removed): each distinct row's text without its furniture; short texts stay whole, null stays null.
+
+    The pass that has the text writes the cleaned one; only that is shuffled, once, to drop repeated rows. An id with several texts has a row for each.
+    """
+    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id is not null")
+    shared = df.sparkSession.sparkContext.broadcast(model or LineClassifier.train())
+    return spread(texts).mapInArrow(_extract(shared, min_words), f"id {texts.schema[0].dataType.simpleString()}, text string, n_removed int").distinct()

@@ -250,9 +250,21 @@ def content_of(text: str, title: str | None, gone: set[int]) -> list[tuple[str,
     return out if some else [(line, True, seeds) for line, _, seeds in out]
 
 
-SCHEMA = "fields array<struct<marked:boolean,plain:boolean>>, sentences array<struct<h:bigint,slots:bigint,content:boolean,seeded:boolean,open:boolean,a:bigint,b:bigint>>"
-_FIELD_TYPE = pa.list_(pa.struct([("marked", pa.bool_()), ("plain", pa.bool_())]))
-_SENTENCE_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("slots", pa.int64()), ("content", pa.bool_()), ("seeded", pa.bool_()), ("open", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())]))
+#: A row a sentence, or one without a sentence for a capture that has none. ``fresh`` marks the first content sentence of a template
+#: in its capture, ``n`` is how many different content sentences the capture has.
+SCHEMA = "version bigint, field boolean, h bigint, slots bigint, content boolean, seeded boolean, open boolean, fresh boolean, a bigint, b bigint, n int"
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    if len(order):
+        new[0] = True
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    first = np.zeros(len(order), bool)
+    first[order[new]] = True  # the sort is stable
+    return first
 
 
 def _parse(model):
@@ -262,13 +274,13 @@ def _parse(model):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 titles, texts = part.column(1).to_pylist(), [t or "" for t in part.column(2).to_pylist()]
-                fields, held, ends = [], [], [0]
-                for title, text, gone in zip(titles, texts, own.furniture_of(texts)):
-                    fields.append((fields_of(prose(text)) if text.count("[") != text.count("](") or any(x in text for x in HINT_PARTS) else []) + (fields_of(prose(title)) if title else []))
-                    if title and default_title(title):
-                        fields[-1].append({"marked": True, "plain": True})
-                    held += content_of(text, title, set(gone))
-                    ends.append(len(held))
+                field, held, lines = np.zeros(len(texts), bool), [], np.zeros(len(texts), np.int64)
+                for k, (title, text, gone) in enumerate(zip(titles, texts, own.furniture_of(texts))):
+                    found = fields_of(prose(text)) if text.count("[") != text.count("](") or any(x in text for x in HINT_PARTS) else []
+                    found = found + fields_of(prose(title)) if title else found
+                    field[k] = any(f["marked"] or f["plain"] for f in found) or bool(title) and default_title(title)
+                    held += (own_lines := content_of(text, title, set(gone)))
+                    lines[k] = len(own_lines)
                 s = Sentences([x for x, _, _ in held])
                 content = np.array([own for _, own, _ in held], bool)[s.line]
                 named = np.zeros(len(content), bool)
@@ -276,11 +288,25 @@ def _parse(model):
                 for k, seeds in ((k, x[2]) for k, x in enumerate(held) if x[2]):
                     named[first[k] : first[k + 1]] = [bool(seeds >> j & 1) for j in range(first[k + 1] - first[k])]
                 seeded = content & (named | s.latin)
-                kept = (s.plain > 0) | seeded  # slots alone say nothing
-                columns = [s.templates[kept].view(np.int64), s.fillings[kept].view(np.int64), content[kept], seeded[kept], ((s.slots > 0) & (s.plain >= 3))[kept], *(h[kept].view(np.int64) for h in s.halves)]
-                sentences = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)][first[ends]].astype(np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in columns], fields=list(_SENTENCE_TYPE.value_type)))
-                versions = [xxhash.xxh3_64_intdigest(f"{title}\n{text}".encode("utf-8", "surrogatepass")) - 2**63 for title, text in zip(titles, texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(versions, pa.int64()), pa.array(fields, _FIELD_TYPE), sentences], ["id", "version", "fields", "sentences"])
+                kept = np.flatnonzero((s.plain > 0) | seeded)  # slots alone say nothing
+                of = np.repeat(np.arange(len(texts)), lines)[s.line[kept]]
+                h, slots, content = s.templates[kept], s.fillings[kept], content[kept]
+                fresh, different = np.zeros(len(kept), bool), np.zeros(len(kept), bool)
+                told = np.flatnonzero(content)
+                fresh[told] = _firsts(h[told], of[told])
+                different[told] = _firsts(slots[told], h[told], of[told])
+                n = np.bincount(of, different, len(texts)).astype(np.int32)
+                # One row a sentence, and one for each capture without any.
+                row = np.sort(np.r_[of, np.setdiff1d(np.arange(len(texts)), of)])
+                has = np.isin(row, of)
+                place = pa.array(np.where(has, np.cumsum(has) - 1, 0), mask=~has)
+                versions = np.array([xxhash.xxh3_64_intdigest(f"{title}\n{text}".encode("utf-8", "surrogatepass")) for title, text in zip(titles, texts)], np.uint64).view(np.int64)
+                of_sentence = [h.view(np.int64), slots.view(np.int64), content, seeded[kept], ((s.slots > 0) & (s.plain >= 3))[kept], fresh, *(x[kept].view(np.int64) for x in s.halves)]
+                columns = [pa.array(x).take(place) for x in of_sentence]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), pa.array(versions[row]), pa.array(field[row]), *columns, pa.array(n[row])],
+                    ["id", "version", "field", "h", "slots", "content", "seeded", "open", "fresh", "a", "b", "n"],
+                )
 
     return run
 
@@ -312,17 +338,17 @@ def defaults(rows: DataFrame, parsed: DataFrame, min_filled: int = 20, min_recor
     a default if at least ``min_records`` captures have it there and of the plain words that stand
     there it is all but ``1 - share``: where an author may write a plain word, there are several.
     """
-    filled = parsed.select("version", F.explode("sentences").alias("s")).where("s.open").groupBy(F.col("s.h").alias("h"), F.col("s.slots").alias("slots")).agg(F.count("*").alias("n"))
+    filled = parsed.where("open").groupBy("h", "slots").agg(F.count("*").alias("n"))
     slots = filled.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("fillings")).where((F.col("n") >= min_filled) & (F.col("fillings") * 2 >= F.col("n")))
     slots = staged(slots.select("h"), "slot_templates")
-    halved = parsed.select(F.explode("sentences").alias("s")).where("s.open").select("s.h", "s.a", "s.b").join(F.broadcast(slots) if is_small(slots, SMALL_TEMPLATES) else slots, "h", "left_semi")
+    halved = parsed.where("open").select("h", "a", "b").join(F.broadcast(slots) if is_small(slots, SMALL_TEMPLATES) else slots, "h", "left_semi")
     slots = halved.groupBy("h").agg(F.first("a").alias("a"), F.first("b").alias("b"))
     slots = staged(slots.select("h", "a", "b"), "slots")
     small = is_small(slots, SMALL_TEMPLATES)
     near = lambda df: F.broadcast(df) if small else df
     # Only captures with half a template, but not the template, are read again.
     halves = slots.select(F.explode(F.array("a", "b")).alias("half")).distinct()
-    some = parsed.select("id", F.explode("sentences").alias("s")).select("id", "s.h", F.explode(F.array("s.a", "s.b")).alias("half")).join(near(halves), "half", "left_semi").join(near(slots.select("h")), "h", "left_anti")
+    some = parsed.where("h is not null").select("id", "h", F.explode(F.array("a", "b")).alias("half")).join(near(halves), "half", "left_semi").join(near(slots.select("h")), "h", "left_anti")
     some = staged(some.select("id").distinct(), "half_templates")
     again = rows.where("text is not null").select("id", "text").join(F.broadcast(some) if is_small(some, SMALL_TEMPLATES) else some, "id", "left_semi")
     known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in slots.select("h").collect()], np.int64).view(np.uint64))) if small else None  # at most SMALL_TEMPLATES
@@ -347,29 +373,29 @@ def residue(df: DataFrame, id_col: str, title_col: str, text_col: str, min_recor
     spark = df.sparkSession
     rows = spread(df.select(df[id_col].alias("id"), df[title_col].alias("title"), df[text_col].alias("text")).where("id is not null"))
     shared = spark.sparkContext.broadcast(model or LineClassifier.train())
-    parsed = staged(rows.mapInArrow(_parse(shared), f"id {rows.schema[0].dataType.simpleString()}, version bigint, {SCHEMA}"), "parsed")
+    parsed = staged(rows.mapInArrow(_parse(shared), f"id {rows.schema[0].dataType.simpleString()}, {SCHEMA}"), "parsed")
 
-    unfilled = parsed.where(F.exists("fields", lambda f: f["marked"] | f["plain"])).select("id", F.lit("field").alias("why"))
+    unfilled = parsed.where("field").select("id", F.lit("field").alias("why"))
     unfilled = unfilled.unionByName(defaults(rows, parsed).select("id", F.lit("field").alias("why")))
 
-    content = F.filter("sentences", lambda s: s["content"])
-    pages = parsed.select("id", "version", content.alias("sentences")).where(F.size("sentences") > 0).withColumn("n", F.size(F.array_distinct(F.transform("sentences", lambda s: F.struct(s["h"], s["slots"])))))
-    lines = pages.where(F.col("n") * alone <= 1).select("version", F.explode("sentences.h").alias("h")).distinct()
+    pages = parsed.where("content")
+    lines = pages.where(F.col("fresh") & (F.col("n") * alone <= 1)).select("version", "h").distinct()
     wanted = staged(lines.groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_records).select("h"), "page_templates")
     few = F.broadcast(wanted) if is_small(wanted, SMALL_TEMPLATES) else wanted
-    each = pages.select("n", F.explode(F.array_distinct(F.transform("sentences", lambda s: s["h"]))).alias("h"))
-    templates = each.join(few, "h", "left_semi").groupBy("h").agg(F.avg((F.col("n") * alone <= 1).cast("int")).alias("often")).where(F.col("often") >= share).select("h", F.lit(True).alias("known"))
+    templates = pages.where("fresh").select("n", "h").join(few, "h", "left_semi").groupBy("h").agg(F.avg((F.col("n") * alone <= 1).cast("int")).alias("often")).where(F.col("often") >= share).select("h", F.lit(True).alias("known"))
     templates = staged(templates, "known_templates")
     templates = F.broadcast(templates) if is_small(templates, SMALL_TEMPLATES) else templates
-    read = pages.select("id", "version", F.explode("sentences").alias("s")).select("id", "version", "s.h", "s.seeded").join(templates, "h", "left")
-    read = read.select("id", "version", "h", (F.col("seeded") | F.coalesce("known", F.lit(False))).alias("told"))
+    read = pages.select("id", "version", "h", "seeded").join(templates, "h", "left").select("id", "version", "h", (F.col("seeded") | F.coalesce("known", F.lit(False))).alias("told"))
+    some = staged(read.groupBy("id", "version").agg(F.min("told").alias("all"), F.max("told").alias("any")).where("any").select("id", "version", "all"), "told")
     # Pages with some such sentences: the others may be furniture that was taken for content here, and mostly is not elsewhere.
-    some = staged(read.groupBy("id", "version").agg(F.min("told").alias("all"), F.max("told").alias("any"), F.collect_set(F.when(~F.col("told"), F.col("h"))).alias("others")).where("any"), "told")
-    others = some.select(F.explode("others").alias("h")).distinct()
-    others = F.broadcast(others) if is_small(others, SMALL_TEMPLATES) else others
-    use = parsed.select(F.explode("sentences").alias("s")).select("s.h", "s.content").join(others, "h", "left_semi").groupBy("h").agg(F.avg(F.col("content").cast("int")).alias("content"), F.count("*").alias("n"))
+    mixed = some.where(~F.col("all")).select("id", "version")
+    mixed = F.broadcast(mixed) if is_small(mixed, SMALL_TEMPLATES) else mixed
+    others = staged(read.where(~F.col("told")).join(mixed, ["id", "version"], "left_semi").select("id", "version", "h").distinct(), "others")
+    asked = others.select("h").distinct()
+    asked = F.broadcast(asked) if is_small(asked, SMALL_TEMPLATES) else asked
+    use = parsed.where("h is not null").select("h", "content").join(asked, "h", "left_semi").groupBy("h").agg(F.avg(F.col("content").cast("int")).alias("content"), F.count("*").alias("n"))
     beside = staged(use.where((F.col("n") >= min_records) & (F.col("content") < 0.5)).select("h", F.lit(1).alias("beside")), "beside")
     beside = F.broadcast(beside) if is_small(beside, SMALL_TEMPLATES) else beside
-    rest = some.where(~F.col("all")).select("id", "version", F.explode("others").alias("h")).join(beside, "h", "left").groupBy("id", "version").agg(F.count_if(F.col("beside").isNull()).alias("left"))
+    rest = others.join(beside, "h", "left").groupBy("id", "version").agg(F.count_if(F.col("beside").isNull()).alias("left"))
     broken = some.where("all").select("id").unionByName(rest.where("left = 0").select("id")).select("id", F.lit("page").alias("why"))
     return unfilled.unionByName(broken).groupBy("id").agg(F.min("why").alias("why"))
