@@ -28,9 +28,13 @@ def fold(text: Column) -> Column:
     return F.when(lower.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(lower, source, target), r"\p{Mn}+", "")).otherwise(lower)
 
 
+#: A token of the search index.
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+
+
 def tokens(text: Column) -> Column:
     """Folded maximal runs of letters, digits and private-use characters; none for null."""
-    return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def words(text: Column) -> Column:
