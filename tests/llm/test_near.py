@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,25 @@ def test_groups_of_a_hot_class(spark):
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "key bigint, text string"), "key", "text", 0.6, 3)
     got = {x["id"]: (x["group_id"], x["n_links"]) for x in near_dup.groups(found).collect()}
     assert len(got) == 3002 and got[2999] == got[5000] == (0, 1) and got[5001] == (5001, 0)
+
+
+def test_split_overlap_sends_a_class_of_many_tasks_once(spark, rows, monkeypatch):
+    """A text that several tasks meet is shuffled by one of them, its members packed, and every pair of its copies is found."""
+    sent = []
+    monkeypatch.setattr(split_overlap, "SMALL_INDEX", 0)
+    staged = split_overlap.staged
+    monkeypatch.setattr(split_overlap, "staged", lambda df, name: sent.append((name, staged(df, name))) or sent[-1][1])
+    r = random.Random(4)
+    texts = [t for _, t in rows if t and len(shingles.words(t)) >= 20][:6]
+    train = spark.createDataFrame([(k * 10 + j, t) for j in range(8) for k, t in enumerate(texts)], "row_id bigint, body string").repartition(8, "row_id")
+    held = [(1000 + k * 10 + j, edited(r, t, 0.02) if j == 3 else t) for j in range(4) for k, t in enumerate(texts)]
+    got = [tuple(x)[:2] for x in split_overlap.split_overlap(train, spark.createDataFrame(held, "row_id bigint, body string").repartition(4, "row_id"), "row_id", "body", 0.6, 3, 20).pairs().collect()]
+    want = {(k * 10 + j, b) for j in range(8) for k, t in enumerate(texts) for b, y in held if likeness(t, y, 3) >= 0.6}
+    assert len(got) == len(set(got)) and set(got) == want
+    met = dict(sent)["met_keys"]
+    assert met.count() == met.distinct().count() <= len(texts) ** 2 * 2
+
+
+def test_packed_members_are_the_same_again():
+    columns = [np.array([0, 2**64 - 1, 7], np.uint64), np.array([3, 0, 300]), np.array([0, 0, 0])]
+    assert all((a == b).all() for a, b in zip(columns, split_overlap._unpacked(split_overlap._packed(columns), 3, 3)))
